@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,17 +47,18 @@ def capture_audit(
         F.sum(F.octet_length(message).cast("bigint")).alias("_bytes"),
         F.sum(F.octet_length(json_col).cast("bigint") + 1).alias("bytes_out"),
     )
-    same_group = None
-    for key in keys:
-        same = before[key].eqNullSafe(after[key])
-        same_group = same if same_group is None else same_group & same
+    # Other names on the right, because both sides may come from one table.
+    after = after.withColumnsRenamed({key: f"_{key}" for key in keys})
+    same_group = reduce(
+        and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
+    )
     joined = before.join(after, same_group, "full_outer")
 
     def count(name: str):
         return F.coalesce(F.col(name), F.lit(0).cast("bigint"))
 
     return joined.select(
-        *[F.coalesce(before[key], after[key]).alias(key) for key in keys],
+        *[F.coalesce(F.col(key), F.col(f"_{key}")).alias(key) for key in keys],
         count("lines").alias("lines"),
         count("pieces").alias("pieces"),
         count("bytes_in").alias("bytes_in"),

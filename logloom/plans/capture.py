@@ -85,9 +85,11 @@ def capture(
         arrivals = lines.select(
             "value",
             F.col("_metadata.file_modification_time").alias("arrived"),
-            F.monotonically_increasing_id().alias("arrival"),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("block"),
         )
-        lines = shed_stream(arrivals, "arrived", width, "arrival", capacity).select("value")
+        order = ["arrived", "path", "block"]
+        lines = shed_stream(arrivals, "arrived", width, order, capacity).select("value")
     records = encode_ndjson(cap_lines(lines, max_len, unit, "value"), "value", constant, msg_key)
     return (
         records.select("json")

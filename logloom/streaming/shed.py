@@ -23,9 +23,12 @@ def _bucketed(stream: DataFrame, event_time: str, width: str) -> DataFrame:
     )
 
 
-def _first_rows(rows: pd.DataFrame, by: list[str], order: list[str], count: int) -> pd.DataFrame:
-    rows = rows.sort_values(order, kind="stable")
-    return rows.groupby(by, sort=False, dropna=False).head(count)
+_ARRIVAL = "_arrival"
+
+
+def _first(rows: pd.DataFrame, more: pd.DataFrame, order: list[str]) -> pd.DataFrame:
+    rows = more if rows is None else pd.concat([rows, more], ignore_index=True)
+    return rows.sort_values(order, kind="stable")
 
 
 def shed_stream(
@@ -40,22 +43,26 @@ def shed_stream(
 
     A counter per bucket says how many rows were admitted so far; it is dropped
     once the watermark passes the bucket. A micro-batch is admitted in the order
-    of `order`, later batches after earlier ones. Rows later than the watermark
-    are dropped. Before the shuffle each partition keeps at most `capacity` rows
-    per bucket, so no task receives a whole large bucket.
+    of `order`, and where that ties in the order of its partition; later batches
+    come after earlier ones. Rows later than the watermark are dropped. Before
+    the shuffle each partition keeps at most `capacity` rows per bucket, so no
+    task receives a whole large bucket.
     """
     check_range("capacity", capacity, 1)
-    orders = [order] if isinstance(order, str) else list(order)
+    orders = [*([order] if isinstance(order, str) else order), _ARRIVAL]
     rows = _bucketed(stream, event_time, width).withColumn(
         event_time, F.col(event_time).cast("timestamp")
     )
     kept_schema = rows.drop("bucket_end").schema
+    numbered_schema = rows.withColumn(_ARRIVAL, F.lit(0).cast("bigint")).schema
 
     def admissible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
+        best, seen = None, 0
         for part in parts:
-            both = part if best is None else pd.concat([best, part], ignore_index=True)
-            best = _first_rows(both, ["bucket"], orders, capacity)
+            part[_ARRIVAL] = range(seen, seen + len(part))
+            seen += len(part)
+            by_bucket = _first(best, part, orders).groupby("bucket", sort=False, dropna=False)
+            best = by_bucket.head(capacity)
         if best is not None:
             yield best
 
@@ -68,18 +75,17 @@ def shed_stream(
         (admitted,) = state.get if state.exists else (0,)
         best = None
         for part in parts:
-            both = part if best is None else pd.concat([best, part], ignore_index=True)
-            best = both.sort_values(orders, kind="stable").head(capacity - admitted)
+            best = _first(best, part, orders).head(capacity - admitted)
         if best is None:
             return
         state.update((admitted + len(best),))
         if key[1] > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(int(key[1]))
         if len(best):
-            yield best.drop(columns="bucket_end")
+            yield best.drop(columns=["bucket_end", _ARRIVAL])
 
     return (
-        rows.mapInPandas(admissible, rows.schema)
+        rows.mapInPandas(admissible, numbered_schema)
         .withWatermark(event_time, delay)
         .groupBy("bucket", "bucket_end")
         .applyInPandasWithState(

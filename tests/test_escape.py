@@ -1,0 +1,195 @@
+"""Escaping, truncation and literal rendering, case by case."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from logloom import FieldSet, encode_ndjson, truncate_encoded
+from logloom.functions import escape_json, literal_type, render_literal
+from logloom.functions.escape import escape_count, escaped_bytes
+from logloom.operators.fields import _render
+
+ESCAPES = [
+    ("", "", 0),
+    (" ", " ", 1),
+    ("json-value", "json-value", 10),
+    ("{str}", "{str}", 5),
+    ("\r", "\\r", 2),
+    ("key\tvalue", "key\\tvalue", 10),
+    ('string"value', 'string\\"value', 13),
+    ("\x07", "\\u0007", 6),
+    ("\t🧪🧪", "\\t🧪🧪", 10),
+    ("new\nline", "new\\nline", 9),
+    ("a/b\u2028c", "a/b\u2028c", 7),
+    ("\\u000B", "\\\\u000B", 7),
+    ("\\\n\"\x1f", '\\\\\\n\\"\\u001f', 12),
+    ("ÿ\x80\x9f", "ÿ\x80\x9f", 6),
+]
+
+TRUNCATED = [
+    ("0123456701234567", "0123456701234567"),
+    ("01234567012345678", "0123456701234567"),
+    ("012345670123456\t", "012345670123456"),
+    ("01234567012345\t", "01234567012345\\t"),
+    ("01234567012\x07", "01234567012"),
+    ("0123456701\x07", "0123456701\\u0007"),
+    ("012345670123456\\", "012345670123456"),
+    ("01234567012345\\", "01234567012345\\\\"),
+    ("0123456701234\\\\", "0123456701234\\\\"),
+    ("012345670123\\\\\\", "012345670123\\\\\\\\"),
+    ("\\\\\\\\\\\\\\\\\\", "\\" * 16),
+    ("0123456\\\x01\\u00zz", "0123456\\\\\\u0001"),
+    ("\x1fé\x1f\x1f", "\\u001fé\\u001f"),
+]
+
+LITERALS = [
+    ("null", "null", "null"),
+    ("'null'", "string", "\"'null'\""),
+    (" null", "string", '" null"'),
+    ("null ", "string", '"null "'),
+    ("true", "boolean", "true"),
+    ("false", "boolean", "false"),
+    ("TRUE", "string", '"TRUE"'),
+    ("FALSE", "string", '"FALSE"'),
+    (" true", "string", '" true"'),
+    (" false", "string", '" false"'),
+    ("'true'", "string", "\"'true'\""),
+    ("'false'", "string", "\"'false'\""),
+    ("0", "number", "0"),
+    ("0.124", "number", "0.124"),
+    ("-0.34E12", "number", "-0.34E12"),
+    ("12.22E+12", "number", "12.22E+12"),
+    ("-0", "number", "-0"),
+    ("1e5", "number", "1e5"),
+    (".4", "string", '".4"'),
+    ("+3", "string", '"+3"'),
+    ("123.", "string", '"123."'),
+    ("12.22E+12.4", "string", '"12.22E+12.4"'),
+    ("01", "string", '"01"'),
+    ("-", "string", '"-"'),
+    ("1e", "string", '"1e"'),
+    ("1.e5", "string", '"1.e5"'),
+    ("12\n", "string", '"12\\n"'),
+    ("prod", "string", '"prod"'),
+    ("https://www.example.com/", "string", '"https://www.example.com/"'),
+    ("1.2.3", "string", '"1.2.3"'),
+    ("{ŵèéêëěẽēėęřțťþtýŷÿy}", "string", '"{ŵèéêëěẽēėęřțťþtýŷÿy}"'),
+    ("h1\th2\th3", "string", '"h1\\th2\\th3"'),
+    ('"v1-🧪"', "string", '"\\"v1-🧪\\""'),
+]
+
+
+def test_escape_cases(spark):
+    rows = spark.createDataFrame(ESCAPES, "input string, expected string, n_bytes int")
+    got = rows.select(
+        "input",
+        "expected",
+        "n_bytes",
+        escape_json(F.col("input")).alias("got"),
+        escaped_bytes(F.col("input")).alias("size"),
+    ).collect()
+    for row in got:
+        assert row.got == row.expected
+        assert row["size"] == row.n_bytes
+
+
+def test_every_escaped_byte_alone_and_inside_a_text(spark):
+    codes = [*range(32), 34, 92, 127]
+    short = {8: "b", 9: "t", 10: "n", 12: "f", 13: "r", 34: '"', 92: "\\"}
+    rows = spark.createDataFrame([(c, chr(c), f"a{chr(c)}é") for c in codes], "c int, t string, u string")
+    got = rows.select(
+        "c",
+        escape_json(F.col("t")).alias("t"),
+        escape_json(F.col("u")).alias("u"),
+        escape_count(F.col("u")).alias("n"),
+    ).collect()
+    assert len(got) == 35
+    for row in got:
+        want = "\\" + short[row.c] if row.c in short else f"\\u{row.c:04x}"
+        assert (row.t, row.u, row.n) == (want, f"a{want}é", 1)
+
+
+def test_bytes_that_are_not_utf8_pass_unchanged(spark):
+    rows = spark.createDataFrame([(bytearray(b'c\xffd"\n'),)], "b binary")
+    got = rows.select(F.hex(escape_json(F.col("b").cast("string"))).alias("h")).first().h
+    assert bytes.fromhex(got) == b'c\xffd\\"\\n'
+
+
+def test_truncation_cases(spark):
+    rows = spark.createDataFrame(TRUNCATED, "input string, expected string")
+    for row in truncate_encoded(rows, "input", 16).collect():
+        assert row.encoded == row.expected
+
+
+def test_truncation_by_bytes_keeps_characters_whole(spark):
+    rows = spark.createDataFrame([("éééé\t",), ("ab🧪c",), ("",)], "input string")
+    got = [r.encoded for r in truncate_encoded(rows, "input", 5, unit="byte").collect()]
+    assert got == ["éé", "ab", ""]
+
+
+@pytest.mark.parametrize("budget", [1, 2, 3, 6, 7, 12, 13])
+def test_truncation_against_a_walk_over_the_items(spark, budget):
+    texts = ["\\\\\"\x01a\x7f", "a\x1f\x1f\\", "\\u0001\x01", "\n\n\n\n\n\n\n", "🧪\x02🧪\x02🧪", "\\" * 9]
+
+    def walk(text):
+        out = ""
+        for char in text:
+            item = _render(char + "x", False)[1:-2]
+            if len(out) + len(item) > budget:
+                break
+            out += item
+        return out
+
+    rows = spark.createDataFrame([(t,) for t in texts], "input string")
+    for row in truncate_encoded(rows, "input", budget).collect():
+        assert row.encoded == walk(row.input)
+
+
+def test_literal_cases(spark):
+    rows = spark.createDataFrame(LITERALS, "val string, type string, rendered string")
+    got = rows.select(
+        "*",
+        literal_type(F.col("val")).alias("got_type"),
+        render_literal(F.col("val")).alias("got"),
+    ).collect()
+    for row in got:
+        assert (row.got_type, row.got) == (row.type, row.rendered), row.val
+        assert _render(row.val, False) == row.rendered
+
+
+def test_forced_quotes_can_be_stripped(spark):
+    rows = spark.createDataFrame([('"123"',), ('"',), ("1",)], "val string")
+    got = [r[0] for r in rows.select(render_literal(F.col("val"), True)).collect()]
+    assert got == ['"123"', '"\\""', "1"]
+    assert [_render(v, True) for v in ('"123"', '"', "1")] == got
+
+
+def test_whole_prefix():
+    fields = FieldSet.parse(["env=prod", "host=https://www.example.com/", "version=1.2.3"])
+    assert fields.prefix() == (
+        '{"env":"prod","host":"https://www.example.com/","version":"1.2.3","msg":"'
+    )
+    assert FieldSet().prefix() == '{"msg":"'
+
+
+@pytest.mark.parametrize("table, column", [("documents", "text"), ("pages", "html")])
+def test_every_record_reads_back(spark, sf_dir, table, column):
+    rows = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    records = encode_ndjson(rows, column, ["a=1", "b=x"])
+    back = records.select(column, F.from_json("json", "a int, b string, msg string").alias("r"))
+    wrong = back.filter(~(F.col("r.msg").eqNullSafe(F.col(column)) & (F.col("r.a") == 1)))
+    assert wrong.count() == 0
+
+
+def test_records_are_valid_json_for_every_control(spark):
+    text = "".join(chr(c) for c in range(128)) + "é🧪"
+    row = encode_ndjson(spark.createDataFrame([(text,)], "m string"), "m", ["n=null"]).first()
+    assert json.loads(row.json) == {"n": None, "msg": text}
+
+
+def test_records_need_no_shuffle_and_one_column(spark, documents):
+    frame = encode_ndjson(documents, "text", ["a=1"]).select("json")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+    assert "ReadSchema: struct<text:string>" in plan
