@@ -34,8 +34,17 @@ LONG_CONTROL_ESCAPES = [
 ]
 
 NEEDS_ESCAPE = r'[\x00-\x1f"\\\x7f]'
-_CONTROL = r"[\x00-\x1f\x7f]"
-_LONG_CONTROL = r"[\x00-\x07\x0b\x0e-\x1f\x7f]"
+
+# The start of the escape sequences of coloured terminal output, by far the most
+# frequent of the long ones.
+_ESC = [("\x1b", "\\u001b")]
+# (what a text must not contain, the replacements that are then enough)
+_TIERS = [
+    (NEEDS_ESCAPE, []),
+    (r"[\x00-\x1f\x7f]", PRINTABLE_ESCAPES),
+    (r"[\x00-\x1a\x1c-\x1f\x7f]", PRINTABLE_ESCAPES + _ESC),
+    (r"[\x00-\x07\x0b\x0e-\x1a\x1c-\x1f\x7f]", PRINTABLE_ESCAPES + SHORT_CONTROL_ESCAPES + _ESC),
+]
 
 
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -44,14 +53,10 @@ def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def escape_json(text: Column) -> Column:
     """`text` as the inside of a JSON string literal."""
-    printable = _replace_all(text, PRINTABLE_ESCAPES)
-    short = _replace_all(printable, SHORT_CONTROL_ESCAPES)
-    return (
-        F.when(~text.rlike(NEEDS_ESCAPE), text)
-        .when(~text.rlike(_CONTROL), printable)
-        .when(~text.rlike(_LONG_CONTROL), short)
-        .otherwise(_replace_all(short, LONG_CONTROL_ESCAPES))
-    )
+    escaped = _replace_all(text, PRINTABLE_ESCAPES + SHORT_CONTROL_ESCAPES + LONG_CONTROL_ESCAPES)
+    for others, pairs in reversed(_TIERS):
+        escaped = F.when(~text.rlike(others), _replace_all(text, pairs)).otherwise(escaped)
+    return escaped
 
 
 def escaped_bytes(text: Column) -> Column:

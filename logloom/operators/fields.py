@@ -6,6 +6,8 @@ import re
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from decimal import Decimal
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,6 +93,15 @@ def type_profile(kv_df: DataFrame, group_cols: str | Sequence[str], val_col: str
     )
 
 
+def _renamed(names: list[str]) -> list[Column]:
+    return [F.col(name).alias(f"_{name}") for name in names]
+
+
+def _same(names: list[str]) -> Column:
+    """Equal to the renamed columns. NULL ids are equal too, so that no row is lost."""
+    return reduce(and_, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in names])
+
+
 def _fold(kv_df: DataFrame, sets: list[str], pos: str, max_fields: int) -> DataFrame:
     """Per set: `fields`, `n_fields`, `error` and `error_pos`.
 
@@ -121,25 +132,21 @@ def _fold(kv_df: DataFrame, sets: list[str], pos: str, max_fields: int) -> DataF
     )
     # The first row after a set became full. Only full sets are looked up; a
     # large set is spread over several join parts.
-    salt = F.pmod(F.xxhash64("pos"), F.lit(SALTS))
-    full = (
-        firsts.filter(
-            F.col("full_pos").isNotNull()
-            & (F.col("bad_pos").isNull() | (F.col("bad_pos") > F.col("full_pos")))
-        )
-        .select(*sets, "full_pos", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        .withColumn("salt", F.col("salt").cast("bigint"))
-    )
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    full = firsts.filter(
+        F.col("full_pos").isNotNull()
+        & (F.col("bad_pos").isNull() | (F.col("bad_pos") > F.col("full_pos")))
+    ).select(*_renamed(sets), "full_pos", salts.alias("_salt"))
     surplus = (
-        rows.select(*sets, "pos", salt.alias("salt"))
-        .join(full, [*sets, "salt"])
+        rows.select(*sets, "pos", F.pmod(F.xxhash64("pos"), F.lit(SALTS)).alias("salt"))
+        .join(full, _same(sets) & (F.col("salt") == F.col("_salt")))
         .filter(F.col("pos") > F.col("full_pos"))
-        .groupBy(*sets)
+        .groupBy(*[f"_{name}" for name in sets])
         .agg(F.min("pos").alias("surplus_pos"))
     )
     error_pos = F.coalesce("surplus_pos", "bad_pos")
     return (
-        firsts.join(surplus, sets, "left")
+        firsts.join(surplus, _same(sets), "left")
         .withColumn("error", F.when(F.col("surplus_pos").isNotNull(), TOO_MANY).otherwise(F.col("bad")))
         .withColumn("error_pos", error_pos)
         .withColumn(
@@ -169,7 +176,7 @@ def fold_fields(
 
     A repeated key keeps its first position and its last value. The first error
     in order of `pos` decides the set, which then has no fields. `pos` must be
-    unique within a set; set ids must not be NULL.
+    unique within a set.
     """
     check_range("max_fields", max_fields, 1)
     sets = _names(set_id)

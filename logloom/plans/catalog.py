@@ -120,7 +120,7 @@ def q_parse_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = op.parse_fields(_events_kv(spark, sf_dir, PARSE_KV), "kv")
-    return op.type_profile(parsed.filter(F.col("key").isNotNull()), ["event_type", "key"], "val")
+    return op.type_profile(parsed, ["event_type", "key"], "val")
 
 
 def q_fold_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

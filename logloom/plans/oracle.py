@@ -177,14 +177,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, line_no, piece_no, line FROM pieces""",
         "parse_fields": f"WITH {parsed(PARSE_KV)} SELECT event_id, key, val, error FROM parsed",
         "type_profile": f"""WITH {parsed(PARSE_KV)},
-            kinds AS (SELECT event_type, key, {kind("val")} AS t FROM parsed
-                WHERE key IS NOT NULL)
-            SELECT event_type, key, count(*) AS n_values,
+            kinds AS (SELECT event_type, key,
+                CASE WHEN val IS NOT NULL THEN {kind("val")} END AS t FROM parsed)
+            SELECT event_type, key, count(t) AS n_values,
                 count(*) FILTER (t = 'number') AS n_number,
                 count(*) FILTER (t = 'boolean') AS n_boolean,
                 count(*) FILTER (t = 'null') AS n_null,
                 count(*) FILTER (t = 'string') AS n_string,
-                CASE WHEN count(DISTINCT t) FILTER (t <> 'null') = 0 THEN 'null'
+                CASE WHEN count(t) = 0 THEN NULL
+                     WHEN count(DISTINCT t) FILTER (t <> 'null') = 0 THEN 'null'
                      WHEN count(DISTINCT t) FILTER (t <> 'null') = 1
                      THEN min(t) FILTER (t <> 'null') ELSE 'string' END AS common_type
             FROM kinds GROUP BY 1, 2""",

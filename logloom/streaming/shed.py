@@ -26,11 +26,6 @@ def _bucketed(stream: DataFrame, event_time: str, width: str) -> DataFrame:
 _ARRIVAL = "_arrival"
 
 
-def _first(rows: pd.DataFrame, more: pd.DataFrame, order: list[str]) -> pd.DataFrame:
-    rows = more if rows is None else pd.concat([rows, more], ignore_index=True)
-    return rows.sort_values(order, kind="stable")
-
-
 def shed_stream(
     stream: DataFrame,
     event_time: str,
@@ -56,12 +51,18 @@ def shed_stream(
     kept_schema = rows.drop("bucket_end").schema
     numbered_schema = rows.withColumn(_ARRIVAL, F.lit(0).cast("bigint")).schema
 
+    # These run on the executors. They stand in here, so that they are sent there
+    # whole and the package need not be installed on every machine.
+    def first(rows: pd.DataFrame | None, more: pd.DataFrame) -> pd.DataFrame:
+        rows = more if rows is None else pd.concat([rows, more], ignore_index=True)
+        return rows.sort_values(orders, kind="stable")
+
     def admissible(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best, seen = None, 0
         for part in parts:
             part[_ARRIVAL] = range(seen, seen + len(part))
             seen += len(part)
-            by_bucket = _first(best, part, orders).groupby("bucket", sort=False, dropna=False)
+            by_bucket = first(best, part).groupby("bucket", sort=False, dropna=False)
             best = by_bucket.head(capacity)
         if best is not None:
             yield best
@@ -75,7 +76,7 @@ def shed_stream(
         (admitted,) = state.get if state.exists else (0,)
         best = None
         for part in parts:
-            best = _first(best, part, orders).head(capacity - admitted)
+            best = first(best, part).head(capacity - admitted)
         if best is None:
             return
         state.update((admitted + len(best),))

@@ -118,6 +118,7 @@ def test_set_cases(spark):
             "bad pair at the end": [*k32[:31], "k01=", "k32=v", "k33=v"],
             "bad only": ["="],
             "two bad": ["a=1", "b=", "=c"],
+            None: [*k32, "k33=v"],
         },
     )
 
