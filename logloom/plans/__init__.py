@@ -1,5 +1,5 @@
 """Whole jobs put together from the operators."""
 
-from .capture import capture, capture_frame
+from .capture import capture, capture_frame, captured_totals
 
-__all__ = ["capture", "capture_frame"]
+__all__ = ["capture", "capture_frame", "captured_totals"]

@@ -42,6 +42,35 @@ def capture_frame(
     return encode_ndjson(pieces, "line", FieldSet.of(fields), msg_key).drop("line")
 
 
+def _counted(df: DataFrame, name: str, column: str) -> DataFrame:
+    """Count rows and bytes on the way, as the observed metric `name` of the query."""
+    return df.observe(
+        name,
+        F.count(F.lit(1)).alias("rows"),
+        F.coalesce(F.sum(F.octet_length(column).cast("bigint")), F.lit(0)).alias("bytes"),
+    )
+
+
+def captured_totals(query: StreamingQuery) -> dict[str, dict[str, int]]:
+    """Rows and bytes of `lines`, `pieces` and `records` over the batches of this run.
+
+    Nothing was lost or invented when lines and pieces have the same bytes, and
+    pieces and records the same rows. A query reports a limited number of past
+    batches; beyond it this raises rather than count a part of them.
+    """
+    totals: dict[str, dict[str, int]] = {}
+    setting = "spark.sql.streaming.numRecentProgressUpdates"
+    reported = query.recentProgress
+    if len(reported) >= int(SparkSession.active().conf.get(setting, "100")):
+        raise ValueError(f"too many batches for the progress reports; raise {setting}")
+    for progress in reported:
+        for name, row in progress["observedMetrics"].items():
+            total = totals.setdefault(name, {"rows": 0, "bytes": 0})
+            total["rows"] += row["rows"]
+            total["bytes"] += row["bytes"]
+    return totals
+
+
 def capture(
     spark: SparkSession,
     in_dir: str,
@@ -66,7 +95,7 @@ def capture(
     files. With `policy="wait"` the rest waits at the source. With
     `policy="drop"` only the first `capacity` lines of every `width` of file
     time are kept. The query ends with the present input, and goes on from its
-    checkpoint when it is started again.
+    checkpoint when it is started again. `captured_totals` audits the run.
     """
     constant = FieldSet.of(fields)
     check_range("max_len", max_len, MIN_CHUNK, MAX_CHUNK)
@@ -90,9 +119,11 @@ def capture(
         )
         order = ["arrived", "path", "block"]
         lines = shed_stream(arrivals, "arrived", width, order, capacity).select("value")
-    records = encode_ndjson(cap_lines(lines, max_len, unit, "value"), "value", constant, msg_key)
+    lines = _counted(lines, "lines", "value")
+    pieces = _counted(cap_lines(lines, max_len, unit, "value"), "pieces", "value")
+    records = encode_ndjson(pieces, "value", constant, msg_key).select("json")
     return (
-        records.select("json")
+        _counted(records, "records", "json")
         .writeStream.format("text")
         .option("lineSep", "\n")
         .option("checkpointLocation", checkpoint_dir or f"{out_dir.rstrip('/')}/_checkpoint")

@@ -17,14 +17,16 @@ from ..operators.framing import BLOCK_SPAN, assemble, chunk_rows
 _BATCH, _OPEN = "batch_id", "is_open"
 
 
-def _schema(streams: list[T.StructField], with_partition: bool = True) -> T.StructType:
-    fields = [
-        *streams,
-        T.StructField("line_no", T.LongType()),
-        T.StructField("piece_no", T.LongType()),
-        T.StructField("line", T.StringType()),
-    ]
-    return T.StructType(fields + [T.StructField(_OPEN, T.IntegerType())] * with_partition)
+def _schema(streams: list[T.StructField], binary: bool) -> T.StructType:
+    return T.StructType(
+        [
+            *streams,
+            T.StructField("line_no", T.LongType()),
+            T.StructField("piece_no", T.LongType()),
+            T.StructField("line", T.BinaryType() if binary else T.StringType()),
+            T.StructField(_OPEN, T.IntegerType()),
+        ]
+    )
 
 
 def reassemble_stream(
@@ -47,15 +49,16 @@ def reassemble_stream(
     next batch. A batch that runs again after a failure overwrites its own
     folder, so every line appears once.
 
-    `data` must be text. A row with NULL `data` ends its stream: the unfinished
-    line is written and the stream forgotten. Batches must arrive in the order
-    of `seq`. Read the result with `read_reassembled`.
+    Binary chunks are cut by bytes, and their pieces are binary. A row with NULL
+    `data` ends its stream: the unfinished line is written and the stream
+    forgotten. Batches must arrive in the order of `seq`. Read the result with
+    `read_reassembled`.
     """
     check_range("max_len", max_len, 1)
-    if not isinstance(chunk_stream.schema[data].dataType, T.StringType):
-        raise ValueError("chunks of a stream must be text")
     streams = [stream] if isinstance(stream, str) else list(stream)
-    schema = _schema([chunk_stream.schema[name] for name in streams])
+    binary = isinstance(chunk_stream.schema[data].dataType, T.BinaryType)
+    schema = _schema([chunk_stream.schema[name] for name in streams], binary)
+    line = F.col("line")
 
     def open_lines(spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id == 0:
@@ -69,7 +72,7 @@ def reassemble_stream(
         carried = open_lines(batch.sparkSession, batch_id).select(
             *streams,
             F.lit(-1).cast("bigint").alias("seq"),
-            F.col("line").alias("text"),
+            (F.decode(line, "ISO-8859-1") if binary else line).alias("text"),
             F.col("line_no").alias("skip_lines"),
             (F.col("piece_no") * max_len).alias("skip_chars"),
         )
@@ -78,8 +81,9 @@ def reassemble_stream(
         flushed = pieces.join(ended.withColumn("_ended", F.lit(True)), streams, "left")
         rest = F.col("open") & F.col("_ended").isNotNull()
         (
-            flushed.filter(~rest | (F.col("line") != ""))
+            flushed.filter(~rest | (line != ""))
             .withColumn(_OPEN, (F.col("open") & ~rest).cast("int"))
+            .withColumn("line", F.encode(line, "ISO-8859-1") if binary else line)
             .select(*streams, "line_no", "piece_no", "line", _OPEN)
             .write.mode("overwrite")
             .partitionBy(_OPEN)
@@ -95,16 +99,24 @@ def reassemble_stream(
 
 
 def read_reassembled(
-    spark: SparkSession, out_dir: str, streams: list[T.StructField], with_open: bool = False
+    spark: SparkSession,
+    out_dir: str,
+    streams: list[T.StructField],
+    with_open: bool = False,
+    binary: bool = False,
 ) -> DataFrame:
-    """The lines written so far; `with_open` adds the unfinished last line of every stream."""
-    schema = _schema(streams)
+    """The lines written so far; `with_open` adds the unfinished last line of every stream.
+
+    `streams` are the id columns of the chunk stream; `binary` says that its
+    chunks were binary.
+    """
+    schema = _schema(streams, binary)
     table = spark.read.schema(schema.add(_BATCH, T.LongType())).parquet(out_dir)
     done = table.filter(F.col(_OPEN) == 0)
     if with_open:
         latest = table.agg(F.max(_BATCH).alias("latest"))
         last = table.join(F.broadcast(latest), F.col(_BATCH) == F.col("latest")).filter(
-            (F.col(_OPEN) == 1) & (F.col("line") != "")
+            (F.col(_OPEN) == 1) & (F.octet_length("line") > 0)
         )
         done = done.unionByName(last.drop("latest"))
     return done.drop(_OPEN, _BATCH)

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from logloom import (
     FieldError,
     capture,
+    captured_totals,
     read_lines,
     read_reassembled,
     reassemble_lines,
@@ -102,6 +103,18 @@ def test_capture_drops_and_keeps_the_first_lines(spark, tmp_path):
     assert values(read_lines(spark, str(tmp_path / "out"))) == ['{"msg":"%d"}' % i for i in range(4)]
 
 
+def test_capture_counts_on_the_way(spark, tmp_path):
+    put(tmp_path / "in", "1.txt", ("é" * 1030 + "\na\tb\n\n").encode())
+    query = capture(spark, str(tmp_path / "in"), str(tmp_path / "out"), max_len=1024)
+    query.awaitTermination()
+    totals = captured_totals(query)
+    assert totals["lines"] == {"rows": 3, "bytes": 2063}
+    assert totals["pieces"] == {"rows": 4, "bytes": 2063}
+    out = read_lines(spark, str(tmp_path / "out"))
+    written = out.agg(F.count("*"), F.sum(F.octet_length("value"))).first()
+    assert totals["records"] == {"rows": written[0], "bytes": written[1]}
+
+
 def test_capture_checks_before_it_writes(spark, tmp_path):
     out = tmp_path / "out"
     args = (spark, str(tmp_path), str(out))
@@ -171,6 +184,19 @@ def test_a_repeated_batch_replaces_its_own_rows(spark, tmp_path):
     assert sorted(map(tuple, read().collect())) == before == [("a", 0, 0, "x"), ("a", 1, 0, "yz")]
 
 
+def test_binary_chunks_may_break_inside_characters(spark, tmp_path):
+    data = "é🧪é\nßß\n🧪".encode()
+    schema = "stream_id string, seq bigint, data binary"
+    rows = [("a", i, bytearray(data[i : i + 1])) for i in range(len(data))]
+    for part in (rows[:3], rows[3:10], [*rows[10:], ("a", len(rows), None)]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{tmp_path}/chunks")
+        arriving = spark.readStream.schema(schema).parquet(f"{tmp_path}/chunks")
+        reassemble_stream(arriving, f"{tmp_path}/lines", f"{tmp_path}/cp").awaitTermination()
+    stream = [T.StructField("stream_id", T.StringType())]
+    got = read_reassembled(spark, f"{tmp_path}/lines", stream, binary=True).orderBy("line_no")
+    assert [bytes(r.line).decode() for r in got.collect()] == ["é🧪é", "ßß", "🧪"]
+
+
 EVENTS = "ts timestamp, n bigint"
 
 
