@@ -190,10 +190,12 @@ def assemble(
         .select(*keys, "text")
         .join(origins.select(*keys, "first_line"), keys)
         .withColumn("parts", F.split(text, LF, -1))
+        # Spark may try the slice ahead of the filter, hence the lower bound.
+        .withColumn("inside", F.greatest(F.size("parts") - 2, F.lit(0)))
         .select(
             *streams,
             "first_line",
-            F.posexplode(F.slice("parts", F.lit(2), F.size("parts") - 2)).alias("pos", "line"),
+            F.posexplode(F.slice("parts", F.lit(2), F.col("inside"))).alias("pos", "line"),
         )
         .select(*streams, (F.col("first_line") + F.col("pos") + 1).alias("line_no"), "line")
     )

@@ -8,6 +8,7 @@ return what they read back.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from .capture import capture, capture_frame
 from .samples import (
     CONTROL_FROM,
     CONTROL_TO,
+    ESCAPED_FROM,
+    ESCAPED_TO,
     FOLD_KV,
     NUL_FROM,
     PARSE_KV,
@@ -174,6 +177,16 @@ def _with_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text"))
 
 
+def _with_escapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with letters turned into quotes, backslashes and frequent controls."""
+    text = F.translate("text", ESCAPED_FROM, ESCAPED_TO)
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", text.alias("text"))
+
+
+def q_encode_ndjson_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.encode_ndjson(_with_escapes(spark, sf_dir), "text").select("doc_id", "json")
+
+
 def q_encode_ndjson_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.encode_ndjson(_with_controls(spark, sf_dir), "text").select("doc_id", "json")
 
@@ -212,6 +225,18 @@ def q_shed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.shed_report(_table(spark, sf_dir, "events").select(_hour()), "hour", 8)
 
 
+@contextmanager
+def _state_partitions(spark: SparkSession):
+    """At most two state partitions per core: a stream keeps every one of them in every batch."""
+    setting = "spark.sql.shuffle.partitions"
+    given = spark.conf.get(setting)
+    spark.conf.set(setting, min(int(given), 2 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, given)
+
+
 def _event_deliveries(spark: SparkSession, sf_dir: str, base: str):
     """Write the events in three deliveries in the order of time; yield the stream after each."""
     events = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -223,16 +248,17 @@ def _event_deliveries(spark: SparkSession, sf_dir: str, base: str):
 
 def q_shed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_dir(spark, "shed")
-    for arriving in _event_deliveries(spark, sf_dir, base):
-        kept = shed_stream(arriving, "ts", "1 hour", ["ts", "event_id"], 8)
-        (
-            kept.select(_hour(), "event_id", "event_type")
-            .writeStream.format("parquet")
-            .option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True)
-            .start(f"{base}/kept")
-            .awaitTermination()
-        )
+    with _state_partitions(spark):
+        for arriving in _event_deliveries(spark, sf_dir, base):
+            kept = shed_stream(arriving, "ts", "1 hour", ["ts", "event_id"], 8)
+            (
+                kept.select(_hour(), "event_id", "event_type")
+                .writeStream.format("parquet")
+                .option("checkpointLocation", f"{base}/checkpoint")
+                .trigger(availableNow=True)
+                .start(f"{base}/kept")
+                .awaitTermination()
+            )
     return spark.read.parquet(f"{base}/kept")
 
 
@@ -245,16 +271,17 @@ def q_shed_stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"{base}/report"
         )
 
-    for arriving in _event_deliveries(spark, sf_dir, base):
-        (
-            shed_stream_report(arriving, "ts", "1 hour", 8)
-            .writeStream.foreachBatch(replace)
-            .outputMode("complete")
-            .option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
+    with _state_partitions(spark):
+        for arriving in _event_deliveries(spark, sf_dir, base):
+            (
+                shed_stream_report(arriving, "ts", "1 hour", 8)
+                .writeStream.foreachBatch(replace)
+                .outputMode("complete")
+                .option("checkpointLocation", f"{base}/checkpoint")
+                .trigger(availableNow=True)
+                .start()
+                .awaitTermination()
+            )
     return spark.read.parquet(f"{base}/report")
 
 
@@ -313,9 +340,9 @@ def q_capture_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_capture_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = capture_frame(
-        _with_controls(spark, sf_dir), ["doc_id", "source"], "text", RUN_FIELDS, 1024
+        _with_escapes(spark, sf_dir), ["doc_id", "source"], "text", RUN_FIELDS, 1024
     )
-    raw = op.split_lines(_with_controls(spark, sf_dir), "source", "text")
+    raw = op.split_lines(_with_escapes(spark, sf_dir), "source", "text")
     return op.capture_audit(raw, records, "source")
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from .samples import (
     CONTROL_FROM,
     CONTROL_TO,
+    ESCAPED_FROM,
+    ESCAPED_TO,
     FOLD_KV,
     NUL_FROM,
     PARSE_KV,
@@ -51,6 +53,9 @@ CONTROLS = (
 )
 
 
+ESCAPED = f"translate(text, '{ESCAPED_FROM}', {text_literal(ESCAPED_TO)})"
+
+
 def lines(text: str = "text") -> str:
     return f"""lines AS (
     SELECT doc_id, source, unnest(generate_series(0, len(parts) - 1)) AS line_no,
@@ -208,6 +213,8 @@ def oracle_sql() -> dict[str, str]:
             {FRONT} || {escape("html")} || '"}}' AS json FROM pages""",
         "encode_ndjson_controls": f"""SELECT doc_id,
             '{{"msg":"' || {escape(CONTROLS)} || '"}}' AS json FROM documents""",
+        "encode_ndjson_escaped": f"""SELECT doc_id,
+            '{{"msg":"' || {escape(ESCAPED)} || '"}}' AS json FROM documents""",
         "encode_with": """SELECT conv_id, turn,
             '"chat","7","' || replace(text, '"', '""') || '"' AS record FROM conversations""",
         "truncate_encoded": f"""SELECT page_id, regexp_extract(substr({escape("html")}, 1, 256),
@@ -229,7 +236,7 @@ def oracle_sql() -> dict[str, str]:
         "write_ndjson": f"{CAPTURED} FROM pieces",
         "capture": f"{CAPTURED} FROM pieces",
         "capture_frame": f"{CAPTURED}, doc_id, line_no, piece_no FROM pieces",
-        "capture_audit": f"""WITH {lines(CONTROLS)}, {pieces(1024)},
+        "capture_audit": f"""WITH {lines(ESCAPED)}, {pieces(1024)},
             ins AS (SELECT source, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS b
                 FROM lines GROUP BY 1),
             outs AS (SELECT source, count(*) AS n,

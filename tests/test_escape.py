@@ -110,6 +110,23 @@ def test_every_escaped_byte_alone_and_inside_a_text(spark):
         assert (row.t, row.u, row.n) == (want, f"a{want}é", 1)
 
 
+def test_every_other_character_is_left_alone(spark):
+    codes = [c for c in range(128, 0x10000) if not 0xD800 <= c <= 0xDFFF]
+    texts = ["".join(map(chr, codes[i : i + 512])) for i in range(0, len(codes), 512)]
+    texts += ["".join(map(chr, range(plane, plane + 512))) for plane in range(0x10000, 0x110000, 0x8000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert rows.filter(escape_json(F.col("t")) != F.col("t")).count() == 0
+    # The same next to a control that takes the other way.
+    marked = F.concat(F.lit("\x01"), F.col("t"))
+    wanted = F.concat(F.lit("\\u0001"), F.col("t"))
+    assert rows.filter(escape_json(marked) != wanted).count() == 0
+
+
+def test_null_stays_null(spark):
+    rows = spark.createDataFrame([(None,)], "t string")
+    assert rows.select(escape_json(F.col("t")).alias("e")).first().e is None
+
+
 def test_bytes_that_are_not_utf8_pass_unchanged(spark):
     rows = spark.createDataFrame([(bytearray(b'c\xffd"\n'),)], "b binary")
     got = rows.select(F.hex(escape_json(F.col("b").cast("string"))).alias("h")).first().h

@@ -164,6 +164,16 @@ def test_one_stream_that_is_the_whole_table(spark):
     assert got == {"hot": list(enumerate(lines_of(text)))}
 
 
+@pytest.mark.parametrize("max_len", [None, 16384])
+def test_a_stream_without_any_line_feed(spark, max_len):
+    frame = spark.range(500).select(
+        F.lit("hot").alias("stream_id"), F.col("id").alias("seq"), F.repeat(F.lit("x"), 100).alias("data")
+    )
+    got = reassemble_lines(frame, max_len=max_len).collect()
+    assert sum(len(r.line) for r in got) == 50000
+    assert len(got) == (1 if max_len is None else 4)
+
+
 def test_texts_stay_out_of_the_windows(spark, documents):
     chunks = chunk_text(documents, "doc_id", "text", 64)
     plan = reassemble_lines(chunks, "doc_id")._jdf.queryExecution().executedPlan().toString()
