@@ -2,11 +2,11 @@
 
 The JVM's JSON writer escapes a text in one pass, but differs from the record
 format in two points: hex digits in upper case, and DEL left alone. It also
-replaces bytes that are not valid UTF-8. So its result is taken when a look at it
-shows that none of this can matter, which is nearly always. Other texts go
-through chains of byte-level `replace` calls, which keep every byte. `replace`
-scans the whole text once per call, so the chains come in tiers behind
-regular-expression guards.
+replaces bytes that are not valid UTF-8. Nearly always one look at its result
+shows that none of this matters. Where it does, the few escapes concerned are put
+right with `replace`, as long as the text has no `\\u00` of its own that could be
+mistaken for one. All other texts go through a chain of byte-level `replace`
+calls, which keeps every byte but scans the text once per call.
 """
 
 from __future__ import annotations
@@ -37,16 +37,18 @@ LONG_CONTROL_ESCAPES = [
 
 NEEDS_ESCAPE = r'[\x00-\x1f"\\\x7f]'
 
-# The start of the escape sequences of coloured terminal output, by far the most
-# frequent of the long ones.
-_ESC = [("\x1b", "\\u001b")]
-# (what a text must not contain, the replacements that are then enough)
-_TIERS = [
-    (NEEDS_ESCAPE, []),
-    (r"[\x00-\x1f\x7f]", PRINTABLE_ESCAPES),
-    (r"[\x00-\x1a\x1c-\x1f\x7f]", PRINTABLE_ESCAPES + _ESC),
-    (r"[\x00-\x07\x0b\x0e-\x1a\x1c-\x1f\x7f]", PRINTABLE_ESCAPES + SHORT_CONTROL_ESCAPES + _ESC),
+# Characters that the JSON writer treats differently: hex digits above 9, and DEL.
+_DIFFERENT = r"[\x0b\x0e\x0f\x1a-\x1f\x7f]"
+# The same without ESC, which starts the sequences of coloured terminal output
+# and is by far the most frequent of them.
+_DIFFERENT_BUT_ESC = r"[\x0b\x0e\x0f\x1a\x1c-\x1f\x7f]"
+_ESC_CASE = [("\\u001B", "\\u001b")]
+_CASES = [
+    (escape.replace(escape[2:], escape[2:].upper()), escape)
+    for _, escape in LONG_CONTROL_ESCAPES
+    if escape[2:] != escape[2:].upper()
 ]
+_DEL = [("\x7f", "\\u007f")]
 
 
 def _replace_all(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -63,16 +65,18 @@ def _json_body(text: Column) -> Column:
 
 def escape_json(text: Column) -> Column:
     """`text` as the inside of a JSON string literal."""
-    exact = _replace_all(text, PRINTABLE_ESCAPES + SHORT_CONTROL_ESCAPES + LONG_CONTROL_ESCAPES)
-    for others, pairs in reversed(_TIERS):
-        exact = F.when(~text.rlike(others), _replace_all(text, pairs)).otherwise(exact)
-    body = _json_body(text)
-    plain = (
-        ~F.contains(body, F.lit("\\u00"))
-        & ~F.contains(body, F.lit("\x7f"))
-        & F.is_valid_utf8(text)
+    body, long_escape = _json_body(text), F.lit("\\u00")
+    valid = F.is_valid_utf8(text)
+    clear = valid & ~F.contains(text, long_escape)
+    same = ~F.contains(body, long_escape) & ~F.contains(body, F.lit("\x7f")) & valid
+    return (
+        F.when(same | (valid & ~text.rlike(_DIFFERENT)), body)
+        .when(clear & ~text.rlike(_DIFFERENT_BUT_ESC), _replace_all(body, _ESC_CASE))
+        .when(clear, _replace_all(body, _CASES + _DEL))
+        .otherwise(
+            _replace_all(text, PRINTABLE_ESCAPES + SHORT_CONTROL_ESCAPES + LONG_CONTROL_ESCAPES)
+        )
     )
-    return F.when(plain, body).otherwise(exact)
 
 
 def escaped_bytes(text: Column) -> Column:

@@ -1,6 +1,7 @@
 """Escaping, truncation and literal rendering, case by case."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,6 +123,19 @@ def test_every_other_character_is_left_alone(spark):
     assert rows.filter(escape_json(marked) != wanted).count() == 0
 
 
+def test_random_mixes_of_every_class(spark):
+    rng = random.Random(5)
+    items = ["\\", '"', "\\u001B", "\\u00e9", "u001B", "\x1b", "\x0b", "\x1f", "\x7f", "\x01", "\n", "a", "é🧪"]
+    texts = set()
+    for _ in range(4000):
+        some = rng.sample(items, rng.randint(1, 5))
+        texts.add("".join(rng.choice(some) for _ in range(rng.randint(1, 8))))
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in rows.select("t", escape_json(F.col("t")).alias("e")).collect():
+        # A letter in front, so that the text is a string in any case.
+        assert row.e == _render("x" + row.t, False)[2:-1]
+
+
 def test_null_stays_null(spark):
     rows = spark.createDataFrame([(None,)], "t string")
     assert rows.select(escape_json(F.col("t")).alias("e")).first().e is None
