@@ -40,3 +40,10 @@ def check_unit(unit: str, size: int) -> None:
     """Byte cuts move back by up to 3 bytes, so a byte size needs room for one character."""
     check_choice("unit", unit, UNITS)
     check_range("size", size, 4 if unit == "byte" else 1)
+
+
+def check_free(columns: list[str], taken: tuple[str, ...]) -> None:
+    """Raise ValueError when one of `columns` has a name that the operator itself uses."""
+    clash = sorted(set(columns) & set(taken))
+    if clash:
+        raise ValueError(f"rename the columns {', '.join(clash)}; the operator uses these names")

@@ -31,6 +31,7 @@ from ..limits import (
     MAX_VALUE_BYTES,
     MESSAGE_KEY,
     TOO_MANY,
+    check_free,
     check_range,
 )
 
@@ -110,6 +111,7 @@ def _fold(kv_df: DataFrame, sets: list[str], pos: str, max_fields: int) -> DataF
     before they shuffle. The ranking keeps `max_fields` keys per set, which
     Spark prunes in every partition before the shuffle.
     """
+    check_free(sets, ("key", "val", "error", "pos", "error_pos", "fields", "n_fields"))
     rows = kv_df.select(*sets, F.col(pos).alias("pos"), "key", "val", "error")
     per_key = rows.groupBy(*sets, "key", "error").agg(
         F.min("pos").alias("pos"), F.max_by("val", "pos").alias("val")
@@ -147,7 +149,10 @@ def _fold(kv_df: DataFrame, sets: list[str], pos: str, max_fields: int) -> DataF
     error_pos = F.coalesce("surplus_pos", "bad_pos")
     return (
         firsts.join(surplus, _same(sets), "left")
-        .withColumn("error", F.when(F.col("surplus_pos").isNotNull(), TOO_MANY).otherwise(F.col("bad")))
+        .withColumn(
+            "error",
+            F.when(F.col("surplus_pos").isNotNull(), TOO_MANY).otherwise(F.col("bad")),
+        )
         .withColumn("error_pos", error_pos)
         .withColumn(
             "n_fields",

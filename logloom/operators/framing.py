@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cuts import byte_blocks, byte_pieces, char_pieces, int_div
-from ..limits import UNITS, check_choice, check_range, check_unit
+from ..limits import UNITS, check_choice, check_free, check_range, check_unit
 
 LF = "\n"
 
@@ -211,11 +211,11 @@ def assemble(
         F.when(
             F.contains(text, F.lit(LF)),
             F.array(
-                F.struct(F.lit(True).alias("ended"), F.substring_index(text, LF, 1).alias("part")),
-                F.struct(F.lit(False).alias("ended"), F.substring_index(text, LF, -1).alias("part")),
+                _end(True, F.substring_index(text, LF, 1)),
+                _end(False, F.substring_index(text, LF, -1)),
             ),
         )
-        .otherwise(F.array(F.struct(F.lit(False).alias("ended"), text.alias("part"))))
+        .otherwise(F.array(_end(False, text)))
         .alias("ends"),
         _line_feeds(text).alias("line_feeds"),
     )
@@ -255,6 +255,10 @@ def assemble(
     )
 
 
+def _end(ended: bool, part: Column) -> Column:
+    return F.struct(F.lit(ended).alias("ended"), part.alias("part"))
+
+
 def _cut_parts(parts: DataFrame, keys: list[str], max_len: int) -> DataFrame:
     """Cut parts of a line where the whole line is cut: every `max_len` from its start."""
     part, offset = F.col("part"), F.col("offset")
@@ -287,6 +291,7 @@ def chunk_rows(
     character per byte, which keeps every byte through the string operations.
     """
     streams = _names(stream)
+    check_free(streams, ("seq", "text", "line_no", "piece_no", "line", "open"))
     binary = isinstance(chunks.schema[data].dataType, T.BinaryType)
     text = F.decode(F.col(data), "ISO-8859-1") if binary else F.col(data)
     zero = F.lit(0).cast("bigint")

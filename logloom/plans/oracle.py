@@ -170,8 +170,8 @@ def oracle_sql() -> dict[str, str]:
         "chunk_text": """SELECT doc_id, seq, substr(text, seq * 1024 + 1, 1024) AS data FROM (
             SELECT doc_id, text, unnest(generate_series(0, (length(text) + 1023) // 1024 - 1))
                 AS seq FROM documents)""",
-        "chunk_text_bytes": """SELECT doc_id, seq, substr(h, seq * 2048 + 1, 2048) AS data_hex FROM (
-            SELECT doc_id, hex(encode(text)) AS h,
+        "chunk_text_bytes": """SELECT doc_id, seq, substr(h, seq * 2048 + 1, 2048) AS data_hex
+            FROM (SELECT doc_id, hex(encode(text)) AS h,
                 unnest(generate_series(0, (strlen(text) + 1023) // 1024 - 1)) AS seq
             FROM documents)""",
         "reassemble_lines": split,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..limits import check_range
+from ..limits import check_free, check_range
 from ..operators.flow import shed_counts
 
 
@@ -44,6 +44,7 @@ def shed_stream(
     task receives a whole large bucket.
     """
     check_range("capacity", capacity, 1)
+    check_free(stream.columns, ("bucket", "bucket_end", _ARRIVAL))
     orders = [*([order] if isinstance(order, str) else order), _ARRIVAL]
     rows = _bucketed(stream, event_time, width).withColumn(
         event_time, F.col(event_time).cast("timestamp")

@@ -94,6 +94,7 @@ def test_sizes_are_checked(spark):
         lambda: chunk_text(frame, "id", "text", 5, "word"),
         lambda: cap_lines(frame, 3, "byte", "text"),
         lambda: reassemble_lines(frame, "id", "id", "text", max_len=0),
+        lambda: reassemble_lines(frame.withColumnRenamed("id", "line"), "line", "line", "text"),
     ):
         with pytest.raises(ValueError):
             call()
