@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, gram_hashes, multipliers, saved
+from .common import WordHashes, components, gram_hashes, multipliers, row_key, saved, without_rows
 
 # MinHash samples per set: BANDS bands of ROWS samples. A pair at similarity 0.8
 # shares no band once in 1.6 million times.
@@ -19,10 +19,13 @@ BANDS, ROWS = 36, 5
 # Bits of an odd sketch, kept as 64-bit numbers.
 SKETCH_BITS = 1024
 # A candidate goes on to exact confirmation if its sketches say at least the
-# threshold less this margin, over five standard deviations of the estimate.
-MARGIN = 0.18
+# threshold less this margin, nearly five standard deviations of the estimate.
+MARGIN = 0.15
 # Members of a bucket that one task compares at a time.
 BLOCK = 2048
+# Rounds of other pivots, at most, before the pairs that are left in buckets are
+# compared, and the pairs per bucket member that are not worth a round.
+ROUNDS, FEW_PAIRS = 5, 2
 
 _WORDS = SKETCH_BITS // 64
 
@@ -50,7 +53,7 @@ def _signatures(size: int):
         band_factors = multipliers(ROWS, 4)
         spot_factors = (multipliers(samples, 5) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
+            keys_in, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             counts, prints, bands, sketches = [], [], [], []
             for text in texts:
                 grams = shingle_set(text or b"", size, hashes, factors)
@@ -76,13 +79,13 @@ def _signatures(size: int):
                 sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids,
+                    keys_in,
                     pa.array(counts, pa.int64()),
                     pa.array(prints, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())),
                     pa.array(sketches, pa.list_(pa.int64())),
                 ],
-                ["id", "n_shingles", "print", "bands", "sketch"],
+                ["key", "n_shingles", "print", "bands", "sketch"],
             )
 
     return run
@@ -139,6 +142,8 @@ def _compared(least: float):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = group[group["block"] == group["bi"]]
         second = group[group["block"] == group["bj"]]
+        if first.empty or second.empty:
+            return pd.DataFrame({"a": [], "b": []})
         sketch = np.stack(second["sketch"].to_numpy()).astype(np.int64)
         nodes, labels, sizes = (second[c].to_numpy() for c in ("node", "label", "n_shingles"))
         found = []
@@ -168,15 +173,16 @@ def near_duplicates(
 
     Words are runs of anything but ASCII white space, with A-Z in lower case; the
     set of a document is its distinct `shingle`-word shingles, or its whole word
-    sequence if it has fewer words. Returns per row: the id, `n_shingles`,
+    sequence if it has fewer words. Returns per row: its key, the id, `n_shingles`,
     `component_id` (the smallest id that links reach, its own included) and
     `kept` (is it that smallest one).
 
     Equal sets are one class and take part once. Classes meet in the buckets of
     MinHash bands. In every bucket all members are compared with its smallest one
-    only; then, in the buckets whose other members are not in one component yet,
-    the remaining pairs between components are compared by sketch in blocks. So
-    a group of thousands of near copies costs its size, not its square. Pairs
+    only. Where a bucket still holds several components, a few rounds of other
+    pivots bring them together, and the pairs between components that are left
+    after that are compared by sketch in blocks. So a group of thousands of near
+    copies costs its size, not its square. Pairs
     whose odd sketches say that they cannot reach the threshold are left out; all
     others are confirmed on their full sets.
 
@@ -191,11 +197,13 @@ def near_duplicates(
     least = percent / 100 - MARGIN
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = saved(
-        rows.mapInArrow(
+        docs.select(row_key(id_col, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+        .mapInArrow(
             _signatures(shingle),
-            f"id {id_type}, n_shingles bigint, print binary, bands array<bigint>, "
-            "sketch array<bigint>",
-        ),
+            f"key struct<id:{id_type},content:bigint>, n_shingles bigint, print binary, "
+            "bands array<bigint>, sketch array<bigint>",
+        )
+        .select("key", "key.id", "n_shingles", "print", "bands", "sketch"),
         "near-dup-signed",
     )
     classes = (
@@ -226,42 +234,79 @@ def near_duplicates(
             F.col("n_shingles").alias(f"n_{name}"),
         )
 
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of `pairs` that may be similar enough by their sizes and sketches."""
+        return saved(
+            pairs.join(side("a"), "a").join(side("b"), "b")
+            .filter(
+                (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+                & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= least)
+            )
+            .select("a", "b"),
+            "near-dup-pairs",
+        )
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return saved(_confirmed(pairs, rows, id_type, shingle, percent), "near-dup-links")
+
     stars = members.filter("node != pivot").select(
         F.col("pivot").alias("a"), F.col("node").alias("b")
-    ).distinct()
-    likely = saved(
-        stars.join(side("a"), "a").join(side("b"), "b")
-        .filter(
-            (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-            & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= least)
-        )
-        .select("a", "b"),
-        "near-dup-pairs",
     )
-    links = saved(_confirmed(likely, rows, id_type, shingle, percent), "near-dup-links")
+    tried = likely(stars.distinct())
+    links = confirmed(tried)
     groups = components(links, "near-dup-groups")
 
-    # Buckets with members, other than the pivot, that are still apart.
-    labelled = members.filter("n > 2 AND node != pivot").join(groups, "node", "left").withColumn(
-        "label", F.coalesce("component", "node")
-    )
-    open_buckets = (
-        labelled.groupBy("key")
-        .agg(
-            F.min("label").alias("low"),
-            F.max("label").alias("high"),
-            F.count(F.lit(1)).alias("m"),
+    def still_apart() -> DataFrame:
+        """Members of the buckets that hold more than one component, with their `label`."""
+        labelled = members.filter("n > 2").select("key", "node").join(groups, "node", "left")
+        labelled = labelled.withColumn("label", F.coalesce("component", "node"))
+        parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        open_buckets = (
+            parts.groupBy("key")
+            .agg(
+                F.count(F.lit(1)).alias("labels"),
+                F.sum("c").alias("m"),
+                F.sum(F.col("c") * F.col("c")).alias("squares"),
+            )
+            .filter("labels > 1")
         )
-        .filter("low != high")
-        .select("key", F.ceil(F.col("m") / BLOCK).cast("bigint").alias("blocks"))
-    )
-    apart = saved(
-        labelled.select("key", "node", "label").join(open_buckets, "key"), "near-dup-apart"
-    )
+        return saved(
+            labelled.select("key", "node", "label").join(open_buckets, "key"), "near-dup-apart"
+        )
+
+    apart = still_apart()
+    for turn in range(ROUNDS):
+        # Pairs between components, each member's share, against the members.
+        pairs, n = apart.agg(
+            F.sum((F.col("m") - F.col("squares") / F.col("m")) / 2), F.count(F.lit(1))
+        ).first()
+        if not n or pairs <= FEW_PAIRS * n:
+            break
+        # Another member of each bucket is the pivot, for those of other components.
+        chosen = apart.groupBy("key").agg(
+            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("pivot")
+        )
+        fresh_pairs = (
+            apart.join(chosen, "key")
+            .filter("label != pivot.label")
+            .select(
+                F.least("node", "pivot.node").alias("a"),
+                F.greatest("node", "pivot.node").alias("b"),
+            )
+            .distinct()
+            .join(tried, ["a", "b"], "left_anti")
+        )
+        more = likely(fresh_pairs)
+        tried = tried.unionByName(more)
+        links = links.unionByName(confirmed(more))
+        groups = components(links, "near-dup-groups")
+        apart = still_apart()
+
     if not apart.isEmpty():
-        block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        blocks = F.ceil(F.col("m") / BLOCK).cast("bigint")
         paired = (
-            apart.withColumn("block", block)
+            apart.withColumn("blocks", blocks)
+            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
             .select(
                 "key", "node", "label", "block",
@@ -272,10 +317,9 @@ def near_duplicates(
         found = paired.groupBy("key", "bi", "bj").applyInPandas(
             _compared(least), f"a {id_type}, b {id_type}"
         )
-        late = saved(found.distinct().join(likely, ["a", "b"], "left_anti"), "near-dup-late")
+        late = saved(found.distinct().join(tried, ["a", "b"], "left_anti"), "near-dup-late")
         if not late.isEmpty():
-            more = _confirmed(late, rows, id_type, shingle, percent)
-            links = saved(links.unionByName(more), "near-dup-links")
+            links = links.unionByName(confirmed(late))
             groups = components(links, "near-dup-groups")
 
     roots = classes.select("print", "node").join(groups, "node", "left").select(
@@ -283,9 +327,10 @@ def near_duplicates(
     )
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return (
-        signed.select("id", "n_shingles", "print")
+        signed.select("key", "id", "n_shingles", "print")
         .join(roots, "print", "left")
         .select(
+            "key",
             F.col("id").alias(id_col),
             "n_shingles",
             component.alias("component_id"),
@@ -296,5 +341,5 @@ def near_duplicates(
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the documents that `near_duplicates` does not keep."""
-    dropped = near_duplicates(docs, id_col, text_col).filter("NOT kept").select(id_col)
-    return docs.join(dropped.distinct(), id_col, "left_anti")
+    dropped = near_duplicates(docs, id_col, text_col).filter("NOT kept")
+    return without_rows(docs, dropped, id_col, text_col)
