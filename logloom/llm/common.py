@@ -40,6 +40,22 @@ def row_key(id_col: str, content: Column) -> Column:
     return F.struct(F.col(id_col).alias("id"), F.xxhash64(content).alias("content"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, with underscores in front until no column of `df` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` without the rows whose key is in `dropped` (`key`)."""
+    own = fresh(docs, "row_key")
+    keyed = docs.withColumn(own, row_key(id_col, F.col(text_col)))
+    keys = dropped.select(F.col("key").alias(f"{own}_dropped")).distinct()
+    return keyed.join(keys, F.col(own) == F.col(f"{own}_dropped"), "left_anti").drop(own)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit numbers."""
     h = (h ^ (h >> np.uint64(30))) * _MIX[0]

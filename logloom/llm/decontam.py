@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import row_key, saved
+from .common import row_key, saved, without_rows
 
 # Words of a shingle; items with fewer words are one shingle.
 SHINGLE = 5
@@ -214,8 +214,5 @@ def without_benchmark(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """`docs` without the contaminated ones."""
-    dropped = contamination(docs, benchmark, id_col, text_col).filter("contaminated").select("key")
-    keyed = docs.withColumn("_key", row_key(id_col, F.col(text_col)))
-    return keyed.join(dropped.distinct(), F.col("_key") == F.col("key"), "left_anti").select(
-        *docs.columns
-    )
+    found = contamination(docs, benchmark, id_col, text_col).filter("contaminated")
+    return without_rows(docs, found, id_col, text_col)

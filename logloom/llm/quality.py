@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
+from .common import fresh, saved
 
 # Every fifth document by this hash is held out; its label is never read.
 FOLDS = 5
@@ -244,9 +244,10 @@ def fitted(
 
 
 def scored(
-    docs: DataFrame, weights: list[float], id_col: str, text_col: str, threshold: float
+    docs: DataFrame, weights: list[float], text_col: str = "text"
 ) -> DataFrame:
-    """`docs` with `_score` and `_predicted` by given weights. No shuffle."""
+    """`docs` with their scores by given weights, in one more column, its last. No shuffle."""
+    name = fresh(docs, "score")
     given = np.asarray(weights)
     at = docs.columns.index(text_col)
 
@@ -256,13 +257,11 @@ def scored(
             x = np.array([shape(t or "") for t in texts]).reshape(len(texts), FEATURES)
             score = pa.array(logistic(expanded(x) @ given), pa.float64())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, score], [*batch.schema.names, "_score"]
+                [*batch.columns, score], [*batch.schema.names, name]
             )
 
-    types = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.mapInArrow(run, types).withColumn(
-        "_predicted", (F.col("_score") >= threshold).cast("int")
-    )
+    types = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(run, types)
 
 
 def accepted(
@@ -275,5 +274,5 @@ def accepted(
 ) -> DataFrame:
     """`docs` without those that the classifier rejects."""
     weights, _ = fitted(docs, labels, id_col, text_col, label_col)
-    judged = scored(docs, weights, id_col, text_col, threshold)
-    return judged.filter("_predicted = 1").select(*docs.columns)
+    judged = scored(docs, weights, text_col)
+    return judged.filter(F.col(judged.columns[-1]) >= threshold).select(*docs.columns)

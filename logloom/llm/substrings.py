@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, gram_hashes, multipliers, row_key, saved
+from .common import WordHashes, fresh, gram_hashes, multipliers, row_key, saved
 
 # Words of an anchor. A window of W words holds W - ANCHOR + 1 candidates, of
 # which the one with the smallest hash is its anchor.
@@ -219,7 +219,13 @@ def remove_repeats(
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with repeated passages cut out of the texts. Untouched texts stay as they are."""
-    cut = remove_repeats(docs, id_col, text_col).filter("n_removed > 0").select("key", "kept_text")
-    keyed = docs.withColumn("_key", row_key(id_col, F.col(text_col)))
-    joined = keyed.join(cut.dropDuplicates(["key"]), F.col("_key") == F.col("key"), "left")
-    return joined.withColumn(text_col, F.coalesce("kept_text", text_col)).select(*docs.columns)
+    own = fresh(docs, "row_key")
+    cut = (
+        remove_repeats(docs, id_col, text_col)
+        .filter("n_removed > 0")
+        .groupBy(F.col("key").alias(f"{own}_cut"))
+        .agg(F.first("kept_text").alias(f"{own}_text"))
+    )
+    keyed = docs.withColumn(own, row_key(id_col, F.col(text_col)))
+    joined = keyed.join(cut, F.col(own) == F.col(f"{own}_cut"), "left")
+    return joined.withColumn(text_col, F.coalesce(f"{own}_text", text_col)).select(*docs.columns)
