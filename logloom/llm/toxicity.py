@@ -16,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
 from .quality import held_out, logistic
 
 # Labelled documents that the lexicon is learned from, at most: those whose ids
@@ -159,13 +160,25 @@ def learned_lexicon(
         for row in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     }
     n_toxic, n_clean = by_label.get(True, 0), by_label.get(False, 0)
-    words = (
+    words = saved(
         sample.select("text", "toxic")
         .mapInArrow(_seen, "word string, context bigint, clean bigint")
         .groupBy("word")
         .agg(F.count_distinct("context").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter("toxic > 0")
+        .filter("toxic > 0"),
+        "toxic-words",
     )
+    # A word counts if chance would give one like it less than once in ten lexicons.
+    share = (n_toxic + 1) / (n_toxic + n_clean + 2)
+    surprise = math.log(10 * max(words.count(), 1))
+
+    def surprising(toxic: str, clean: str):
+        """Log likelihood ratio of a word's own share of toxic texts to that of all texts."""
+        t, c = F.col(toxic).cast("double"), F.col(clean).cast("double")
+        gain = t * F.log(t / ((t + c) * share)) + F.when(
+            c > 0, c * F.log(c / ((t + c) * (1 - share)))
+        ).otherwise(0.0)
+        return gain >= surprise
 
     def odds(toxic: str, clean: str):
         return F.log((F.col(toxic) + 0.5) / (n_toxic + 1)) - F.log(
@@ -173,7 +186,9 @@ def learned_lexicon(
         )
 
     whole = words.filter(
-        (F.col("toxic") >= CONTEXTS) & (odds("toxic", "clean") >= LEAST_ODDS)
+        (F.col("toxic") >= CONTEXTS)
+        & (odds("toxic", "clean") >= LEAST_ODDS)
+        & surprising("toxic", "clean")
     ).select(F.concat(F.lit(" "), "word", F.lit(" ")).alias("entry"), "toxic", "clean", F.lit(1).alias("n"))
     lengths = F.array(*[F.lit(n) for n in STEMS])
     stems = (
@@ -185,6 +200,7 @@ def learned_lexicon(
             (F.col("toxic") >= CONTEXTS)
             & (F.col("n") >= STEM_WORDS)
             & (odds("toxic", "clean") >= LEAST_ODDS)
+            & surprising("toxic", "clean")
         )
     )
     entries = (
