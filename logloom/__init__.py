@@ -5,7 +5,13 @@ from .operators import __all__ as _operators
 from .plans import capture, capture_frame, captured_totals
 from .sinks import write_ndjson
 from .sources import read_lines, stream_lines
-from .streaming import read_reassembled, reassemble_stream, shed_stream, shed_stream_report
+from .streaming import (
+    read_reassembled,
+    read_shed,
+    reassemble_stream,
+    shed_stream,
+    shed_stream_report,
+)
 
 __all__ = [
     *_operators,
@@ -14,6 +20,7 @@ __all__ = [
     "captured_totals",
     "read_lines",
     "read_reassembled",
+    "read_shed",
     "reassemble_stream",
     "shed_stream",
     "shed_stream_report",

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..limits import UNITS, check_choice, check_range
-from .cuts import byte_prefix
+from .cuts import byte_prefix, text_bytewise
 
 # Bytes with a two-character escape. The backslash goes first,
 # because the other replacements introduce backslashes.
@@ -100,12 +100,21 @@ def truncate_escaped(text: Column, budget: int, unit: str = "char") -> Column:
 
     Every character takes at least one unit once escaped, so only the first
     `budget` units of the message can appear in the result and only those are
-    escaped.
+    escaped. In a text that is not UTF-8 every byte counts as a character.
     """
     check_range("budget", budget, 0)
-    if unit == "char":
-        cut = F.substring(escape_json(F.substring(text, 1, budget)), 1, budget)
-    else:
-        check_choice("unit", unit, UNITS)
-        cut = byte_prefix(escape_json(byte_prefix(text, budget)), budget)
-    return F.regexp_replace(cut, _CUT_ESCAPE, "$1")
+    check_choice("unit", unit, UNITS)
+
+    def truncated(part: Column) -> Column:
+        if unit == "char":
+            cut = F.substring(escape_json(F.substring(part, 1, budget)), 1, budget)
+        else:
+            cut = byte_prefix(escape_json(byte_prefix(part, budget)), budget)
+        return F.regexp_replace(cut, _CUT_ESCAPE, "$1")
+
+    def truncated_bytes(part: Column) -> Column:
+        # One character per byte here, so both units are the same.
+        cut = F.substring(escape_json(F.substring(part, 1, budget)), 1, budget)
+        return F.regexp_replace(cut, _CUT_ESCAPE, "$1")
+
+    return text_bytewise(text, truncated, truncated_bytes)

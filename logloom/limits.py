@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 # Fixed values of the format.
 MAX_FIELDS = 32
 MAX_KEY_BYTES = 32
@@ -15,6 +18,9 @@ BAD_KEY = "EINV_FIELD_KEY"
 BAD_VALUE = "EINV_FIELD_VAL"
 TOO_MANY = "ETOO_MANY_FIELD"
 
+# Fixed value: the alphabet of field keys.
+KEY_ALPHABET = "A-Za-z0-9_-"
+
 UNITS = ("char", "byte")
 POLICIES = ("wait", "drop")
 
@@ -47,3 +53,15 @@ def check_free(columns: list[str], taken: tuple[str, ...]) -> None:
     clash = sorted(set(columns) & set(taken))
     if clash:
         raise ValueError(f"rename the columns {', '.join(clash)}; the operator uses these names")
+
+
+def names(columns: str | Sequence[str]) -> list[str]:
+    """Column names given as one name or as several."""
+    return [columns] if isinstance(columns, str) else list(columns)
+
+
+def check_key(key: str) -> str:
+    """Return `key`, or raise ValueError when a record cannot have it as a key."""
+    if len(key.encode()) > MAX_KEY_BYTES or not re.fullmatch(f"[{KEY_ALPHABET}]+", key):
+        raise ValueError(f"a key has 1 to {MAX_KEY_BYTES} characters of {KEY_ALPHABET}, got {key!r}")
+    return key

@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.escape import escape_count, escaped_bytes
-from ..limits import MESSAGE_KEY
-
-
-def _names(columns: str | Sequence[str]) -> list[str]:
-    return [columns] if isinstance(columns, str) else list(columns)
+from ..limits import MESSAGE_KEY, names
 
 
 def capture_audit(
@@ -34,7 +30,7 @@ def capture_audit(
     found on one side only are kept and do not balance. `bytes_out` counts the
     line feed of every record.
     """
-    keys = _names(group)
+    keys = names(group)
     before = raw.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.octet_length(line_col).cast("bigint")).alias("bytes_in"),
@@ -81,7 +77,7 @@ def escape_profile(
     df: DataFrame, msg_col: str, group: str | Sequence[str] = ()
 ) -> DataFrame:
     """Per group, size class and escape class: `n_rows`, bytes raw and encoded, and growth."""
-    keys = _names(group)
+    keys = names(group)
     msg = F.col(msg_col)
     size_class = F.lit("long")
     for name, border in reversed(SIZE_BORDERS):

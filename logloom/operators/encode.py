@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.escape import escape_json, truncate_escaped
-from ..limits import MESSAGE_KEY
+from ..limits import MESSAGE_KEY, check_key
 from .fields import FieldSet
 
 
@@ -24,14 +24,18 @@ class Encoder:
     prefix: Callable[[FieldSet], str | Column]
     value: Callable[[Column], Column]
     postfix: Callable[[FieldSet], str | Column]
+    #: The key of the message, which no field may have.
+    msg_key: str = MESSAGE_KEY
 
 
 def json_encoder(msg_key: str = MESSAGE_KEY, strip_forced_quotes: bool = False) -> Encoder:
     """One JSON object per record: the fields in order, then the message."""
+    check_key(msg_key)
     return Encoder(
         prefix=lambda fields: fields.prefix(msg_key, strip_forced_quotes),
         value=escape_json,
         postfix=lambda fields: '"}',
+        msg_key=msg_key,
     )
 
 
@@ -60,7 +64,7 @@ def encode_with(
     out_col: str = "record",
 ) -> DataFrame:
     """Add `out_col`: each message in the format of `encoder`. NULL messages give NULL."""
-    constant = FieldSet.of(fields)
+    constant = FieldSet.of(fields, encoder.msg_key)
     return df.withColumn(
         out_col,
         F.concat(
@@ -82,12 +86,13 @@ def encode_ndjson(
     """Add `out_col`: one JSON object per row, fields first and the message last.
 
     `fields` is the constant field set of the run, or a column with a rendered
-    front (see `render_prefix`) where every source has its own set.
+    front (see `render_prefix`) where every source has its own set; NULL stands for
+    no fields. No field may have the key `msg_key`.
     """
     encoder = json_encoder(msg_key, strip_forced_quotes)
     if isinstance(fields, Column):
-        front = fields
-        encoder = Encoder(lambda _: front, encoder.value, encoder.postfix)
+        front = F.coalesce(fields, F.lit(FieldSet().prefix(msg_key)))
+        encoder = Encoder(lambda _: front, encoder.value, encoder.postfix, msg_key)
         fields = None
     return encode_with(df, msg_col, encoder, fields, out_col)
 

@@ -26,24 +26,27 @@ from ..functions.literals import (
 from ..limits import (
     BAD_KEY,
     BAD_VALUE,
+    KEY_ALPHABET,
     MAX_FIELDS,
     MAX_KEY_BYTES,
     MAX_VALUE_BYTES,
     MESSAGE_KEY,
     TOO_MANY,
     check_free,
+    check_key,
     check_range,
+    names,
 )
+from ..session import settled
 
-# Fixed value: the alphabet of field keys.
-KEY_ALPHABET = "A-Za-z0-9_-"
+# Most digits of a DECIMAL.
+MAX_PRECISION = 38
 
-# Join parts per set in `fold_fields`: spreads the rows of one large set.
+# Join parts per set: spreads the rows of one large set, or of one large source.
 SALTS = 16
 
-
-def _names(columns: str | Sequence[str]) -> list[str]:
-    return [columns] if isinstance(columns, str) else list(columns)
+# Size up to which field sets are sent to every task, as JSON text.
+BROADCAST_BYTES = 8 << 20
 
 
 def parse_fields(
@@ -79,8 +82,8 @@ def type_profile(kv_df: DataFrame, group_cols: str | Sequence[str], val_col: str
     NULL values (rows that did not parse) are not counted. `null` fits every
     type; two different other types only have `string` in common.
     """
-    kinds = kv_df.select(*_names(group_cols), literal_type(F.col(val_col)).alias("_type"))
-    counts = kinds.groupBy(*_names(group_cols)).agg(
+    kinds = kv_df.select(*names(group_cols), literal_type(F.col(val_col)).alias("_type"))
+    counts = kinds.groupBy(*names(group_cols)).agg(
         F.count("_type").alias("n_values"),
         *[F.count_if(F.col("_type") == kind).alias(f"n_{kind}") for kind in LITERAL_TYPES],
     )
@@ -176,16 +179,17 @@ def fold_fields(
     pos: str,
     kv_col: str = "kv",
     max_fields: int = MAX_FIELDS,
+    msg_key: str = MESSAGE_KEY,
 ) -> DataFrame:
     """One row per set: `fields` (array of `pos`, `key`, `val`), `error`, `error_pos`.
 
     A repeated key keeps its first position and its last value. The first error
     in order of `pos` decides the set, which then has no fields. `pos` must be
-    unique within a set.
+    unique within a set. `msg_key` is the key of the message, which no field may have.
     """
     check_range("max_fields", max_fields, 1)
-    sets = _names(set_id)
-    folded = _fold(parse_fields(kv_df, kv_col), sets, pos, max_fields)
+    sets = names(set_id)
+    folded = _fold(parse_fields(kv_df, kv_col, (msg_key,)), sets, pos, max_fields)
     return folded.select(*sets, "fields", "error", "error_pos")
 
 
@@ -195,11 +199,12 @@ def validate_field_sets(
     pos: str,
     kv_col: str = "kv",
     max_fields: int = MAX_FIELDS,
+    msg_key: str = MESSAGE_KEY,
 ) -> DataFrame:
     """Dry run: per set `ok`, `error`, `error_pos`, and `n_fields` accepted before the error."""
     check_range("max_fields", max_fields, 1)
-    sets = _names(set_id)
-    folded = _fold(parse_fields(kv_df, kv_col), sets, pos, max_fields)
+    sets = names(set_id)
+    folded = _fold(parse_fields(kv_df, kv_col, (msg_key,)), sets, pos, max_fields)
     return folded.select(
         *sets, F.col("error").isNull().alias("ok"), "error", "error_pos", "n_fields"
     )
@@ -209,6 +214,7 @@ def render_prefix(
     fields: str | Column, msg_key: str = MESSAGE_KEY, strip_forced_quotes: bool = False
 ) -> Column:
     """The constant front of a record from a `fields` array; NULL counts as no fields."""
+    check_key(msg_key)
     column = F.col(fields) if isinstance(fields, str) else fields
     rendered = F.transform(
         column,
@@ -221,15 +227,36 @@ def render_prefix(
     return F.concat(F.lit("{"), text, F.lit(f'"{msg_key}":"'))
 
 
-def join_field_sets(df: DataFrame, folded: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def join_field_sets(
+    df: DataFrame,
+    folded: DataFrame,
+    on: str | Sequence[str],
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Attach the field set of its source to every row; rows without a set are kept.
 
-    There is no broadcast hint, because the number of sources is not bounded.
-    Adaptive execution broadcasts the sets once their measured size is below
-    `spark.sql.autoBroadcastJoinThreshold`. Above it the join shuffles, and
-    sources that are much larger than the others are split.
+    NULL sources meet the set of the NULL source. Give the `error` column of the
+    folded sets along to see which rows belong to a set that failed: such a set
+    has no fields. `encode_ndjson` writes the rows without a set as records
+    without fields.
+
+    The sets are settled first, as a table in the shared folder, and measured. Up to `broadcast_bytes` they are sent to every task,
+    and the rows of `df` are not shuffled at all. Beyond that, the rows of a source
+    are spread over `SALTS` join parts, each of which gets the sets once.
     """
-    return df.join(folded, _names(on), "left")
+    keys = names(on)
+    sets = settled(folded, "field-sets")
+    size = sets.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0]
+    # Other names on the right, so that NULL sources can be compared too.
+    right = sets.withColumnsRenamed({key: f"_{key}" for key in keys})
+    if (size or 0) <= broadcast_bytes:
+        return df.join(F.broadcast(right), _same(keys), "left").drop(*[f"_{key}" for key in keys])
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    right = right.withColumn("_part", parts)
+    return salted.join(right, _same(keys) & (F.col("_salt") == F.col("_part")), "left").drop(
+        *[f"_{key}" for key in keys], "_salt", "_part"
+    )
 
 
 class FieldError(ValueError):
@@ -247,7 +274,9 @@ class FieldSet:
     fields: tuple[tuple[str, str], ...] = ()
 
     @classmethod
-    def parse(cls, pairs: Iterable[str], max_fields: int = MAX_FIELDS) -> FieldSet:
+    def parse(
+        cls, pairs: Iterable[str], max_fields: int = MAX_FIELDS, msg_key: str = MESSAGE_KEY
+    ) -> FieldSet:
         """Read `key=value` texts in order, or raise FieldError at the first bad one."""
         found: dict[str, str] = {}
         for kv in pairs:
@@ -258,14 +287,22 @@ class FieldSet:
                 raise FieldError(BAD_KEY, kv)
             if not 1 <= len(val.encode()) <= MAX_VALUE_BYTES:
                 raise FieldError(BAD_VALUE, kv)
-            if not re.fullmatch(f"[{KEY_ALPHABET}]+", key) or key == MESSAGE_KEY:
+            if not re.fullmatch(f"[{KEY_ALPHABET}]+", key) or key == msg_key:
                 raise FieldError(BAD_KEY, kv)
             found[key] = val
         return cls(tuple(found.items()))
 
     @classmethod
-    def of(cls, fields: FieldSet | Iterable[str] | None) -> FieldSet:
-        return fields if isinstance(fields, FieldSet) else cls.parse(fields or ())
+    def of(
+        cls, fields: FieldSet | Iterable[str] | None, msg_key: str = MESSAGE_KEY
+    ) -> FieldSet:
+        """The field set itself, or one read from texts; without the key of the message."""
+        if not isinstance(fields, FieldSet):
+            return cls.parse(fields or (), msg_key=msg_key)
+        for key, val in fields.fields:
+            if key == msg_key:
+                raise FieldError(BAD_KEY, f"{key}={val}")
+        return fields
 
     def prefix(self, msg_key: str = MESSAGE_KEY, strip_forced_quotes: bool = False) -> str:
         """The constant front of every record, up to the opening quote of the message."""
@@ -302,18 +339,28 @@ def _literal(val: str) -> Column:
         return F.lit(None)
     if not _is_number(val):
         return F.lit(val)
-    if re.fullmatch(r"-?[0-9]+", val):
-        number = int(val)
-        if -(2**63) <= number < 2**63:
-            return F.lit(number).cast("bigint")
-        return F.lit(Decimal(val)).cast("decimal(38,0)") if len(val) < 38 else F.lit(float(val))
-    return F.lit(float(val))
+    if re.fullmatch(r"-?[0-9]+", val) and -(2**63) <= int(val) < 2**63:
+        return F.lit(int(val)).cast("bigint")
+    exact = Decimal(val)
+    if not re.fullmatch(r"-?[0-9]+", val) and Decimal(repr(float(val))) == exact:
+        return F.lit(float(val))
+    _, digits, exponent = exact.as_tuple()
+    scale = max(-exponent, 0)
+    precision = max(len(digits) + max(exponent, 0), scale)
+    if precision <= MAX_PRECISION:
+        return F.lit(val).cast(f"decimal({MAX_PRECISION},{scale})")
+    return F.lit(val)
 
 
 def inject_fields(
     df: DataFrame, fields: FieldSet | Iterable[str], typed: bool = True
 ) -> DataFrame:
-    """Add the constant fields of a run to every row, as typed columns or as text."""
+    """Add the constant fields of a run to every row, as typed columns or as text.
+
+    A number becomes BIGINT, or DOUBLE where that spells the same number, or else
+    DECIMAL where its digits fit. All others stay text: no digit is lost, and none
+    becomes infinite.
+    """
     literals = FieldSet.of(fields).literals(typed)
     taken = sorted(set(literals) & set(df.columns))
     if taken:

@@ -7,14 +7,75 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..limits import check_range
+from ..limits import check_free, check_range, names
+from ..session import settled
 
-# Parts per bucket when a bucket is ranked in two steps.
-SALTS = 64
 
-
-def _names(columns: str | Sequence[str]) -> list[str]:
-    return [columns] if isinstance(columns, str) else list(columns)
+def first_rows(
+    df: DataFrame,
+    bucket: str | Sequence[str],
+    order: str | Sequence[str],
+    capacity: int,
+    used: DataFrame | None = None,
+) -> DataFrame:
+    """The first rows of every bucket, as many as `capacity` less what `used` says.
+
+    `used` has the bucket columns and `used`, one row per bucket. Only buckets and
+    orders are sorted, by range, so a bucket that is most of the table is spread
+    over many tasks. Counts per bucket and range, added up over the few ranges of
+    each bucket, tell in which range the last row of a bucket stands, and its place
+    there. The rows themselves are compared with that row and not shuffled, unless
+    there are too many buckets to send around.
+    """
+    buckets, orders = names(bucket), names(order)
+    check_free(df.columns, ("_bucket", "_order", "_last", "_none"))
+    narrow = df.select(F.struct(*buckets).alias("b"), F.struct(*orders).alias("o"))
+    ranged = settled(
+        narrow.repartitionByRange("b", "o")
+        .sortWithinPartitions("b", "o")
+        .select(
+            "b", "o", F.spark_partition_id().alias("part"),
+            F.monotonically_increasing_id().alias("place"),
+        ),
+        "shed-order",
+    )
+    before = Window.partitionBy("b").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("b")
+    counts = (
+        ranged.groupBy("b", "part")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+        .withColumns(
+            {"ahead": F.coalesce(F.sum("n").over(before), F.lit(0)), "all": F.sum("n").over(whole)}
+        )
+    )
+    room = F.lit(capacity).cast("bigint")
+    if used is not None:
+        taken = used.select(F.struct(*buckets).alias("b"), "used")
+        counts = counts.join(taken, "b", "left")
+        room = room - F.coalesce("used", F.lit(0))
+    over = counts.withColumn("room", F.greatest(room, F.lit(0))).filter(F.col("all") > F.col("room"))
+    # The range with the last row that is kept; its first one where none is.
+    at = (F.col("ahead") < F.greatest("room", F.lit(1))) & (
+        F.col("ahead") + F.col("n") >= F.greatest("room", F.lit(1))
+    )
+    last = over.filter(at).select(
+        F.col("b").alias("_bucket"),
+        "part",
+        (F.col("first") + F.greatest("room", F.lit(1)) - F.col("ahead") - 1).alias("place"),
+        (F.col("room") == 0).alias("_none"),
+    )
+    limits = settled(
+        last.join(ranged, ["part", "place"]).select("_bucket", F.col("o").alias("_last"), "_none"),
+        "shed-limits",
+    )
+    kept = F.coalesce(
+        ~F.col("_none") & (F.struct(*orders) <= F.col("_last")), F.col("_bucket").isNull()
+    )
+    return (
+        df.join(limits, F.struct(*buckets) == F.col("_bucket"), "left")
+        .filter(kept)
+        .drop("_bucket", "_last", "_none")
+    )
 
 
 def shed(
@@ -22,23 +83,12 @@ def shed(
 ) -> DataFrame:
     """The first `capacity` rows of every bucket in the order of `order`.
 
-    `order` must be unique within a bucket. For a small capacity Spark itself
-    drops the surplus of each partition before the shuffle (window group limit).
-    Past the limit of that rule, rows are first ranked inside `SALTS` parts of
-    their bucket, so no task ever ranks a whole large bucket.
+    `order` must be unique within a bucket. NULL buckets are a bucket. The same
+    plan serves every capacity, and no task ever ranks a whole bucket; it first
+    runs two jobs over the bucket and order columns (see `first_rows`).
     """
     check_range("capacity", capacity, 1)
-    buckets, orders = _names(bucket), _names(order)
-    limit = df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")
-
-    def first(rows: DataFrame, keys: list[str]) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*orders))
-        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= capacity).drop("_rank")
-
-    if capacity < int(limit):
-        return first(df, buckets)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*orders), F.lit(SALTS)))
-    return first(first(salted, [*buckets, "_salt"]).drop("_salt"), buckets)
+    return first_rows(df, bucket, order, capacity)
 
 
 def shed_counts(capacity: int) -> list:
@@ -54,4 +104,4 @@ def shed_counts(capacity: int) -> list:
 
 def shed_report(df: DataFrame, bucket: str | Sequence[str], capacity: int) -> DataFrame:
     """Per bucket how many rows arrived, are kept, and are dropped. Needs no ranking."""
-    return df.groupBy(*_names(bucket)).agg(*shed_counts(capacity))
+    return df.groupBy(*names(bucket)).agg(*shed_counts(capacity))

@@ -8,8 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.cuts import byte_blocks, byte_pieces, char_pieces, int_div
-from ..limits import UNITS, check_choice, check_free, check_range, check_unit
+from ..functions.cuts import (
+    byte_blocks,
+    byte_pieces,
+    char_pieces,
+    int_div,
+    pieces_bytewise,
+    text_length,
+)
+from ..limits import DEFAULT_CHUNK, UNITS, check_choice, check_free, check_range, check_unit, names
 
 LF = "\n"
 
@@ -17,22 +24,23 @@ LF = "\n"
 BLOCK_SPAN = 65536
 
 
-def _names(columns: str | Sequence[str]) -> list[str]:
-    return [columns] if isinstance(columns, str) else list(columns)
-
-
 def split_lines(df: DataFrame, id_cols: str | Sequence[str], text_col: str) -> DataFrame:
     """One row per line: the id columns, `line_no` from 0, and `line`.
 
     Only LF separates lines. Empty lines are kept. Text after the last LF is a
-    line unless it is empty, so an empty or NULL text gives no line. No shuffle.
+    line unless it is empty, so an empty or NULL text gives no line. Every byte is
+    kept, also of texts that are not UTF-8. No shuffle.
     """
     text = F.col(text_col)
-    body = F.when(
-        F.endswith(text, F.lit(LF)), F.left(text, F.char_length(text) - F.lit(1))
-    ).otherwise(text)
+
+    def parts(whole: Column) -> Column:
+        body = F.when(
+            F.endswith(whole, F.lit(LF)), F.left(whole, F.char_length(whole) - F.lit(1))
+        ).otherwise(whole)
+        return F.split(body, LF, -1)
+
     return df.filter(text != "").select(
-        *_names(id_cols), F.posexplode(F.split(body, LF, -1)).alias("line_no", "line")
+        *names(id_cols), F.posexplode(pieces_bytewise(text, parts)).alias("line_no", "line")
     ).withColumn("line_no", F.col("line_no").cast("bigint"))
 
 
@@ -46,10 +54,10 @@ def chunk_text(
     """
     check_range("size", size, 1)
     check_choice("unit", unit, UNITS)
-    ids, text = _names(id_cols), F.col(text_col)
+    ids, text = names(id_cols), F.col(text_col)
     if unit == "byte":
-        # Encoded in a step of its own, so that it happens once per text.
-        df = df.select(*ids, F.encode(text, "UTF-8").alias("_bytes"))
+        # In a step of its own, so that it happens once per text.
+        df = df.select(*ids, text.cast("binary").alias("_bytes"))
         blocks = byte_blocks(F.col("_bytes"), size)
     else:
         blocks = char_pieces(text, size)
@@ -70,9 +78,9 @@ def cap_lines(
     others = [name for name in lines.columns if name != line_col]
     line = F.col(line_col)
     if unit == "char":
-        fits, cut = F.char_length(line) <= max_len, char_pieces(line, max_len)
+        fits, cut = text_length(line) <= max_len, char_pieces(line, max_len)
     else:
-        lines = lines.withColumn("_bytes", F.encode(line, "UTF-8"))
+        lines = lines.withColumn("_bytes", line.cast("binary"))
         fits, cut = F.octet_length(line) <= max_len, byte_pieces(F.col("_bytes"), max_len)
     pieces = F.when(fits, F.array(line)).otherwise(cut)
     return lines.select(*others, F.posexplode(pieces).alias("piece_no", line_col)).withColumn(
@@ -86,21 +94,19 @@ def _line_feeds(text: Column) -> Column:
     )
 
 
-def chunk_origins(
-    chunks: DataFrame, streams: list[str], with_offsets: bool, span: int
-) -> DataFrame:
+def chunk_origins(chunks: DataFrame, with_offsets: bool, span: int) -> DataFrame:
     """For every chunk, where it starts: `first_line`, and `offset` inside that line.
 
-    Takes `seq`, `text`, and `skip_lines` / `skip_chars`, which count as content
-    ahead of the chunk. These are running totals over a stream, and a stream may
-    be most of the table, so they are taken in two levels: inside blocks of
-    `span` chunks, and over the few totals of the blocks. Only counters take
-    part; the texts stay behind.
+    Takes `ids`, `seq`, `text`, and `skip_lines` / `skip_chars`, which count as
+    content ahead of the chunk. These are running totals over a stream, and a
+    stream may be most of the table, so they are taken in two levels: inside blocks
+    of `span` chunks, and over the few totals of the blocks. Only counters take
+    part; the texts stay behind. A `seq` that occurs twice in a stream is an error.
     """
     text, after_lf = F.col("text"), F.substring_index("text", LF, -1)
     chars = F.char_length(text).cast("bigint") if with_offsets else F.lit(0).cast("bigint")
     counters = chunks.select(
-        *streams,
+        "ids",
         "seq",
         F.coalesce(int_div(F.col("seq"), span), F.lit(0)).alias("block"),
         (_line_feeds(text)).alias("line_feeds"),
@@ -108,18 +114,21 @@ def chunk_origins(
         (F.char_length(after_lf).cast("bigint") if with_offsets else chars).alias("tail_chars"),
         "skip_lines",
         "skip_chars",
-    ).repartition(*streams, "block")
+    ).repartition("ids", "block")
 
-    in_block = Window.partitionBy(*streams, "block").orderBy("seq")
+    in_block = Window.partitionBy("ids", "block").orderBy("seq")
     before = in_block.rowsBetween(Window.unboundedPreceding, -1)
     upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
 
     def total(amount: Column, skip: str) -> Column:
         return F.coalesce(F.sum(amount).over(before), F.lit(0)) + F.sum(skip).over(upto)
 
+    twice = F.raise_error(F.lit("a seq occurs twice in a stream")).cast("bigint")
     local = counters.withColumns(
         {
-            "lines_before": total(F.col("line_feeds"), "skip_lines"),
+            "lines_before": F.when(F.lag("seq").over(in_block) == F.col("seq"), twice).otherwise(
+                total(F.col("line_feeds"), "skip_lines")
+            ),
             "chars_before": total(F.col("chars"), "skip_chars"),
         }
     ).withColumn(
@@ -130,14 +139,14 @@ def chunk_origins(
             F.col("chars_before") + F.col("chars") - F.col("tail_chars"),
         ),
     )
-    blocks = local.groupBy(*streams, "block").agg(
+    blocks = local.groupBy("ids", "block").agg(
         F.min("seq").alias("block_seq"),
         F.sum(F.col("line_feeds") + F.col("skip_lines")).alias("block_lines"),
         F.sum(F.col("chars") + F.col("skip_chars")).alias("block_chars"),
         F.max("open_start").alias("block_open"),
     )
     over_blocks = (
-        Window.partitionBy(*streams)
+        Window.partitionBy("ids")
         .orderBy("block_seq")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -154,90 +163,70 @@ def chunk_origins(
                 F.max(F.col("char_base") + F.col("block_open")).over(over_blocks), F.lit(0)
             ),
         )
-        .select(*streams, "block", "line_base", "char_base", "open_base")
+        .select("ids", "block", "line_base", "char_base", "open_base")
     )
     placed = local.withColumn("open_before", F.max("open_start").over(before)).join(
-        blocks, [*streams, "block"]
+        blocks, ["ids", "block"]
     )
     open_start = F.coalesce(F.col("char_base") + F.col("open_before"), F.col("open_base"))
     return placed.select(
-        *streams,
+        "ids",
         "seq",
         (F.col("line_base") + F.col("lines_before")).alias("first_line"),
         (F.col("char_base") + F.col("chars_before") - open_start).alias("offset"),
     )
 
 
-def assemble(
-    chunks: DataFrame, streams: list[str], max_len: int | None, span: int = BLOCK_SPAN
-) -> DataFrame:
-    """Pieces of lines from `seq`, `text`, `skip_lines`, `skip_chars` per stream.
+def assemble(chunks: DataFrame, max_len: int | None, span: int = BLOCK_SPAN) -> DataFrame:
+    """Pieces of lines from `ids`, `seq`, `text`, `skip_lines`, `skip_chars`.
 
-    Returns the stream columns, `line_no`, `piece_no`, `line` and `open`. The
-    last piece of every stream, which may be empty, is open; all others are
-    complete. Without `max_len` every line is one piece.
+    Returns `ids`, `line_no`, `piece_no`, `line` and `open`. The last piece of every
+    stream, which may be empty, is open; all others are complete. Without
+    `max_len` every line is one piece.
 
-    Lines that lie inside one chunk are complete where they are and are not
-    shuffled again. Only the first and the last part of each chunk are grouped
-    by line and piece.
+    Texts meet their origins in one join, on which both branches below are built,
+    so that they are shuffled once. Lines that lie inside one chunk are complete
+    where they are and are not shuffled again. Only the first and the last part of
+    each chunk are grouped by line and piece.
     """
-    origins = chunk_origins(chunks, streams, max_len is not None, span)
-    text = F.col("text")
-    keys = [*streams, "seq"]
-
-    inner = (
-        chunks.filter(_line_feeds(text) >= 2)
-        .select(*keys, "text")
-        .join(origins.select(*keys, "first_line"), keys)
-        .withColumn("parts", F.split(text, LF, -1))
-        # Spark may try the slice ahead of the filter, hence the lower bound.
-        .withColumn("inside", F.greatest(F.size("parts") - 2, F.lit(0)))
+    origins = chunk_origins(chunks, max_len is not None, span)
+    split = F.split("text", LF, -1)
+    last = F.size(split) - 1
+    parts = (
+        chunks.select("ids", "seq", "text")
+        .join(origins, ["ids", "seq"])
         .select(
-            *streams,
-            "first_line",
-            F.posexplode(F.slice("parts", F.lit(2), F.col("inside"))).alias("pos", "line"),
+            "ids",
+            "seq",
+            F.explode(
+                F.transform(
+                    split,
+                    lambda part, i: F.struct(
+                        (F.col("first_line") + i).alias("line_no"),
+                        F.when(i == 0, F.col("offset")).otherwise(0).alias("offset"),
+                        (i < last).alias("ended"),
+                        ((i > 0) & (i < last)).alias("inside"),
+                        part.alias("part"),
+                    ),
+                )
+            ).alias("p"),
         )
-        .select(*streams, (F.col("first_line") + F.col("pos") + 1).alias("line_no"), "line")
+        .select("ids", "seq", "p.*")
     )
+    inner = parts.filter("inside").select("ids", "line_no", F.col("part").alias("line"))
     inner = (
         inner.withColumn("piece_no", F.lit(0).cast("bigint"))
         if max_len is None
         else cap_lines(inner, max_len)
     )
-
-    # The ends of each chunk: `ended` parts are followed by an LF.
-    ends = chunks.select(
-        *keys,
-        F.when(
-            F.contains(text, F.lit(LF)),
-            F.array(
-                _end(True, F.substring_index(text, LF, 1)),
-                _end(False, F.substring_index(text, LF, -1)),
-            ),
-        )
-        .otherwise(F.array(_end(False, text)))
-        .alias("ends"),
-        _line_feeds(text).alias("line_feeds"),
-    )
-    parts = (
-        ends.join(origins, keys)
-        .select(*keys, "line_feeds", "first_line", "offset", F.posexplode("ends"))
-        .select(
-            *keys,
-            (F.col("first_line") + F.when(F.col("pos") == 0, 0).otherwise(F.col("line_feeds")))
-            .alias("line_no"),
-            F.when(F.col("pos") == 0, F.col("offset")).otherwise(0).alias("offset"),
-            F.col("col.ended").alias("ended"),
-            F.col("col.part").alias("part"),
-        )
-    )
-    parts = (
-        parts.withColumn("piece_no", F.lit(0).cast("bigint"))
+    ends = parts.filter("NOT inside").drop("inside")
+    ends = (
+        ends.withColumn("piece_no", F.lit(0).cast("bigint"))
         if max_len is None
-        else _cut_parts(parts, keys, max_len)
+        else _cut_parts(ends, ["ids", "seq"], max_len)
     )
     borders = (
-        parts.groupBy(*streams, "line_no", "piece_no")
+        ends.groupBy("ids", "line_no", "piece_no")
         .agg(
             F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("parts"),
             F.max("ended").alias("ended"),
@@ -249,16 +238,12 @@ def assemble(
         # An empty piece after a full one only says that the line ended there.
         ~F.col("ended") | (F.col("piece_no") == 0) | (F.col("line") != "")
     )
-    columns = [*streams, "line_no", "piece_no", "line", "open"]
+    columns = ["ids", "line_no", "piece_no", "line", "open"]
     return inner.withColumn("open", F.lit(False)).select(*columns).unionByName(
         borders.select(*columns)
     )
 
 
-def _end(ended: bool, part: Column) -> Column:
-    return F.struct(F.lit(ended).alias("ended"), part.alias("part"))
-
-
 def _cut_parts(parts: DataFrame, keys: list[str], max_len: int) -> DataFrame:
     """Cut parts of a line where the whole line is cut: every `max_len` from its start."""
     part, offset = F.col("part"), F.col("offset")
@@ -287,17 +272,19 @@ def chunk_rows(
 ) -> tuple[DataFrame, list[str], bool]:
     """Bring a chunk table to the columns `assemble` reads; tell whether it was binary.
 
-    Binary chunks may break inside a character. They are read as ISO-8859-1, one
-    character per byte, which keeps every byte through the string operations.
+    The ids become one struct, which joins and groups with NULL ids too. Binary
+    chunks may break inside a character. They are read as ISO-8859-1, one character
+    per byte, which keeps every byte through the string operations.
     """
-    streams = _names(stream)
-    check_free(streams, ("seq", "text", "line_no", "piece_no", "line", "open"))
+    streams = names(stream)
+    check_free(streams, ("ids", "seq", "text", "line_no", "piece_no", "line", "open"))
     binary = isinstance(chunks.schema[data].dataType, T.BinaryType)
     text = F.decode(F.col(data), "ISO-8859-1") if binary else F.col(data)
+    missing = F.raise_error(F.lit("seq must not be NULL")).cast("bigint")
     zero = F.lit(0).cast("bigint")
     rows = chunks.filter(F.col(data).isNotNull()).select(
-        *streams,
-        F.col(seq).cast("bigint").alias("seq"),
+        F.struct(*streams).alias("ids"),
+        F.coalesce(F.col(seq).cast("bigint"), missing).alias("seq"),
         text.alias("text"),
         zero.alias("skip_lines"),
         zero.alias("skip_chars"),
@@ -310,27 +297,29 @@ def reassemble_lines(
     stream: str | Sequence[str] = "stream_id",
     seq: str = "seq",
     data: str = "data",
-    max_len: int | None = None,
+    max_len: int | None = DEFAULT_CHUNK,
     span: int = BLOCK_SPAN,
 ) -> DataFrame:
-    """Lines of an ordered chunk table: the stream columns, `line_no` and `line`.
-
-    A line may span any number of chunks. Stream ids must not be NULL; `seq`
-    must be unique within a stream, from 0, and mostly dense. With `max_len`,
-    lines are cut as in `cap_lines` and the result also has `piece_no`; no group
-    then holds more than `max_len` characters, even when a stream has no LF at
-    all. Binary chunks are cut by bytes, and their pieces are binary.
+    """Lines of an ordered chunk table: the stream columns, `line_no`, `piece_no`, `line`.
+
+    A line may span any number of chunks, and is cut as in `cap_lines`, so no group
+    ever holds more than `max_len` characters, even when a stream has no LF at all.
+    With `max_len=None` every line is whole, there is no `piece_no`, and a line must
+    fit in a row. NULL stream ids are one stream. `seq` must be unique within a
+    stream and not NULL, or the job fails; it should be from 0 and mostly dense,
+    since totals are taken in blocks of `span` numbers. Binary chunks are cut by
+    bytes, and their pieces are binary.
     """
     check_range("span", span, 1)
     if max_len is not None:
         check_range("max_len", max_len, 1)
     rows, streams, binary = chunk_rows(chunks, stream, seq, data)
-    pieces = assemble(rows, streams, max_len, span).filter(
-        ~F.col("open") | (F.col("line") != "")
-    )
+    pieces = assemble(rows, max_len, span).filter(~F.col("open") | (F.col("line") != ""))
     line = F.col("line")
     if binary:
         line = F.encode(line, "ISO-8859-1")
         line = line.cast("string") if max_len is None else line
     numbers = ["line_no"] if max_len is None else ["line_no", "piece_no"]
-    return pieces.select(*streams, *numbers, line.alias("line"))
+    return pieces.select(
+        *[F.col("ids")[name].alias(name) for name in streams], *numbers, line.alias("line")
+    )

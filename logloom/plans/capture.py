@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..limits import (
     DEFAULT_BUFFER,
@@ -18,6 +18,7 @@ from ..limits import (
     MIN_CHUNK,
     POLICIES,
     check_choice,
+    check_key,
     check_range,
     check_unit,
 )
@@ -25,7 +26,8 @@ from ..operators.encode import encode_ndjson
 from ..operators.fields import FieldSet
 from ..operators.framing import cap_lines, split_lines
 from ..sources.text import stream_lines
-from ..streaming.shed import shed_stream
+from ..session import settled
+from ..streaming.shed import shed_batch
 
 
 def capture_frame(
@@ -39,36 +41,68 @@ def capture_frame(
 ) -> DataFrame:
     """Texts of a table to records: the id columns, `line_no`, `piece_no`, `json`. No shuffle."""
     pieces = cap_lines(split_lines(df, id_cols, text_col), max_len, unit)
-    return encode_ndjson(pieces, "line", FieldSet.of(fields), msg_key).drop("line")
+    return encode_ndjson(pieces, "line", FieldSet.of(fields, msg_key), msg_key).drop("line")
 
 
 def _counted(df: DataFrame, name: str, column: str) -> DataFrame:
     """Count rows and bytes on the way, as the observed metric `name` of the query."""
-    return df.observe(
-        name,
+    return df.observe(name, *_sums(column))
+
+
+def _sums(column: str) -> list[Column]:
+    return [
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(F.octet_length(column).cast("bigint")), F.lit(0)).alias("bytes"),
-    )
+    ]
+
+
+# Totals of the runs that this process has started, by run id.
+_TOTALS: dict[str, dict[str, dict[str, int]]] = {}
+
+
+def _add(totals: dict[str, dict[str, int]], name: str, row: dict) -> None:
+    total = totals.setdefault(name, {"rows": 0, "bytes": 0})
+    total["rows"] += row["rows"]
+    total["bytes"] += row["bytes"]
+
+
+class _Totals(StreamingQueryListener):
+    """Adds up the observed counts of every batch, however many there are."""
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in (event.progress.observedMetrics or {}).items():
+            if name in ("lines", "pieces", "records"):
+                _add(_TOTALS.setdefault(str(event.progress.runId), {}), name, row.asDict())
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+_LISTENING: set[int] = set()
+
+
+def _listen(spark: SparkSession) -> None:
+    if id(spark) not in _LISTENING:
+        spark.streams.addListener(_Totals())
+        _LISTENING.add(id(spark))
 
 
 def captured_totals(query: StreamingQuery) -> dict[str, dict[str, int]]:
-    """Rows and bytes of `lines`, `pieces` and `records` over the batches of this run.
+    """Rows and bytes of `lines`, `pieces` and `records` over all batches of this run.
 
     Nothing was lost or invented when lines and pieces have the same bytes, and
-    pieces and records the same rows. A query reports a limited number of past
-    batches; beyond it this raises rather than count a part of them.
+    pieces and records the same rows. With `policy="drop"`, `arrived` and `dropped`
+    count the lines before the cut: arrived lines are dropped or in `lines`.
     """
-    totals: dict[str, dict[str, int]] = {}
-    setting = "spark.sql.streaming.numRecentProgressUpdates"
-    reported = query.recentProgress
-    if len(reported) >= int(SparkSession.active().conf.get(setting, "100")):
-        raise ValueError(f"too many batches for the progress reports; raise {setting}")
-    for progress in reported:
-        for name, row in progress["observedMetrics"].items():
-            total = totals.setdefault(name, {"rows": 0, "bytes": 0})
-            total["rows"] += row["rows"]
-            total["bytes"] += row["bytes"]
-    return totals
+    spark = SparkSession.active()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return {name: dict(row) for name, row in _TOTALS.get(str(query.runId), {}).items()}
 
 
 def capture(
@@ -94,10 +128,12 @@ def capture(
     stops there and returns None. A micro-batch takes at most `buffer_size`
     files. With `policy="wait"` the rest waits at the source. With
     `policy="drop"` only the first `capacity` lines of every `width` of file
-    time are kept. The query ends with the present input, and goes on from its
+    time are kept, and lines of files more than ten minutes older than those of
+    earlier batches are dropped; both are counted. Its records are in one folder
+    per batch, which a batch that runs again overwrites. The query ends with the present input, and goes on from its
     checkpoint when it is started again. `captured_totals` audits the run.
     """
-    constant = FieldSet.of(fields)
+    constant = FieldSet.of(fields, check_key(msg_key))
     check_range("max_len", max_len, MIN_CHUNK, MAX_CHUNK)
     check_range("buffer_size", buffer_size, MIN_BUFFER, MAX_BUFFER)
     check_choice("policy", policy, POLICIES)
@@ -109,25 +145,71 @@ def capture(
     if dry_run:
         return None
 
+    _listen(spark)
     lines = stream_lines(spark, in_dir, max_files=buffer_size, delimiter=delimiter)
-    if policy == "drop":
-        arrivals = lines.select(
-            "value",
-            F.col("_metadata.file_modification_time").alias("arrived"),
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
+    checkpoint = checkpoint_dir or f"{out_dir.rstrip('/')}/_checkpoint"
+    run = {"availableNow": True} if trigger is None else trigger
+
+    def records(kept: DataFrame) -> DataFrame:
+        pieces = _counted(cap_lines(kept, max_len, unit, "value"), "pieces", "value")
+        return _counted(
+            encode_ndjson(pieces, "value", constant, msg_key).select("json"), "records", "json"
         )
-        order = ["arrived", "path", "block"]
-        lines = shed_stream(arrivals, "arrived", width, order, capacity).select("value")
-    lines = _counted(lines, "lines", "value")
-    pieces = _counted(cap_lines(lines, max_len, unit, "value"), "pieces", "value")
-    records = encode_ndjson(pieces, "value", constant, msg_key).select("json")
-    return (
-        _counted(records, "records", "json")
-        .writeStream.format("text")
-        .option("lineSep", "\n")
-        .option("checkpointLocation", checkpoint_dir or f"{out_dir.rstrip('/')}/_checkpoint")
-        .outputMode("append")
-        .trigger(**(trigger or {"availableNow": True}))
-        .start(out_dir)
+
+    if policy == "wait":
+        return (
+            records(_counted(lines, "lines", "value"))
+            .writeStream.format("text")
+            .option("lineSep", "\n")
+            .option("checkpointLocation", checkpoint)
+            .outputMode("append")
+            .trigger(**run)
+            .start(out_dir)
+        )
+
+    arrivals = lines.select(
+        "value",
+        F.col("_metadata.file_modification_time").alias("arrived"),
+        F.col("_metadata.file_path").alias("path"),
+    )
+
+    totals: dict[str, dict[str, int]] = {}
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        # The place of a line in the batch; lines of a file are read in order. Written
+        # once, so that places do not change between the jobs of a batch.
+        place = F.monotonically_increasing_id()
+        rows = settled(batch.withColumn("place", place), "capture-batch")
+
+        def write(kept: DataFrame, batch_id: int) -> None:
+            seen = {name: Observation(name) for name in ("arrived", "lines", "pieces", "records")}
+            text = kept.select("value").observe(seen["lines"], *_sums("value"))
+            pieces = cap_lines(text, max_len, unit, "value").observe(seen["pieces"], *_sums("value"))
+            encoded = encode_ndjson(pieces, "value", constant, msg_key).select("json")
+            (
+                encoded.observe(seen["records"], *_sums("json"))
+                .write.mode("overwrite")
+                .option("lineSep", "\n")
+                .text(f"{out_dir}/batch={batch_id}")
+            )
+            arrived = rows.agg(*_sums("value")).first().asDict()
+            counts = {name: seen[name].get for name in ("lines", "pieces", "records")}
+            counts["arrived"] = arrived
+            counts["dropped"] = {k: arrived[k] - counts["lines"][k] for k in ("rows", "bytes")}
+            for name, row in counts.items():
+                _add(totals, name, row)
+
+        order = ["arrived", "path", "place"]
+        shed_batch(
+            rows, batch_id, f"{out_dir.rstrip('/')}/_shed", "arrived", width, order, capacity,
+            "10 minutes", write,
+        )
+
+    query = (
+        arrivals.writeStream.foreachBatch(process)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**run)
+        .start()
     )
+    _TOTALS[str(query.runId)] = totals
+    return query

@@ -8,10 +8,10 @@ return what they read back.
 from __future__ import annotations
 
 from collections.abc import Callable
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import operators as op
 from ..sinks import write_ndjson
@@ -19,11 +19,13 @@ from ..sources import read_lines, stream_lines
 from ..session import scratch_dir
 from ..streaming import (
     read_reassembled,
+    read_shed,
     reassemble_stream,
     shed_stream,
     shed_stream_report,
 )
-from .capture import capture, capture_frame
+from ..limits import MAX_BUFFER
+from .capture import capture, capture_frame, captured_totals
 from .samples import (
     CONTROL_FROM,
     CONTROL_TO,
@@ -84,12 +86,12 @@ def q_chunk_text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_reassemble_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = op.chunk_text(_table(spark, sf_dir, "documents"), "doc_id", "text", 64)
-    return op.reassemble_lines(chunks, "doc_id")
+    return op.reassemble_lines(chunks, "doc_id", max_len=None)
 
 
 def q_reassemble_lines_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = op.chunk_text(_table(spark, sf_dir, "documents"), "doc_id", "text", 1024, "byte")
-    return op.reassemble_lines(chunks, "doc_id")
+    return op.reassemble_lines(chunks, "doc_id", max_len=None)
 
 
 def q_reassemble_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +99,23 @@ def q_reassemble_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.reassemble_lines(chunks, "doc_id", max_len=200)
 
 
+def q_reassemble_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams per language and number in five; one language has no id."""
+    documents = _table(spark, sf_dir, "documents").select(
+        F.when(F.col("lang") != "en", F.col("lang")).alias("lang"), "doc_id", "text"
+    )
+    chunks = op.chunk_text(documents, ["lang", "doc_id"], "text", 200)
+    return op.reassemble_lines(chunks, ["lang", "doc_id"], max_len=1000)
+
+
+def q_cut_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of 37 bytes as texts, which may begin and end inside a character."""
+    blocks = op.chunk_text(_table(spark, sf_dir, "documents"), "doc_id", "text", 37, "byte")
+    texts = blocks.withColumn("data", F.col("data").cast("string"))
+    pieces = op.cap_lines(op.split_lines(texts, ["doc_id", "seq"], "data"), 10, unit="byte")
+    return pieces.select("doc_id", "seq", "line_no", "piece_no", F.hex("line").alias("line_hex"))
+
+
 def q_reassemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks arrive in three deliveries; the query stops and is started again after each."""
     base = scratch_dir(spark, "reassemble")
@@ -157,9 +176,29 @@ def q_join_field_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.encode_ndjson(joined, "props", F.col("front")).select("event_id", "json")
 
 
+def q_join_field_sets_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source has no set, and one has a set that failed."""
+    kind = F.col("event_type")
+    kv = _events_kv(spark, sf_dir, SOURCE_KV).filter(kind != "click")
+    kv = kv.withColumn("kv", F.when(kind == "view", F.lit("=")).otherwise(F.col("kv")))
+    sets = op.fold_fields(kv, "event_type", "event_id").select(
+        "event_type", op.render_prefix("fields").alias("front"), "error"
+    )
+    events = _table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    joined = op.join_field_sets(events, sets, "event_type")
+    return op.encode_ndjson(joined, "props", F.col("front")).select("event_id", "json", "error")
+
+
 # Encoding.
 
 
+def q_encode_ndjson_line_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The message under another key, which sets the usual one free for a field."""
+    turns = _table(spark, sf_dir, "conversations")
+    encoded = op.encode_ndjson(turns, "text", ["msg=1", "app=chat"], msg_key="line")
+    return encoded.select("conv_id", "turn", "json")
+
+
 def q_encode_ndjson_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = op.split_lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
     return op.encode_ndjson(lines, "line", RUN_FIELDS).select(*LINE_KEYS, "json")
@@ -225,64 +264,60 @@ def q_shed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.shed_report(_table(spark, sf_dir, "events").select(_hour()), "hour", 8)
 
 
-@contextmanager
-def _state_partitions(spark: SparkSession):
-    """At most two state partitions per core: a stream keeps every one of them in every batch."""
-    setting = "spark.sql.shuffle.partitions"
-    given = spark.conf.get(setting)
-    spark.conf.set(setting, min(int(given), 2 * spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, given)
-
-
-def _event_deliveries(spark: SparkSession, sf_dir: str, base: str):
-    """Write the events in three deliveries in the order of time; yield the stream after each."""
+def _delivered(spark: SparkSession, sf_dir: str, base: str, deliveries):
+    """Write the events in deliveries; yield the stream after each. Each is one micro-batch."""
     events = _table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    day = F.dayofmonth("ts")
-    for delivery in (day <= 10, (day > 10) & (day <= 20), day > 20):
+    for delivery in deliveries:
         events.filter(delivery).write.mode("append").parquet(f"{base}/events")
         yield spark.readStream.schema(events.schema).parquet(f"{base}/events")
 
 
-def q_shed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _in_order() -> list[Column]:
+    day = F.dayofmonth("ts")
+    return [day <= 10, (day > 10) & (day <= 20), day > 20]
+
+
+def _out_of_order() -> list[Column]:
+    """One event in four of the first days is delivered with those of the following ones."""
+    day, slow = F.dayofmonth("ts"), F.col("event_id") % 4 == 0
+    return [(day <= 10) & ~slow, (day <= 20) & ((day > 10) | slow), day > 20]
+
+
+def _shed_in(spark: SparkSession, sf_dir: str, deliveries: list[Column]) -> tuple[str, StructType]:
     base = scratch_dir(spark, "shed")
-    with _state_partitions(spark):
-        for arriving in _event_deliveries(spark, sf_dir, base):
-            kept = shed_stream(arriving, "ts", "1 hour", ["ts", "event_id"], 8)
-            (
-                kept.select(_hour(), "event_id", "event_type")
-                .writeStream.format("parquet")
-                .option("checkpointLocation", f"{base}/checkpoint")
-                .trigger(availableNow=True)
-                .start(f"{base}/kept")
-                .awaitTermination()
-            )
-    return spark.read.parquet(f"{base}/kept")
+    for arriving in _delivered(spark, sf_dir, base, deliveries):
+        shed_stream(
+            arriving, f"{base}/shed", f"{base}/checkpoint", "ts", "1 hour", ["ts", "event_id"], 8
+        ).awaitTermination()
+    return f"{base}/shed", arriving.schema
+
+
+def _kept_rows(spark: SparkSession, sf_dir: str, deliveries: list[Column]) -> DataFrame:
+    out, schema = _shed_in(spark, sf_dir, deliveries)
+    return read_shed(spark, out, schema).select(_hour(), "event_id", "event_type")
+
+
+def q_shed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_rows(spark, sf_dir, _in_order())
+
+
+def q_shed_stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept_rows(spark, sf_dir, _out_of_order())
+
+
+def _report(spark: SparkSession, out: str) -> DataFrame:
+    hour = F.substring(F.col("bucket").cast("string"), 1, 13).alias("hour")
+    return shed_stream_report(spark, out).select(hour, "arrived", "kept", "dropped", "late")
 
 
 def q_shed_stream_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = scratch_dir(spark, "shed-report")
-
-    def replace(report: DataFrame, batch_id: int) -> None:
-        hour = F.substring(F.col("bucket").cast("string"), 1, 13).alias("hour")
-        report.select(hour, "arrived", "kept", "dropped").write.mode("overwrite").parquet(
-            f"{base}/report"
-        )
-
-    with _state_partitions(spark):
-        for arriving in _event_deliveries(spark, sf_dir, base):
-            (
-                shed_stream_report(arriving, "ts", "1 hour", 8)
-                .writeStream.foreachBatch(replace)
-                .outputMode("complete")
-                .option("checkpointLocation", f"{base}/checkpoint")
-                .trigger(availableNow=True)
-                .start()
-                .awaitTermination()
-            )
-    return spark.read.parquet(f"{base}/report")
+    out, _ = _shed_in(spark, sf_dir, _in_order())
+    return _report(spark, out).drop("late")
+
+
+def q_shed_stream_late_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = _shed_in(spark, sf_dir, _out_of_order())
+    return _report(spark, out)
 
 
 # Files, the whole job, and audits.
@@ -333,6 +368,23 @@ def q_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(spark, f"{base}/out").withColumnRenamed("value", "json")
 
 
+def q_capture_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a capture that drops says of itself: the lines are in one bucket of file time."""
+    base = scratch_dir(spark, "capture-drop")
+    source = _line_files(spark, sf_dir, base)
+    query = capture(
+        spark, source, f"{base}/out", RUN_FIELDS, max_len=1024, policy="drop", capacity=1000,
+        width="36500 days", buffer_size=MAX_BUFFER,
+    )
+    query.awaitTermination()
+    totals = captured_totals(query)
+    written = read_lines(spark, f"{base}/out").agg(F.count(F.lit(1)).alias("written"))
+    return written.select(
+        *[F.lit(totals[name]["rows"]).cast("bigint").alias(name) for name in ("arrived", "dropped", "lines")],
+        (F.lit(totals["records"]["rows"]) - F.col("written")).alias("unwritten"),
+    )
+
+
 def q_capture_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents")
     return capture_frame(documents, "doc_id", "text", RUN_FIELDS, 1024)
@@ -346,6 +398,33 @@ def q_capture_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.capture_audit(raw, records, "source")
 
 
+def q_written_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files against the lines that went into them; the records of one source lack some."""
+    base = scratch_dir(spark, "audit")
+    documents = _table(spark, sf_dir, "documents")
+    raw = op.split_lines(documents, ["doc_id", "source"], "text")
+    records = op.encode_ndjson(
+        op.cap_lines(raw, 1024).withColumn("front", op.render_prefix(_own_fields())),
+        "line", F.col("front"),
+    )
+    lost = (F.col("source") == "src3") & (F.col("doc_id") % 3 == 0) & (F.col("line_no") == 0)
+    write_ndjson(records.filter(~lost), f"{base}/out", [*LINE_KEYS, "piece_no"])
+    fields = "source string, piece bigint"
+    written = read_lines(spark, f"{base}/out").select(
+        F.from_json("value", fields).alias("r"), F.col("value").alias("json")
+    )
+    written = written.select("r.source", F.col("r.piece").alias("piece_no"), "json")
+    return op.capture_audit(raw, written, "source").drop("growth")
+
+
+def _own_fields() -> Column:
+    """The source and the piece number of a record, as its fields."""
+    def field(pos: int, key: str, val: Column) -> Column:
+        return F.struct(F.lit(pos).alias("pos"), F.lit(key).alias("key"), val.cast("string").alias("val"))
+
+    return F.array(field(0, "source", F.col("source")), field(1, "piece", F.col("piece_no")))
+
+
 def q_escape_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.escape_profile(_lines(spark, sf_dir), "line", "source")
 

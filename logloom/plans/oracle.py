@@ -134,12 +134,50 @@ fronts AS (
     FROM accepted GROUP BY {set_id})"""
 
 
+# All on the hex digits of the texts: blocks of 37 bytes, lines in them, pieces of 10 bytes,
+# whose cuts move back over up to three bytes that continue a character.
+_H_START = "substr(h, 2 * ({0}) + 1, 1) NOT IN ('8', '9', 'A', 'B')"
+
+
+def _hex_aligned(position: str) -> str:
+    start = [_H_START.format(f"{position} - {back}") for back in range(3)]
+    return f"""CASE WHEN {position} >= n THEN n WHEN {position} = 0 OR {start[0]} THEN {position}
+        WHEN {start[1]} THEN {position} - 1 WHEN {start[2]} THEN {position} - 2
+        ELSE {position} - 3 END"""
+
+
+CUT_BYTES = f"""WITH blocks AS (
+    SELECT doc_id, seq, substr(h, seq * 74 + 1, 74) AS h FROM (
+        SELECT doc_id, hex(encode(text)) AS h,
+            unnest(generate_series(0, (strlen(text) + 36) // 37 - 1)) AS seq FROM documents)),
+parts AS (SELECT doc_id, seq, string_split(
+        rtrim(regexp_replace(regexp_replace(h, '(..)', '\\1 ', 'g'), ' 0A $', ' ')), '0A') AS p
+    FROM (SELECT doc_id, seq, CASE WHEN h = '0A' THEN '' ELSE h END AS h, h AS whole FROM blocks)),
+hexed AS (SELECT doc_id, seq, unnest(generate_series(0, len(p) - 1)) AS line_no,
+        replace(unnest(p), ' ', '') AS h FROM parts),
+cuts AS (SELECT *, len(h) // 2 AS n,
+        unnest(generate_series(0, greatest((len(h) // 2 + 9) // 10 - 1, 0))) AS piece_no FROM hexed)
+SELECT doc_id, seq, line_no, piece_no, substr(h, 2 * a + 1, 2 * (b - a)) AS line_hex
+FROM (SELECT *, {_hex_aligned("(piece_no * 10)")} AS a, {_hex_aligned("((piece_no + 1) * 10)")} AS b
+    FROM cuts)"""
+
+
 HOUR = "strftime(ts, '%Y-%m-%d %H')"
 SHED_REPORT = f"""SELECT {HOUR} AS hour, count(*) AS arrived, least(count(*), 8) AS kept,
     greatest(count(*) - 8, 0) AS dropped FROM events GROUP BY 1"""
 SHED = f"""SELECT hour, event_id, event_type FROM (
     SELECT {HOUR} AS hour, event_id, event_type, row_number() OVER (
         PARTITION BY {HOUR} ORDER BY ts, event_id) AS rank FROM events) WHERE rank <= 8"""
+# Deliveries out of order: rows older than all earlier deliveries less ten minutes are late.
+DELIVERED = f"""delivered AS (
+    SELECT *, {HOUR} AS hour, CASE WHEN day(ts) > 20 THEN 3
+        WHEN day(ts) > 10 OR event_id % 4 = 0 THEN 2 ELSE 1 END AS turn FROM events),
+marks AS (SELECT t.turn, max(d.ts) - INTERVAL 10 MINUTE AS mark
+    FROM (SELECT DISTINCT turn FROM delivered) t LEFT JOIN delivered d ON d.turn < t.turn
+    GROUP BY 1),
+judged AS (SELECT d.*, coalesce(d.ts < mark, false) AS late FROM delivered d JOIN marks USING (turn)),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY turn, ts, event_id)
+    AS rank FROM judged WHERE NOT late) WHERE rank <= 8)"""
 CAPTURED = f"WITH {lines()}, {pieces(1024)} SELECT {FRONT} || {escape('line')} || '\"}}' AS json"
 
 # A run of whole items at the start of an escaped text.
@@ -178,6 +216,10 @@ def oracle_sql() -> dict[str, str]:
         "reassemble_lines_bytes": split,
         "reassemble_pieces": f"""WITH {lines()}, {pieces(200)}
             SELECT doc_id, line_no, piece_no, line FROM pieces""",
+        "reassemble_without_ids": f"""WITH {lines()}, {pieces(1000)}
+            SELECT CASE WHEN lang <> 'en' THEN lang END AS lang, doc_id, line_no, piece_no, line
+            FROM pieces JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""",
+        "cut_bytes": CUT_BYTES,
         "reassemble_stream": f"""WITH {lines()}, {pieces(200)}
             SELECT doc_id, line_no, piece_no, line FROM pieces""",
         "parse_fields": f"WITH {parsed(PARSE_KV)} SELECT event_id, key, val, error FROM parsed",
@@ -207,6 +249,14 @@ def oracle_sql() -> dict[str, str]:
         "join_field_sets": f"""WITH {folded(SOURCE_KV, "event_type")}
             SELECT e.event_id, front || {escape("e.props")} || '"}}' AS json
             FROM events e LEFT JOIN fronts f ON e.event_type = f.event_type""",
+        "join_field_sets_missing": f"""WITH {folded(SOURCE_KV, "event_type")}
+            SELECT e.event_id, CASE WHEN e.event_type IN ('click', 'view') THEN '{{"msg":"'
+                ELSE front END || {escape("e.props")} || '"}}' AS json,
+                CASE WHEN e.event_type = 'view' THEN 'EINV_FIELD_KEY' END AS error
+            FROM events e LEFT JOIN fronts f ON e.event_type = f.event_type""",
+        "encode_ndjson_line_key": f"""SELECT conv_id, turn,
+            '{{"msg":1,"app":"chat","line":"' || {escape("text")} || '"}}' AS json
+            FROM conversations""",
         "encode_ndjson_documents": f"""WITH {lines()}
             SELECT doc_id, line_no, {FRONT} || {escape("line")} || '"}}' AS json FROM lines""",
         "encode_ndjson_pages": f"""SELECT page_id,
@@ -230,6 +280,11 @@ def oracle_sql() -> dict[str, str]:
         "shed_report": SHED_REPORT,
         "shed_stream": SHED,
         "shed_stream_report": SHED_REPORT,
+        "shed_stream_late": f"WITH {DELIVERED} SELECT hour, event_id, event_type FROM kept",
+        "shed_stream_late_report": f"""WITH {DELIVERED}
+            SELECT d.hour, count(*) AS arrived, count(k.event_id) AS kept,
+                count(*) - count(k.event_id) AS dropped, count(*) FILTER (d.late) AS late
+            FROM judged d LEFT JOIN kept k ON d.event_id = k.event_id GROUP BY 1""",
         "read_lines": f"WITH {lines()} SELECT line AS value FROM lines",
         "read_records": "SELECT text AS value FROM documents",
         "stream_lines": f"WITH {lines()} SELECT line AS value FROM lines",
@@ -245,6 +300,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT i.source, i.n AS lines, o.n AS pieces, i.b AS bytes_in, o.b AS bytes_out,
                 o.b / i.b AS growth, true AS balanced
             FROM ins i JOIN outs o ON i.source = o.source""",
+        "capture_drop": f"""WITH {lines()} SELECT count(*) AS arrived,
+            greatest(count(*) - 1000, 0) AS dropped, least(count(*), 1000) AS lines,
+            CAST(0 AS BIGINT) AS unwritten FROM lines""",
+        "written_audit": f"""WITH {lines()}, {pieces(1024)},
+            front AS (SELECT *, '{{"source":"' || source || '","piece":' || piece_no || ',"msg":"' AS f,
+                source = 'src3' AND doc_id % 3 = 0 AND line_no = 0 AS lost FROM pieces),
+            ins AS (SELECT source, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS b
+                FROM lines GROUP BY 1),
+            outs AS (SELECT source, count(*) AS n, count(*) FILTER (piece_no = 0) AS firsts,
+                CAST(sum(strlen(line)) AS BIGINT) AS m,
+                CAST(sum(strlen(f) + strlen({escape("line")}) + 3) AS BIGINT) AS b
+                FROM front WHERE NOT lost GROUP BY 1)
+            SELECT i.source, i.n AS lines, o.n AS pieces, i.b AS bytes_in, o.b AS bytes_out,
+                i.n = o.firsts AND i.b = o.m AS balanced
+            FROM ins i JOIN outs o ON i.source = o.source""",
         "escape_profile": f"WITH {lines()} {profile('lines', 'line')}",
         "escape_profile_controls": profile("documents", CONTROLS),
     }

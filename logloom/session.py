@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution decides from measured sizes: it broadcasts a join side only
 # when the shuffled side turned out small, splits skewed join partitions, and
@@ -48,3 +48,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"logloom-{purpose}-")
     return f"{shared.rstrip('/')}/logloom-{purpose}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """Write `df` to a new table in the shared folder and read it back.
+
+    Its size is then known when a join on it is planned, and what follows does not
+    compute it again, also when an executor is lost.
+    """
+    spark, path, schema = df.sparkSession, scratch_dir(df.sparkSession, purpose), df.schema
+    df.write.parquet(f"{path}/table")
+    return spark.read.schema(schema).parquet(f"{path}/table")

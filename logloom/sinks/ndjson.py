@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from ..limits import check_range
+from ..limits import check_range, names
+from ..session import settled
 
 
 def write_ndjson(
@@ -27,7 +28,10 @@ def write_ndjson(
     file starts after `max_records_per_file` records.
     """
     if order_cols is not None:
-        order = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+        order = names(order_cols)
+        # Ranges are found by a first look at the rows. They are made once, for this
+        # table, and both the look and the sorting read it.
+        records = settled(records.select(*order, json_col), "ndjson")
         records = records.repartitionByRange(*order).sortWithinPartitions(*order)
     writer = records.select(json_col).write.mode(mode).option("lineSep", "\n")
     if max_records_per_file is not None:

@@ -1,6 +1,12 @@
 """Operators over streams that keep state."""
 
 from .reassemble import read_reassembled, reassemble_stream
-from .shed import shed_stream, shed_stream_report
+from .shed import read_shed, shed_stream, shed_stream_report
 
-__all__ = ["read_reassembled", "reassemble_stream", "shed_stream", "shed_stream_report"]
+__all__ = [
+    "read_reassembled",
+    "read_shed",
+    "reassemble_stream",
+    "shed_stream",
+    "shed_stream_report",
+]

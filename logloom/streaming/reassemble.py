@@ -50,9 +50,10 @@ def reassemble_stream(
     folder, so every line appears once.
 
     Binary chunks are cut by bytes, and their pieces are binary. A row with NULL
-    `data` ends its stream: the unfinished line is written and the stream
-    forgotten. Batches must arrive in the order of `seq`. Read the result with
-    `read_reassembled`.
+    `data` ends its stream at its own `seq`: the unfinished line is written, and
+    chunks of a larger `seq` are a new stream of the same id, with lines from 0.
+    Batches must arrive in the order of `seq`, and `out_dir` must be new or belong
+    to this checkpoint. Read the result with `read_reassembled`.
     """
     check_range("max_len", max_len, 1)
     streams = [stream] if isinstance(stream, str) else list(stream)
@@ -70,21 +71,39 @@ def reassemble_stream(
         chunks, _, _ = chunk_rows(batch, streams, seq, data)
         # The open line of a stream comes back as a chunk in front of the others.
         carried = open_lines(batch.sparkSession, batch_id).select(
-            *streams,
+            F.struct(*streams).alias("ids"),
             F.lit(-1).cast("bigint").alias("seq"),
             (F.decode(line, "ISO-8859-1") if binary else line).alias("text"),
             F.col("line_no").alias("skip_lines"),
             (F.col("piece_no") * max_len).alias("skip_chars"),
         )
-        pieces = assemble(chunks.unionByName(carried), streams, max_len, span)
-        ended = batch.filter(F.col(data).isNull()).select(*streams).distinct()
-        flushed = pieces.join(ended.withColumn("_ended", F.lit(True)), streams, "left")
-        rest = F.col("open") & F.col("_ended").isNotNull()
+        # The ends that a stream has in this batch, in order: they cut it into parts.
+        ends = (
+            batch.filter(F.col(data).isNull())
+            .groupBy(F.struct(*streams).alias("ids"))
+            .agg(F.sort_array(F.collect_set(F.col(seq).cast("bigint"))).alias("ends"))
+        )
+        part = F.size(F.filter("ends", lambda end: end < F.col("seq")))
+        cut = (
+            chunks.unionByName(carried)
+            .join(ends, "ids", "left")
+            .withColumn("ends", F.coalesce("ends", F.array().cast("array<bigint>")))
+            .withColumn(
+                "ids", F.struct("ids", part.alias("part"), F.size("ends").alias("parts"))
+            )
+            .drop("ends")
+        )
+        pieces = assemble(cut, max_len, span)
+        # Only what follows the last end goes on in the next batch.
+        rest = F.col("open") & (F.col("ids.part") < F.col("ids.parts"))
         (
-            flushed.filter(~rest | (line != ""))
+            pieces.filter(~rest | (line != ""))
             .withColumn(_OPEN, (F.col("open") & ~rest).cast("int"))
             .withColumn("line", F.encode(line, "ISO-8859-1") if binary else line)
-            .select(*streams, "line_no", "piece_no", "line", _OPEN)
+            .select(
+                *[F.col("ids.ids")[name].alias(name) for name in streams],
+                "line_no", "piece_no", "line", _OPEN,
+            )
             .write.mode("overwrite")
             .partitionBy(_OPEN)
             .parquet(f"{out_dir}/{_BATCH}={batch_id}")

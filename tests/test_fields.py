@@ -2,6 +2,8 @@
 
 import random
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -209,13 +211,35 @@ def test_join_field_sets_keeps_rows_without_a_set(spark):
     }
 
 
-def test_join_field_sets_broadcasts_by_size_only(spark):
-    sets = spark.createDataFrame([("a", "p")], "set_id string, front string")
-    rows = spark.createDataFrame([("a", "m1")], "set_id string, m string")
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    try:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-        plan = join_field_sets(rows, sets, "set_id")._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin" in plan and "Broadcast" not in plan
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_join_field_sets_meets_null_sources_and_shows_failed_sets(spark, limit):
+    kv = [("a", 0, "x=1"), (None, 0, "n=1"), ("bad", 0, "=no")]
+    sets = fold_fields(spark.createDataFrame(kv, "set_id string, pos bigint, kv string"), "set_id", "pos")
+    sets = sets.select("set_id", render_prefix("fields").alias("front"), "error")
+    rows = spark.createDataFrame([("a", "m"), (None, "m"), ("bad", "m"), ("other", "m")], "set_id string, m string")
+    joined = join_field_sets(rows, sets, "set_id", broadcast_bytes=limit)
+    got = {r.set_id: (r.json, r.error) for r in encode_ndjson(joined, "m", F.col("front")).collect()}
+    assert got == {
+        "a": ('{"x":1,"msg":"m"}', None), None: ('{"n":1,"msg":"m"}', None),
+        "bad": ('{"msg":"m"}', "EINV_FIELD_KEY"), "other": ('{"msg":"m"}', None),
+    }
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    if limit:
+        assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+    else:
+        assert "_salt" in plan
+
+
+@pytest.mark.parametrize(
+    "val, kind",
+    [
+        ("9" * 38, "decimal(38,0)"), ("-" + "9" * 38, "decimal(38,0)"), ("9" * 39, "string"),
+        ("0.12345678901234567890", "decimal(38,20)"), ("1e400", "string"), ("1e20", "double"),
+        ("12.5", "double"), ("1e-7", "double"), ("123456789012345678901.5", "decimal(38,1)"),
+        ("-0", "bigint"), ("9223372036854775808", "decimal(38,0)"), ("1e-400", "string"),
+    ],
+)
+def test_no_digit_of_a_number_is_lost(spark, val, kind):
+    frame = inject_fields(spark.range(1), [f"v={val}"])
+    assert dict(frame.dtypes)["v"] == kind
+    assert Decimal(str(frame.first().v)) == Decimal(val)

@@ -1,5 +1,7 @@
 """Files in and out, and streams against the same work on tables."""
 
+import os
+import time
 from pathlib import Path
 
 import pytest
@@ -12,6 +14,7 @@ from logloom import (
     captured_totals,
     read_lines,
     read_reassembled,
+    read_shed,
     reassemble_lines,
     reassemble_stream,
     shed,
@@ -197,6 +200,16 @@ def test_binary_chunks_may_break_inside_characters(spark, tmp_path):
     assert [bytes(r.line).decode() for r in got.collect()] == ["é🧪é", "ßß", "🧪"]
 
 
+def test_an_end_has_a_place_in_its_stream(spark, tmp_path):
+    deliveries = [
+        [("a", 0, "old"), ("a", 1, None), ("a", 2, "new\n"), (None, 0, "n")],
+        [("a", 3, "more"), (None, 1, "o\n"), ("a", 4, None), ("a", 5, None), ("a", 6, "x\n")],
+    ]
+    read = run_reassembly(spark, str(tmp_path), deliveries, 100)
+    got = sorted(((r.stream_id, r.line_no, r.line) for r in read().collect()), key=str)
+    assert got == [("a", 0, "new"), ("a", 0, "old"), ("a", 0, "x"), ("a", 1, "more"), (None, 0, "no")]
+
+
 EVENTS = "ts timestamp, n bigint"
 
 
@@ -205,37 +218,112 @@ def deliver(spark, base, rows):
     return spark.readStream.schema(EVENTS).parquet(f"{base}/in")
 
 
-def test_stream_shedding_equals_the_table_form(spark, tmp_path):
-    base = str(tmp_path)
-    events = spark.range(600).select(
-        F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("ts"), F.col("id").alias("n")
-    )
-    for low, high in ((0, 100), (100, 290), (290, 600)):
-        arriving = deliver(spark, base, events.filter(F.col("n").between(low, high - 1)))
-        kept = shed_stream(arriving, "ts", "1 hour", ["ts", "n"], 7)
-        (
-            kept.writeStream.format("parquet").option("checkpointLocation", f"{base}/cp")
-            .trigger(availableNow=True).start(f"{base}/kept").awaitTermination()
-        )
-    hourly = events.withColumn("bucket", F.date_trunc("hour", "ts"))
-    want = shed(hourly, "bucket", ["ts", "n"], 7)
-    got = spark.read.parquet(f"{base}/kept").select("ts", "n", "bucket")
-    assert same(got, want.select("ts", "n", "bucket"))
-
-
-def test_stream_report_counts_what_was_dropped(spark, tmp_path):
-    events = spark.range(100).select(
+def shed_all(spark, base, deliveries, capacity):
+    for rows in deliveries:
+        arriving = deliver(spark, base, rows)
+        shed_stream(
+            arriving, f"{base}/shed", f"{base}/cp", "ts", "1 hour", ["ts", "n"], capacity
+        ).awaitTermination()
+    return read_shed(spark, f"{base}/shed", arriving.schema), shed_stream_report(spark, f"{base}/shed")
+
+
+def minutes(spark, low, high):
+    return spark.range(low, high).select(
         F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("ts"), F.col("id").alias("n")
     )
-    report = shed_stream_report(deliver(spark, str(tmp_path), events), "ts", "1 hour", 50)
-    rows = []
+
+
+def test_stream_shedding_equals_the_table_form(spark, tmp_path):
+    parts = [minutes(spark, low, high) for low, high in ((0, 100), (100, 290), (290, 600))]
+    kept, report = shed_all(spark, str(tmp_path), parts, 7)
+    hourly = minutes(spark, 0, 600).withColumn("bucket", F.date_trunc("hour", "ts"))
+    assert same(kept.select("ts", "n", "bucket"), shed(hourly, "bucket", ["ts", "n"], 7).select("ts", "n", "bucket"))
+    rows = report.collect()
+    assert [(r.arrived, r.kept, r.dropped, r.late) for r in rows] == [(60, 7, 53, 0)] * 10
+
+
+def test_late_rows_take_no_places(spark, tmp_path):
+    """Four late rows of a closed bucket and four rows in time, in one batch."""
+    first = minutes(spark, 60, 61)
+    second = spark.createDataFrame(
+        [(5 * 60 + k, k) for k in range(4)] + [(55 * 60 + k, 10 + k) for k in range(4)], "s bigint, n bigint"
+    ).select(F.timestamp_seconds(F.lit(1704067200) + F.col("s")).alias("ts"), "n")
+    untimed = spark.createDataFrame([(None, 99)], EVENTS)
+    kept, report = shed_all(spark, str(tmp_path), [first, second.unionByName(untimed)], 4)
+    assert sorted(r.n for r in kept.collect()) == [10, 11, 12, 13, 60]
+    counts = {str(r.bucket): (r.arrived, r.kept, r.dropped, r.late) for r in report.collect()}
+    assert counts == {
+        "2024-01-01 00:00:00": (8, 4, 4, 4), "2024-01-01 01:00:00": (1, 1, 0, 0), "None": (1, 0, 1, 1),
+    }
+
+
+def test_a_repeated_shedding_batch_replaces_its_own_rows(spark, tmp_path):
+    base = str(tmp_path)
+    kept, report = shed_all(spark, base, [minutes(spark, 0, 30), minutes(spark, 30, 70)], 40)
+    before = sorted(map(str, kept.collect())), sorted(map(str, report.collect()))
+    for name in ("1", ".1.crc"):
+        (tmp_path / "cp" / "commits" / name).unlink()
+    arriving = spark.readStream.schema(EVENTS).parquet(f"{base}/in")
+    shed_stream(arriving, f"{base}/shed", f"{base}/cp", "ts", "1 hour", ["ts", "n"], 40).awaitTermination()
+    kept, report = read_shed(spark, f"{base}/shed", arriving.schema), shed_stream_report(spark, f"{base}/shed")
+    assert (sorted(map(str, kept.collect())), sorted(map(str, report.collect()))) == before
+    assert len(before[0]) == 50
+
+
+def test_capture_counts_what_it_drops(spark, tmp_path):
+    """A file an hour older than those of an earlier batch is late, and counted."""
+    put(tmp_path / "in", "1.txt", b"a\nb\nc\n")
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    options = {"policy": "drop", "capacity": 2, "width": "3650 days"}
+    query = capture(*args, **options)
+    query.awaitTermination()
+    totals = captured_totals(query)
+    assert totals["arrived"] == {"rows": 3, "bytes": 3} and totals["dropped"] == {"rows": 1, "bytes": 1}
+    put(tmp_path / "in", "2.txt", b"late\nlater\n")
+    then = time.time() - 3600
+    os.utime(tmp_path / "in" / "2.txt", (then, then))
+    query = capture(*args, **options)
+    query.awaitTermination()
+    totals = captured_totals(query)
+    assert totals["arrived"]["rows"] == totals["dropped"]["rows"] == 2 and totals["lines"]["rows"] == 0
+
+
+def test_capture_keeps_bytes_of_long_lines(spark, tmp_path):
+    line = b"x" * 1020 + b"\xff\xfe" + b"y" * 10
+    put(tmp_path / "in", "a.txt", line + b"\n")
+    query = capture(spark, str(tmp_path / "in"), str(tmp_path / "out"), max_len=1024)
+    query.awaitTermination()
+    data = b"".join(f.read_bytes() for f in sorted((tmp_path / "out").glob("part-*")))
+    assert data == b'{"msg":"' + line[:1024] + b'"}\n{"msg":"' + line[1024:] + b'"}\n'
+    totals = captured_totals(query)
+    assert totals["lines"]["bytes"] == totals["pieces"]["bytes"] == 1032
+
+
+def test_totals_of_more_batches_than_a_query_reports(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates", "100")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        for i in range(6):
+            put(tmp_path / "in", f"{i}.txt", b"one\n")
+        query = capture(spark, str(tmp_path / "in"), str(tmp_path / "out"), buffer_size=1)
+        query.awaitTermination()
+        assert captured_totals(query)["records"]["rows"] == 6
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+
+
+def test_intake_bounded_by_bytes(spark, tmp_path):
+    for i in range(6):
+        put(tmp_path / "in", f"{i}.txt", b"x" * 99 + b"\n")
     query = (
-        report.writeStream.outputMode("update")
-        .foreachBatch(lambda frame, _: rows.extend(frame.collect()))
-        .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        stream_lines(spark, str(tmp_path / "in"), max_bytes=200)
+        .writeStream.format("text").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start(str(tmp_path / "out"))
     )
     query.awaitTermination()
-    assert sorted((r.arrived, r.kept, r.dropped) for r in rows) == [(40, 40, 0), (60, 50, 10)]
+    sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(sizes) == 6 and max(sizes) <= 2
+    assert len(values(read_lines(spark, str(tmp_path / "out")))) == 6
 
 
 class SharedSession:

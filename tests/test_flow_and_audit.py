@@ -1,18 +1,25 @@
 """Shedding, custom encoders, audits and profiles on tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from logloom import (
     Encoder,
+    FieldSet,
     capture_audit,
     capture_frame,
     csv_encoder,
+    encode_ndjson,
     encode_with,
     escape_profile,
+    render_prefix,
     shed,
     shed_report,
     split_lines,
+    truncate_encoded,
+    validate_field_sets,
 )
 
 
@@ -44,16 +51,33 @@ def test_shedding_of_a_hot_bucket_is_exact(spark, capacity):
     }
 
 
-def test_small_capacity_is_pruned_before_the_shuffle_and_large_is_salted(spark):
-    frame = spark.range(10).select((F.col("id") % 3).alias("bucket"), F.col("id").alias("ord"))
-    small = shed(frame, "bucket", "ord", 8)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in small
-    large = shed(frame, "bucket", "ord", 5000)._jdf.queryExecution().executedPlan().toString()
-    assert "_salt" in large
+def test_one_plan_for_every_capacity_ranks_no_bucket(spark):
+    frame = spark.range(300_000).select(
+        F.when(F.col("id") % 10 < 8, "hot").otherwise("b").alias("bucket"), F.xxhash64("id").alias("ord"), "id"
+    )
+    plans = []
+    for capacity in (8, 100_000):
+        kept = shed(frame, "bucket", "ord", capacity)
+        plans.append(re.sub(r"\d+", "", kept._jdf.queryExecution().optimizedPlan().toString()))
+        counts = {r.bucket: r for r in kept.groupBy("bucket").agg(F.count("*").alias("n"), F.max("ord").alias("last")).collect()}
+        for name, total in (("hot", 240_000), ("b", 60_000)):
+            want = min(capacity, total)
+            assert counts[name].n == want
+            below = frame.filter((F.col("bucket") == name) & (F.col("ord") <= counts[name].last)).count()
+            assert below == want
+    assert plans[0] == plans[1] and "Window" not in plans[0]
     with pytest.raises(ValueError):
         shed(frame, "bucket", "ord", 0)
 
 
+def test_shedding_keeps_null_buckets_and_orders(spark):
+    rows = [(None, 2), (None, 1), (None, None), ("a", 5), ("a", 4)]
+    frame = spark.createDataFrame(rows, "bucket string, ord bigint")
+    got = {tuple(r) for r in shed(frame, "bucket", "ord", 2).collect()}
+    assert got == {(None, None), (None, 1), ("a", 4), ("a", 5)}
+    assert shed(frame.limit(0), "bucket", "ord", 2).count() == 0
+
+
 def test_identity_encoder_counts_bytes(spark):
     encoder = Encoder(lambda fields: "x", lambda msg: msg, lambda fields: "x")
     lines = spark.createDataFrame([("datada",), ("ta",), ("data",)], "line string")
@@ -86,6 +110,29 @@ def test_audit_balances_and_finds_losses(spark, documents):
     assert [(r.source, r.lines, r.growth) for r in wrong] == [(victim.source, 0, None)]
 
 
+def test_fields_follow_the_key_of_the_message(spark):
+    rows = spark.createDataFrame([("hi",)], "m string")
+    assert encode_ndjson(rows, "m", ["msg=1"], msg_key="line").first().json == '{"msg":1,"line":"hi"}'
+    for wrong in (lambda: encode_ndjson(rows, "m", ["line=1"], msg_key="line"),
+                  lambda: encode_ndjson(rows, "m", FieldSet((("line", "1"),)), msg_key="line"),
+                  lambda: encode_ndjson(rows, "m", [], msg_key='a"b'),
+                  lambda: render_prefix("m", msg_key="")):
+        with pytest.raises(ValueError):
+            wrong()
+    kv = spark.createDataFrame([(1, 0, "line=1"), (1, 1, "msg=2")], "s int, pos bigint, kv string")
+    assert validate_field_sets(kv, "s", "pos", msg_key="line").first().error_pos == 0
+    assert validate_field_sets(kv, "s", "pos").first().error_pos == 1
+
+
+def test_truncation_keeps_bytes_that_are_not_utf8(spark):
+    data = bytearray(b'a\xff"\xfe\xffbc')
+    frame = spark.createDataFrame([(data,)], "d binary").select(F.col("d").cast("string").alias("m"))
+    for unit in ("char", "byte"):
+        for budget, want in ((2, b"a\xff"), (3, b"a\xff"), (4, b'a\xff\\"'), (99, b'a\xff\\"\xfe\xffbc')):
+            got = truncate_encoded(frame, "m", budget, unit).select(F.col("encoded").cast("binary")).first()[0]
+            assert bytes(got) == want, (unit, budget)
+
+
 def test_escape_profile_classes(spark):
     rows = spark.createDataFrame(
         [("a" * 64,), ("é" * 128,), ("a" * 129,), ("a" * 513,), ("ab\tcdefghi",), ("\x07\x07ab",), ("",)],

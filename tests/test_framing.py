@@ -136,7 +136,7 @@ def test_reassemble_streams(spark, span, max_len):
 def test_reassembly_undoes_chunking(spark, documents, unit, size):
     some = documents if size > 1 else documents.filter(F.length("text") < 200)
     want = split_lines(some, "doc_id", "text")
-    got = reassemble_lines(chunk_text(some, "doc_id", "text", size, unit), "doc_id")
+    got = reassemble_lines(chunk_text(some, "doc_id", "text", size, unit), "doc_id", max_len=None)
     assert want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
 
 
@@ -150,7 +150,7 @@ def test_sequence_numbers_beyond_doubles(spark):
     base = 2**53 + 1
     frame = spark.createDataFrame([("s", base, "a"), ("s", base + 1, "b\nc"), ("s", base + 2, "\n")],
                                   "stream_id string, seq bigint, data string")
-    got = reassemble_lines(frame, span=1)
+    got = reassemble_lines(frame, span=1, max_len=None)
     assert by_id(got) == {"s": [(0, "ab"), (1, "c")]}
 
 
@@ -161,7 +161,7 @@ def test_one_stream_that_is_the_whole_table(spark):
         F.concat(F.lit("stream data\n").substr(1, 12), F.col("id").cast("string")).alias("data"),
     )
     text = "".join(f"stream data\n{i}" for i in range(n))
-    got = by_id(reassemble_lines(frame, span=100))
+    got = by_id(reassemble_lines(frame, span=100, max_len=None))
     assert got == {"hot": list(enumerate(lines_of(text)))}
 
 
@@ -187,3 +187,70 @@ def test_split_reads_only_the_columns_it_needs(spark, documents):
     assert "Exchange" not in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert "PushedFilters: [IsNotNull(text), Not(EqualTo(text,))]" in plan
+
+
+BYTES = [b"c\xffd\nab\xfe\xffcd\n", b"\xff" * 10, b"x\xc3\ny", b"\xe2\x82\n", "é🧪".encode() * 4, b"\x9f\xaa" * 9]
+
+
+def bytes_frame(spark, data=BYTES):
+    rows = [(i, bytearray(d)) for i, d in enumerate(data)]
+    return spark.createDataFrame(rows, "id bigint, data binary").select(
+        "id", F.col("data").cast("string").alias("text")
+    )
+
+
+def raw(frame, column):
+    return by_id(frame.withColumn(column, F.col(column).cast("binary")))
+
+
+def test_split_keeps_bytes_that_are_not_utf8(spark):
+    got = raw(split_lines(bytes_frame(spark), "id", "text"), "line")
+    for i, data in enumerate(BYTES):
+        parts = data.split(b"\n")
+        parts = parts[:-1] if parts[-1] == b"" else parts
+        assert [bytes(line) for _, line in got[i]] == parts
+
+
+@pytest.mark.parametrize("unit", ["char", "byte"])
+@pytest.mark.parametrize("size", [4, 7, 100])
+def test_cutting_keeps_bytes_that_are_not_utf8(spark, unit, size):
+    chunks = chunk_text(bytes_frame(spark), "id", "text", size, unit)
+    got = raw(chunks, "data")
+    assert [b"".join(bytes(d) for _, d in got[i]) for i in range(len(BYTES))] == BYTES
+    lines = bytes_frame(spark).withColumnRenamed("text", "line")
+    got = raw(cap_lines(lines, size, unit).select("id", "piece_no", "line"), "line")
+    assert [b"".join(bytes(d) for _, d in got[i]) for i in range(len(BYTES))] == BYTES
+    # Every byte of such a text counts as a character.
+    if unit == "char":
+        assert [len(bytes(d)) for _, d in got[1]] == [len(p) for p in cut("x" * 10, size)]
+
+
+def test_streams_without_an_id(spark):
+    rows = [(None, 0, "a\nb"), (None, 1, "c\n"), ("s", 0, "x"), ("s", 1, "y\nz")]
+    frame = spark.createDataFrame(rows, "stream_id string, seq bigint, data string")
+    assert by_id(reassemble_lines(frame, max_len=None, span=1)) == {
+        None: [(0, "a"), (1, "bc")], "s": [(0, "xy"), (1, "z")],
+    }
+
+
+@pytest.mark.parametrize("rows", [[("s", None, "a\n"), ("s", 1, "b\n")], [("s", 0, "p"), ("s", 0, "q\n")]])
+def test_missing_and_repeated_numbers_are_errors(spark, rows):
+    frame = spark.createDataFrame(rows, "stream_id string, seq bigint, data string")
+    with pytest.raises(Exception, match="seq (must not be NULL|occurs twice)"):
+        reassemble_lines(frame).collect()
+
+
+def test_texts_are_shuffled_once(spark, documents):
+    """With broadcasting off, one exchange carries the texts, and both branches read it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frame = reassemble_lines(chunk_text(documents, "doc_id", "text", 64), "doc_id")
+        frame.write.format("noop").mode("overwrite").save()
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final = plan.split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in final
+    assert final.count("FileScan") <= 2
