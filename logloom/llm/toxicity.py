@@ -29,6 +29,8 @@ CONTEXTS, LEAST_ODDS, MOST_ODDS = 3, 3.0, 8.0
 # Lengths of word stems, the words that must share one, and the share of a
 # shorter stem's support at which the longer one takes its place.
 STEMS, STEM_WORDS, SAME_SUPPORT = (4, 5, 6, 7), 5, 0.95
+# Accents that a text may have in all, or per hundred characters, to count as disguise.
+FEW_ACCENTS = 2
 
 # Letters of other scripts, and digits, that pass for Latin letters.
 HOMOGLYPHS = {
@@ -51,11 +53,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def folded_words(text: str) -> list[str]:
-    """Words in lower case without accents, homoglyphs, digits and signs for letters."""
+    """Words in lower case without homoglyphs, digits and signs for letters.
+
+    Accents are part of a language that uses them, and a disguise in one that does
+    not: they go where few letters of the text have one.
+    """
     if text.isascii():
         text = text.lower().translate(_ASCII_TABLE)
     else:
-        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower().translate(_TABLE)
+        text = unicodedata.normalize("NFKC", text).lower().translate(_TABLE)
+        apart = unicodedata.normalize("NFD", text)
+        accents = len(_MARKS.findall(apart))
+        if 0 < accents <= max(FEW_ACCENTS, FEW_ACCENTS * len(text) / 100):
+            text = _MARKS.sub("", apart)
     text = _SIGN.sub(lambda m: SIGNS[m[0]], text)
     return _WORD.findall(text)
 
@@ -105,9 +115,9 @@ class Lexicon:
 
 
 def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of toxic texts every word with its context, of clean ones the words and their texts' number."""
+    """Words with the texts that have them: toxic ones once per context, clean ones in sum."""
     for batch in batches:
-        words, contexts = [], []
+        words, contexts, toxic_texts = [], [], []
         clean: Counter[str] = Counter()
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             found = folded_words(text or "")
@@ -115,17 +125,20 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 clean.update(set(found))
                 continue
             framed = ["", *found, ""]
-            words += found
-            contexts += [
-                xxhash.xxh3_64_intdigest(f"{a} {b}") >> 1 for a, b in zip(framed, framed[2:])
-            ]
+            new = set(found)
+            for before, word, after in zip(framed, found, framed[2:]):
+                words.append(word)
+                contexts.append(xxhash.xxh3_64_intdigest(f"{before} {after}") >> 1)
+                toxic_texts.append(int(word in new))
+                new.discard(word)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([*words, *clean], pa.string()),
                 pa.array([*contexts, *[None] * len(clean)], pa.int64()),
+                pa.array([*toxic_texts, *[0] * len(clean)], pa.int64()),
                 pa.array([*[0] * len(words), *clean.values()], pa.int64()),
             ],
-            ["word", "context", "clean"],
+            ["word", "context", "toxic", "clean"],
         )
 
 
@@ -140,8 +153,8 @@ def learned_lexicon(
 ) -> Lexicon:
     """Words and word stems that tell toxic texts from others, with their log odds.
 
-    Support is counted in different contexts, a word and its two neighbours, so a
-    text that was copied many times counts once. Labels of held-out documents are
+    Support is the number of texts, and at most that of different contexts in toxic
+    ones: the two neighbours of a word. So a text that was copied counts once. Labels of held-out documents are
     not read; at most `max_labelled` labelled documents are.
     """
     known = (
@@ -162,20 +175,22 @@ def learned_lexicon(
     n_toxic, n_clean = by_label.get(True, 0), by_label.get(False, 0)
     words = saved(
         sample.select("text", "toxic")
-        .mapInArrow(_seen, "word string, context bigint, clean bigint")
+        .mapInArrow(_seen, "word string, context bigint, toxic bigint, clean bigint")
         .groupBy("word")
-        .agg(F.count_distinct("context").alias("toxic"), F.sum("clean").alias("clean"))
-        .filter("toxic > 0"),
+        .agg(
+            F.least(F.count_distinct("context"), F.sum("toxic")).alias("toxic"),
+            F.sum("clean").alias("clean"),
+        ),
         "toxic-words",
     )
     # A word counts if chance would give one like it less than once in ten lexicons.
     share = (n_toxic + 1) / (n_toxic + n_clean + 2)
-    surprise = math.log(10 * max(words.count(), 1))
+    surprise = math.log(10 * max(words.filter("toxic > 0").count(), 1))
 
     def surprising(toxic: str, clean: str):
         """Log likelihood ratio of a word's own share of toxic texts to that of all texts."""
         t, c = F.col(toxic).cast("double"), F.col(clean).cast("double")
-        gain = t * F.log(t / ((t + c) * share)) + F.when(
+        gain = F.when(t > 0, t * F.log(t / ((t + c) * share))).otherwise(0.0) + F.when(
             c > 0, c * F.log(c / ((t + c) * (1 - share)))
         ).otherwise(0.0)
         return gain >= surprise
@@ -264,8 +279,8 @@ def toxicity_scores(
 ) -> DataFrame:
     """Toxicity of every whole text: the id, `held_out`, `score`, `predicted`. No shuffle.
 
-    Accents, look-alike letters of other scripts, digits and signs that stand for
-    letters are folded first. The score is a logistic function of the weight of all
+    Look-alike letters of other scripts, digits and signs that stand for letters,
+    and odd accents are folded first. The score is a logistic function of the weight of all
     hits, as it is and for the length of the text; hits inside exception phrases do
     not count. Null and empty texts, and those without a hit, get the lowest score.
     Repeated rows get the same score. Other columns are not looked at.
