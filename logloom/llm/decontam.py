@@ -13,9 +13,9 @@ from .common import row_key, saved, without_rows
 
 # Words of a shingle; items with fewer words are one shingle.
 SHINGLE = 5
-# Rows of a small side that is sent to every task. Rows hold a key, or a window
-# of words, so this bounds the bytes; beyond it the join shuffles.
-SMALL_ROWS = 50_000
+# Rows, and bytes as JSON text, of a small side that is sent to every task at most;
+# beyond either the join shuffles.
+SMALL_ROWS, SMALL_BYTES = 50_000, 16 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Fixed value of the contract: everything ASCII but letters and digits separates words.
@@ -29,7 +29,9 @@ def contract_words(text: Column) -> Column:
 
 
 def _is_small(df: DataFrame) -> bool:
-    return df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint")), F.lit(0))
+    n, text_bytes = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)), size).first()
+    return n <= SMALL_ROWS and text_bytes <= SMALL_BYTES
 
 
 def _shingle_hashes(words: Column, size: int) -> Column:
