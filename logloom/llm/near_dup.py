@@ -23,9 +23,9 @@ SKETCH_BITS = 1024
 MARGIN = 0.15
 # Members of a bucket that one task compares at a time.
 BLOCK = 2048
-# Rounds of other pivots, at most, before the pairs that are left in buckets are
-# compared, and the pairs per bucket member that are not worth a round.
-ROUNDS, FEW_PAIRS = 5, 2
+# Pairs per bucket member up to which all pairs between components are compared
+# at once, without a look at the nearest ones first.
+FEW_PAIRS = 2
 
 _WORDS = SKETCH_BITS // 64
 
@@ -136,8 +136,12 @@ def _confirmed(
     )
 
 
-def _compared(least: float):
-    """Compare the members of a block, or of two blocks of a bucket, by their sketches."""
+def _compared(least: float, nearest: bool):
+    """Compare the members of a block, or of two blocks of a bucket, by their sketches.
+
+    Gives the pairs of different labels that may be similar enough, or only the
+    nearest partner of each member of the first block.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         first = group[group["block"] == group["bi"]]
@@ -148,13 +152,16 @@ def _compared(least: float):
         nodes, labels, sizes = (second[c].to_numpy() for c in ("node", "label", "n_shingles"))
         found = []
         most = SKETCH_BITS / 2 * (1 - np.exp(-(1 - least) * 4 * BANDS * ROWS / SKETCH_BITS))
+        alone = group["bi"].iat[0] == group["bj"].iat[0] and not nearest
         for node, label, size, own in zip(
             first["node"], first["label"], first["n_shingles"], first["sketch"]
         ):
-            other = (nodes > node) if group["bi"].iat[0] == group["bj"].iat[0] else nodes != node
+            other = (nodes > node) if alone else nodes != node
             other &= (labels != label) & (sizes * 2 >= size) & (sizes <= size * 2)
             at = np.flatnonzero(other)
             odd = np.bitwise_count(sketch[at] ^ np.asarray(own, np.int64)).sum(axis=1)
+            if nearest and len(at):
+                at, odd = at[[odd.argmin()]], odd[[odd.argmin()]]
             found += [(node, x) for x in nodes[at[odd <= most]]]
         pairs = pd.DataFrame(found, columns=["x", "y"])
         return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
@@ -179,10 +186,10 @@ def near_duplicates(
 
     Equal sets are one class and take part once. Classes meet in the buckets of
     MinHash bands. In every bucket all members are compared with its smallest one
-    only. Where a bucket still holds several components, a few rounds of other
-    pivots bring them together, and the pairs between components that are left
-    after that are compared by sketch in blocks. So a group of thousands of near
-    copies costs its size, not its square. Pairs
+    only. Where a bucket still holds several components, its members are compared by
+    sketch in blocks: first each one with its nearest partner in another component,
+    then, between the components that are left, all pairs. So a group of thousands
+    of near copies gives pairs in the order of its size, not of its square. Pairs
     whose odd sketches say that they cannot reach the threshold are left out; all
     others are confirmed on their full sets.
 
@@ -274,38 +281,10 @@ def near_duplicates(
             labelled.select("key", "node", "label").join(open_buckets, "key"), "near-dup-apart"
         )
 
-    apart = still_apart()
-    for turn in range(ROUNDS):
-        # Pairs between components, each member's share, against the members.
-        pairs, n = apart.agg(
-            F.sum((F.col("m") - F.col("squares") / F.col("m")) / 2), F.count(F.lit(1))
-        ).first()
-        if not n or pairs <= FEW_PAIRS * n:
-            break
-        # Another member of each bucket is the pivot, for those of other components.
-        chosen = apart.groupBy("key").agg(
-            F.min_by(F.struct("node", "label"), F.xxhash64("node", F.lit(turn))).alias("pivot")
-        )
-        fresh_pairs = (
-            apart.join(chosen, "key")
-            .filter("label != pivot.label")
-            .select(
-                F.least("node", "pivot.node").alias("a"),
-                F.greatest("node", "pivot.node").alias("b"),
-            )
-            .distinct()
-            .join(tried, ["a", "b"], "left_anti")
-        )
-        more = likely(fresh_pairs)
-        tried = tried.unionByName(more)
-        links = links.unionByName(confirmed(more))
-        groups = components(links, "near-dup-groups")
-        apart = still_apart()
-
-    if not apart.isEmpty():
-        blocks = F.ceil(F.col("m") / BLOCK).cast("bigint")
+    def compared(apart: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of different components that share a bucket, by sketch, and not tried before."""
         paired = (
-            apart.withColumn("blocks", blocks)
+            apart.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("bigint"))
             .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
             .select(
@@ -315,12 +294,26 @@ def near_duplicates(
             .join(sketches, "node")
         )
         found = paired.groupBy("key", "bi", "bj").applyInPandas(
-            _compared(least), f"a {id_type}, b {id_type}"
+            _compared(least, nearest), f"a {id_type}, b {id_type}"
         )
-        late = saved(found.distinct().join(tried, ["a", "b"], "left_anti"), "near-dup-late")
-        if not late.isEmpty():
-            links = links.unionByName(confirmed(late))
-            groups = components(links, "near-dup-groups")
+        return saved(found.distinct().join(tried, ["a", "b"], "left_anti"), "near-dup-late")
+
+    apart = still_apart()
+    # Pairs between components: each member's share of those of its bucket.
+    pairs, n = apart.agg(
+        F.sum((F.col("m") - F.col("squares") / F.col("m")) / 2), F.count(F.lit(1))
+    ).first()
+    # The nearest ones first, which join most of what belongs together; then all others.
+    turns = [] if not n else [False] if pairs <= FEW_PAIRS * n else [True, False]
+    for nearest in turns:
+        more = compared(apart, nearest)
+        if more.isEmpty():
+            continue
+        tried = tried.unionByName(more)
+        links = links.unionByName(confirmed(more))
+        groups = components(links, "near-dup-groups")
+        if nearest:
+            apart = still_apart()
 
     roots = classes.select("print", "node").join(groups, "node", "left").select(
         "print", F.coalesce("component", "node").alias("root")
