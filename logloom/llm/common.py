@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import scratch_dir
@@ -110,7 +110,6 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
             both.filter("b > a")
             .join(least, "a")
             .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-            .distinct()
         )
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
@@ -124,23 +123,22 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         )
         return small.select("e.a", "e.b").filter("a != b").distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(
-            pairs.agg(
-                F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-            ).first()
+    def kept(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+        """The pairs as a table, and what tells whether they have changed."""
+        seen = Observation()
+        total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+        table = saved(
+            pairs.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), purpose
         )
+        return table, (seen.get["n"], seen.get["total"])
 
-    current = saved(
+    current, before = kept(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a != b")
-        .distinct(),
-        purpose,
+        .distinct()
     )
-    before = mark(current)
     while before[0]:
-        current = saved(stars(current), purpose)
-        after = mark(current)
+        current, after = kept(stars(current))
         if after == before:
             break
         before = after

@@ -150,15 +150,22 @@ def _compared(least: float, nearest: bool):
             return pd.DataFrame({"a": [], "b": []})
         sketch = np.stack(second["sketch"].to_numpy()).astype(np.int64)
         nodes, labels, sizes = (second[c].to_numpy() for c in ("node", "label", "n_shingles"))
+        bands = np.stack(second["bands"].to_numpy()).astype(np.int64)
         found = []
         most = SKETCH_BITS / 2 * (1 - np.exp(-(1 - least) * 4 * BANDS * ROWS / SKETCH_BITS))
         alone = group["bi"].iat[0] == group["bj"].iat[0] and not nearest
-        for node, label, size, own in zip(
-            first["node"], first["label"], first["n_shingles"], first["sketch"]
+        key = group["key"].iat[0]
+        for node, label, size, own, own_bands in zip(
+            first["node"], first["label"], first["n_shingles"], first["sketch"], first["bands"]
         ):
             other = (nodes > node) if alone else nodes != node
             other &= (labels != label) & (sizes * 2 >= size) & (sizes <= size * 2)
             at = np.flatnonzero(other)
+            if not nearest:
+                # A pair is met in the first bucket that it shares, and not in the others.
+                own_bands = np.asarray(own_bands, np.int64)
+                earlier = int(np.flatnonzero(own_bands == key)[0])
+                at = at[~(bands[at, :earlier] == own_bands[:earlier]).any(axis=1)]
             odd = np.bitwise_count(sketch[at] ^ np.asarray(own, np.int64)).sum(axis=1)
             if nearest and len(at):
                 at, odd = at[[odd.argmin()]], odd[[odd.argmin()]]
@@ -291,7 +298,7 @@ def near_duplicates(
                 "key", "node", "label", "block",
                 F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
             )
-            .join(sketches, "node")
+            .join(classes.select("node", "n_shingles", "sketch", "bands"), "node")
         )
         found = paired.groupBy("key", "bi", "bj").applyInPandas(
             _compared(least, nearest), f"a {id_type}, b {id_type}"
