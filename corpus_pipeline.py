@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import decontam, mixture, near_dup, quality, substrings
-from logloom.llm.common import saved
+from logloom.llm.common import one_per_key, saved
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -19,8 +19,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
-    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality classifier accepts; rows that repeat count as one."""
+    good = quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return one_per_key(good, "doc_id", "text")
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,28 @@ def without_rows(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str
     return keyed.join(keys, F.col(own) == F.col(f"{own}_dropped"), "left_anti").drop(own)
 
 
+def one_per_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with one row of those that have the same id and text.
+
+    Keys are counted without the texts; only rows that repeat are shuffled.
+    """
+    own = fresh(docs, "row_key")
+    keyed = docs.withColumn(own, row_key(id_col, F.col(text_col)))
+    repeated = saved(
+        keyed.groupBy(F.col(own).alias(f"{own}_repeated"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .filter("n > 1")
+        .drop("n"),
+        "repeated-rows",
+    )
+    if repeated.isEmpty():
+        return docs
+    same = F.col(own) == F.col(f"{own}_repeated")
+    once = keyed.join(repeated, same, "left_anti")
+    folded = keyed.join(repeated, same, "left_semi").dropDuplicates([own])
+    return once.unionByName(folded).drop(own)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit numbers."""
     h = (h ^ (h >> np.uint64(30))) * _MIX[0]

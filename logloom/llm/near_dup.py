@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, gram_hashes, multipliers, row_key, saved, without_rows
+from .common import (
+    WordHashes,
+    components,
+    gram_hashes,
+    multipliers,
+    one_per_key,
+    row_key,
+    saved,
+    without_rows,
+)
 
 # MinHash samples per set: BANDS bands of ROWS samples. A pair at similarity 0.8
 # shares no band once in 1.6 million times.
@@ -106,7 +115,11 @@ def sketch_similarity(a: Column, b: Column) -> Column:
 
 
 def _confirmed(
-    pairs: DataFrame, docs: DataFrame, id_type: str, size: int, percent: int
+    pairs: DataFrame,
+    texts: Callable[[DataFrame], DataFrame],
+    id_type: str,
+    size: int,
+    percent: int,
 ) -> DataFrame:
     """Those of `pairs` (`a`, `b`) whose full shingle sets are similar enough."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -122,8 +135,7 @@ def _confirmed(
                 [batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"]
             )
 
-    texts = docs.join(needed, "id", "left_semi")
-    full = texts.mapInArrow(sets, f"id {id_type}, grams array<bigint>")
+    full = texts(needed).select("id", "text").mapInArrow(sets, f"id {id_type}, grams array<bigint>")
     left = full.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
     right = full.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
@@ -176,61 +188,34 @@ def _compared(least: float, nearest: bool):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 4,
-    percent: int = 80,
-) -> DataFrame:
-    """Groups of documents that are linked by a Jaccard similarity of `percent` or more.
-
-    Words are runs of anything but ASCII white space, with A-Z in lower case; the
-    set of a document is its distinct `shingle`-word shingles, or its whole word
-    sequence if it has fewer words. Returns per row: its key, the id, `n_shingles`,
-    `component_id` (the smallest id that links reach, its own included) and
-    `kept` (is it that smallest one).
-
-    Equal sets are one class and take part once. Classes meet in the buckets of
-    MinHash bands. In every bucket all members are compared with its smallest one
-    only. Where a bucket still holds several components, its members are compared by
-    sketch in blocks: first each one with its nearest partner in another component,
-    then, between the components that are left, all pairs. So a group of thousands
-    of near copies gives pairs in the order of its size, not of its square. Pairs
-    whose odd sketches say that they cannot reach the threshold are left out; all
-    others are confirmed on their full sets.
-
-    Texts that are null or without words have an empty set, link with nothing and
-    are kept. Rows without an id are not linked, have no component, and are kept.
-    Repeated rows get the same result each; rows that share an id but not a text
-    are judged by their own texts. An empty table gives an empty result. Other
-    columns are not looked at.
-    """
-    spark, id_type = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
-    # Full threshold for pairs; what the sketches may say is lower by the margin.
-    least = percent / 100 - MARGIN
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    signed = saved(
+def _signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Per row of `docs`: its key and id, and what is told of its set."""
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return saved(
         docs.select(row_key(id_col, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
         .mapInArrow(
-            _signatures(shingle),
+            _signatures(size),
             f"key struct<id:{id_type},content:bigint>, n_shingles bigint, print binary, "
             "bands array<bigint>, sketch array<bigint>",
         )
         .select("key", "key.id", "n_shingles", "print", "bands", "sketch"),
         "near-dup-signed",
     )
-    classes = (
-        signed.filter("print IS NOT NULL AND id IS NOT NULL")
-        .groupBy("print")
-        .agg(
-            F.min("id").alias("node"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        )
-    )
-    classes = saved(classes, "near-dup-classes")
+
+
+def _linked(
+    classes: DataFrame,
+    texts: Callable[[DataFrame], DataFrame],
+    id_type: str,
+    size: int,
+    percent: int,
+) -> DataFrame:
+    """Components (`node`, `component`) of those `classes` that are similar to others.
+
+    `texts` gives the texts (`id`, `text`) of the nodes that a table of `id` names.
+    """
+    # Full threshold for pairs; what the sketches may say is lower by the margin.
+    least = percent / 100 - MARGIN
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = (
         banded.groupBy("key")
@@ -261,7 +246,7 @@ def near_duplicates(
         )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return saved(_confirmed(pairs, rows, id_type, shingle, percent), "near-dup-links")
+        return saved(_confirmed(pairs, texts, id_type, size, percent), "near-dup-links")
 
     stars = members.filter("node != pivot").select(
         F.col("pivot").alias("a"), F.col("node").alias("b")
@@ -321,7 +306,58 @@ def near_duplicates(
         groups = components(links, "near-dup-groups")
         if nearest:
             apart = still_apart()
+    return groups
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 4,
+    percent: int = 80,
+) -> DataFrame:
+    """Groups of documents that are linked by a Jaccard similarity of `percent` or more.
 
+    Words are runs of anything but ASCII white space, with A-Z in lower case; the
+    set of a document is its distinct `shingle`-word shingles, or its whole word
+    sequence if it has fewer words. Returns per row: its key, the id, `n_shingles`,
+    `component_id` (the smallest id that links reach, its own included) and
+    `kept` (is it that smallest one).
+
+    Equal sets are one class and take part once. Classes meet in the buckets of
+    MinHash bands. In every bucket all members are compared with its smallest one
+    only. Where a bucket still holds several components, its members are compared by
+    sketch in blocks: first each one with its nearest partner in another component,
+    then, between the components that are left, all pairs. So a group of thousands
+    of near copies gives pairs in the order of its size, not of its square. Pairs
+    whose odd sketches say that they cannot reach the threshold are left out; all
+    others are confirmed on their full sets.
+
+    Texts that are null or without words have an empty set, link with nothing and
+    are kept. Rows without an id are not linked, have no component, and are kept.
+    Repeated rows get the same result each; rows that share an id but not a text
+    are judged by their own texts. An empty table gives an empty result. Other
+    columns are not looked at.
+    """
+    id_type = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    signed = _signed(docs, id_col, text_col, shingle)
+    classes = saved(
+        signed.filter("print IS NOT NULL AND id IS NOT NULL")
+        .groupBy("print")
+        .agg(
+            F.min("id").alias("node"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
+        ),
+        "near-dup-classes",
+    )
+
+    def texts(needed: DataFrame) -> DataFrame:
+        return rows.join(needed, "id", "left_semi")
+
+    groups = _linked(classes, texts, id_type, shingle, percent)
     roots = classes.select("print", "node").join(groups, "node", "left").select(
         "print", F.coalesce("component", "node").alias("root")
     )
@@ -339,7 +375,51 @@ def near_duplicates(
     )
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that `near_duplicates` does not keep."""
-    dropped = near_duplicates(docs, id_col, text_col).filter("NOT kept")
-    return without_rows(docs, dropped, id_col, text_col)
+def keep_one_per_group(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4
+) -> DataFrame:
+    """One row of `docs` per group of near duplicates: the one of the smallest id.
+
+    Rows are told apart by id and text, so rows that share an id are linked by their
+    own texts only. Rows without an id take part like others and come after all that
+    have one. Rows that repeat (same id and text) are one row, with or without words.
+    """
+    signed = _signed(docs, id_col, text_col, shingle)
+    last = F.struct(F.col("id").isNull(), "id", "key")
+    classes = (
+        signed.filter("print IS NOT NULL")
+        .groupBy("print")
+        .agg(
+            F.min_by("key", last).alias("key"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
+        )
+    )
+    # Numbers in the order of the ids stand for the classes, as an id may have several.
+    classes = saved(
+        classes.orderBy(F.col("key.id").isNull(), "key.id", "key.content", "print").withColumn(
+            "node", F.monotonically_increasing_id()
+        ),
+        "near-dup-classes",
+    )
+    own = row_key(id_col, F.col(text_col))
+    rows = docs.select(own.alias("key"), F.col(text_col).alias("text"))
+
+    def texts(needed: DataFrame) -> DataFrame:
+        keys = needed.join(classes.select(F.col("node").alias("id"), "key"), "id")
+        keys = keys.select("id", F.col("key").alias("of"))
+        # A row may repeat very often, and its text is needed once.
+        found = rows.join(keys, F.col("key") == F.col("of"))
+        return found.groupBy("id").agg(F.first("text").alias("text"))
+
+    groups = _linked(classes, texts, "bigint", shingle, 80)
+    roots = (
+        classes.select("key", "node").join(groups, "node", "left")
+        .filter(F.coalesce("component", "node") == F.col("node"))
+        .select(F.col("key").alias("root"))
+    )
+    dropped = signed.filter("print IS NOT NULL").join(
+        roots, F.col("key") == F.col("root"), "left_anti"
+    )
+    return one_per_key(without_rows(docs, dropped, id_col, text_col), id_col, text_col)

@@ -187,6 +187,22 @@ def test_keep_one_per_group(docs, corpus):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == expected
 
 
+def test_keep_one_of_repeated_rows_and_of_copies_without_an_id(spark):
+    rng = random.Random(5)
+    words = [words_of(rng, 60, 10**6) for _ in range(4)]
+    text = [" ".join(w) for w in words]
+    near = " ".join(words[1][:30] + ["x"] + words[1][31:])
+    rows = [(1, text[0])] * 3 + [(None, text[1])] * 2 + [(None, near)]  # repeats, and copies without an id
+    rows += [(2, text[2]), (None, text[2]), (3, text[3]), (3, text[0] + " more"), (3, ""), (3, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = [tuple(r) for r in near_dup.keep_one_per_group(frame).collect()]
+    assert len(kept) == 6
+    assert sorted((r for r in kept if r[0] is not None), key=str) == sorted(
+        [(1, text[0]), (2, text[2]), (3, text[3]), (3, "")], key=str
+    )
+    assert (None, None) in kept and len({(None, text[1]), (None, near)} & set(kept)) == 1
+
+
 # Decontamination.
 
 

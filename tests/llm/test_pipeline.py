@@ -94,6 +94,16 @@ def test_every_stage_against_brute_force(spark, tables):
     assert all(abs(taken.get(s, 0) - g) <= max(200, 0.02 * g) for s, g in goal.items())
 
 
+def test_one_copy_of_a_repeated_row_keeps_its_text(spark, tables):
+    folder, _ = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert docs.filter("doc_id = 1").count() == 2
+    text = docs.filter("doc_id = 1").first().text
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, folder)
+    assert [r.text for r in docs.filter("doc_id = 1").collect()] == [text]
+
+
 def test_run_writes_every_stage_and_agrees_with_the_stages(spark, tables):
     folder, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
