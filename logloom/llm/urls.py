@@ -16,8 +16,10 @@ from .decontam import LOWER, UPPER
 
 # Longest context in characters, and the URLs of a class that a context needs.
 ORDER, SUPPORT = 5, 2
-# Entries of the models at most; the support rises until they fit.
-MAX_ENTRIES = 400_000
+# Entries of the models that are sent to the tasks at most; more are joined.
+SENT = 400_000
+# Parts that a gram, which may occur in every URL, is spread over in that join.
+SALTS = 16
 # Grams that a task counts before it passes the counts on.
 COUNTED = 200_000
 # Every fifth URL by hash calibrates the threshold; the others are counted.
@@ -129,9 +131,9 @@ def _scored(entries: list[tuple[str, bool, int]]):
             for name in batch.column(0).to_pylist():
                 text = START + name + END
                 grams = [text[max(0, i - ORDER) : i + 1] for i in range(1, len(text))]
-                scores.append(
-                    sum(allow.log_share(g) - block.log_share(g) for g in grams) / len(grams)
-                )
+                # An exact sum does not depend on the order, which `_joined` does not keep.
+                total = math.fsum(allow.log_share(g) - block.log_share(g) for g in grams)
+                scores.append(total / len(grams))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(1), pa.array(scores, pa.float64())], ["row", "score"]
             )
@@ -139,6 +141,93 @@ def _scored(entries: list[tuple[str, bool, int]]):
     return run
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The grams of every name that `_scored` sums over, and how often each occurs."""
+    for batch in batches:
+        names, grams, times = [], [], []
+        for name in batch.column(0).to_pylist():
+            text = START + name + END
+            seen = Counter(text[max(0, i - ORDER) : i + 1] for i in range(1, len(text)))
+            names += [name] * len(seen)
+            grams += seen
+            times += seen.values()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()), pa.array(grams, pa.string()), pa.array(times, pa.int64())],
+            ["name", "gram", "times"],
+        )
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = []
+        for parts in batch.column(1).to_pylist():
+            terms = [math.log(p["a"]) - math.log(p["b"]) for p in parts for _ in range(p["times"])]
+            scores.append(math.fsum(terms) / len(terms))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(scores, pa.float64())], ["name", "score"]
+        )
+
+
+def _joined(names: DataFrame, model: DataFrame) -> DataFrame:
+    """`name`, `score` of the distinct `names`, as `_scored` gives them, by joins with `model`.
+
+    The shares of a gram come from those of the gram without its first character,
+    so they are made by length: a join key has no more rows than there are characters.
+    """
+    allowed = F.col("allowed")
+    n = F.coalesce(F.sum(F.when(allowed, F.col("n"))), F.lit(0))
+    m = F.coalesce(F.sum(F.when(~allowed, F.col("n"))), F.lit(0))
+    grams = saved(model.groupBy("gram").agg(n.alias("na"), m.alias("nb")), "url-model")
+    context = F.expr("substring(gram, 1, char_length(gram) - 1)")
+    contexts = saved(
+        model.groupBy(context.alias("context")).agg(
+            n.alias("ta"), m.alias("tb"),
+            F.count_if(allowed).alias("ka"), F.count_if(~allowed).alias("kb"),
+        ),
+        "url-contexts",
+    )
+    found = saved(
+        names.mapInArrow(_windows, "name string, gram string, times bigint"), "url-windows"
+    )
+    parts = found.select("gram").distinct()
+    parts = saved(
+        parts.select(
+            F.explode(F.expr("transform(sequence(1, char_length(gram)), k -> right(gram, k))")).alias("gram")
+        ).distinct(),
+        "url-parts",
+    )
+    first = F.lit(1 / 256)
+    shares = None
+    for size in range(1, ORDER + 2):
+        of_size = parts.filter(F.char_length("gram") == size).withColumn("context", context)
+        known = of_size.join(grams, "gram", "left").join(contexts, "context", "left")
+        if shares is None:
+            known = known.withColumn("a", first).withColumn("b", first)
+        else:
+            shorter = shares.filter(F.char_length("gram") == size - 1).select(
+                F.col("gram").alias("end"), "a", "b"
+            )
+            known = known.join(shorter, F.expr("substring(gram, 2)") == F.col("end"))
+
+        def share(side: str) -> Column:
+            count, total, kinds = (F.coalesce(f"{c}{side}", F.lit(0)).cast("double") for c in "ntk")
+            before = F.col(side)
+            return F.when(total > 0, (count + kinds * before) / (total + kinds)).otherwise(before)
+
+        made = saved(known.select("gram", share("a").alias("a"), share("b").alias("b")), "url-shares")
+        shares = made if shares is None else shares.unionByName(made)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    terms = found.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")).join(
+        shares.withColumn("salt", salts), ["gram", "salt"]
+    )
+    return saved(
+        terms.groupBy("name")
+        .agg(F.collect_list(F.struct("a", "b", "times")).alias("parts"))
+        .mapInArrow(_summed, "name string, score double"),
+        "url-scores",
+    )
+
+
 def judge_urls(
     pages: DataFrame,
     rules: Sequence[Rule],
@@ -158,7 +247,8 @@ def judge_urls(
     like any other. Where rules accept none or reject none, all other URLs are
     allowed, with a null score. Repeated rows get the same verdict each; other
     columns are not looked at. Counts combine before the shuffle. The models hold
-    at most MAX_ENTRIES grams, those that occur most often.
+    all grams of SUPPORT or more; up to SENT are sent to the tasks, and more are
+    joined with the grams of the distinct URLs, with the same result.
     """
     host, path = url_parts(F.col("url"))
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select(
@@ -178,21 +268,28 @@ def judge_urls(
         .agg(F.sum("n").alias("n")),
         "url-grams",
     )
-    support = SUPPORT
-    short = F.char_length("gram") == 1
-    while counts.filter(short | (F.col("n") >= support)).count() > MAX_ENTRIES:
-        support *= 2
-    entries = [
-        (row["gram"], row["allowed"], row["n"])
-        for row in counts.filter(short | (F.col("n") >= support)).collect()
-    ]
-    both = len({allowed for _, allowed, _ in entries}) == 2
+    model = counts.filter((F.char_length("gram") == 1) | (F.col("n") >= SUPPORT))
+    n_entries, n_sides = model.agg(F.count(F.lit(1)), F.count_distinct("allowed")).first()
+    both = n_sides == 2
+    entries: list[tuple[str, bool, int]] = []
+    scores = None
+    if both and n_entries > SENT:
+        scores = _joined(ruled.select("name").distinct(), model)
+    elif both:
+        entries = [(row["gram"], row["allowed"], row["n"]) for row in model.collect()]
+
+    def with_scores(rows: DataFrame, row_type: str) -> DataFrame:
+        """`row`, `score` of a table of `name` and `row`."""
+        if scores is None:
+            return rows.mapInArrow(_scored(entries), f"row {row_type}, score double")
+        return rows.join(scores, "name").select("row", "score")
+
     threshold = None
     if both:
         # How often each score occurs on either side, in hundredths.
         rows = taught.filter(fold == 0).select("name", F.struct("allowed").alias("row"))
         seen = (
-            rows.mapInArrow(_scored(entries), "row struct<allowed:boolean>, score double")
+            with_scores(rows, "struct<allowed:boolean>")
             .groupBy("row.allowed", F.round(F.greatest(F.least("score", F.lit(20.0)), F.lit(-20.0)), 2).alias("at"))
             .agg(F.count(F.lit(1)).alias("n"))
             .collect()
@@ -202,9 +299,8 @@ def judge_urls(
     keyed = ruled.select("name", row.alias("row"))
     id_type = pages.schema[id_col].dataType.simpleString()
     if both:
-        judged = keyed.mapInArrow(
-            _scored(entries),
-            f"row struct<id:{id_type},host:string,path:string,rule:string,ruled:string>, score double",
+        judged = with_scores(
+            keyed, f"struct<id:{id_type},host:string,path:string,rule:string,ruled:string>"
         )
         by_score = F.when(F.col("score") >= threshold, "allow").otherwise("block")
     else:

@@ -629,6 +629,22 @@ def test_urls(spark):
     assert {r["verdict"] for r in urls.judge_urls(frame, ()).collect()} == {"allow"}
 
 
+def test_url_models_of_any_size_keep_all_grams(spark, monkeypatch):
+    rng = random.Random(2)
+    good = [f"http://{rng.choice('abcdef')}{rng.randrange(9)}.com/ä{rng.choice(['news', 'shop'])}/{k}" for k in range(60)]
+    bad = [f"http://x{rng.choice('uvwxyz')}.net/es/{rng.choice(['win', 'bet'])}-{k}" for k in range(60)]
+    rest = ["http://b.org/news/1", "http://xu.org/es/win-2", "http://b.org/news/1", "", None]
+    frame = spark.createDataFrame(list(enumerate([*good, *bad, *rest])), "page_id bigint, url string")
+
+    def judged():
+        return sorted(map(tuple, urls.judge_urls(frame, queries.URL_RULES).collect()))
+
+    sent = judged()
+    # Fewer than the one-character grams alone, where the support never got them to fit.
+    monkeypatch.setattr(urls, "SENT", 3)
+    assert judged() == sent
+
+
 # Toxicity.
 
 
