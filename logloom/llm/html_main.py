@@ -290,9 +290,10 @@ def extract_main_text(
     """
     tree = style_tree(pages, url_col, html_col)
     tree = saved(tree, "style-tree")
-    # Pages of a host differ if their bodies do.
+    # Pages of a host differ if one of the branches that most of them have does; a
+    # header that is on all of them is as frequent as the body, and says nothing.
     bodies = tree.groupBy(F.col("host").alias("h")).agg(
-        F.max_by("importance", "pages").alias("differ")
+        F.max(F.struct("pages", "importance"))["importance"].alias("differ")
     )
     low = (
         tree.filter((F.col("importance") < LOW) & (F.col("pages") >= LEAST_PAGES))

@@ -393,6 +393,18 @@ def test_style_tree_by_join(spark, monkeypatch):
     assert found == {k: f"Story {k}" for k in range(20)}
 
 
+def test_a_header_on_every_page_does_not_hide_that_pages_differ(spark, monkeypatch):
+    html = "<html><body><div>Welcome</div><section><p>Story {}</p></section><div>Rights</div></body></html>"
+    rows = [(k, "http://a.example", html.format(k)) for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    tree = html_main.style_tree(pages)
+    for order in (["importance"], ["path"], [html_main.F.desc("importance")]):
+        ordered = tree.coalesce(1).sortWithinPartitions(*order)
+        monkeypatch.setattr(html_main, "style_tree", lambda *_, t=ordered: t)
+        found = {r["page_id"]: r["text"] for r in html_main.extract_main_text(pages).collect()}
+        assert found == {k: f"Story {k}" for k in range(20)}
+
+
 # Vectors.
 
 
