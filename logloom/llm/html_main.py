@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -66,7 +66,17 @@ class Node:
     children: list = field(default_factory=list)  # of Node and str
 
 
-def _node(parent: Node, tag: str, attrs: str) -> Node:
+class _NotIn:
+    """The names that are not in a set."""
+
+    def __init__(self, names: frozenset):
+        self.names = names
+
+    def __contains__(self, name: str) -> bool:
+        return name not in self.names
+
+
+def _node(parent: Node, tag: str, attrs: str, rare: Container[str]) -> Node:
     names, noise, main = [], tag in _NOISE_TAGS, tag in ("article", "main")
     for name, value in _ATTR.findall(attrs) if attrs.strip("/ \n\t\r") else ():
         name, value = name.lower(), value.strip("\"'").lower()
@@ -84,12 +94,17 @@ def _node(parent: Node, tag: str, attrs: str) -> Node:
         noise = True
     if tag == "header" and "/article" not in parent.path and "/main" not in parent.path:
         noise = True
-    mark = f"{tag}.{'.'.join(sorted(names))}" if names else tag
+    # Rare names are one name, so that they merge with each other and not with none.
+    shown = {"*" if n in rare else n for n in names} if rare else names
+    mark = f"{tag}.{'.'.join(sorted(shown))}" if shown else tag
     return Node(tag, f"{parent.path}/{mark}", noise, main and not noise)
 
 
-def parsed(page: str) -> Node:
-    """The tree of a page. Wrong nesting and missing end tags are mended as they come."""
+def parsed(page: str, rare: Container[str] = ()) -> Node:
+    """The tree of a page. Wrong nesting and missing end tags are mended as they come.
+
+    Classes and ids that are in `rare` are left out of the paths.
+    """
     root = Node("", "")
     stack = [root]
     at = 0
@@ -120,7 +135,7 @@ def parsed(page: str) -> Node:
                     del stack[depth:]
                 elif open_tag in _BLOCK:
                     break
-        node = _node(stack[-1], tag, token["attrs"])
+        node = _node(stack[-1], tag, token["attrs"], rare)
         stack[-1].children.append(node)
         if tag not in _VOID and not token["attrs"].endswith("/"):
             stack.append(node)
@@ -171,9 +186,11 @@ def _all(root: Node) -> Iterator[tuple[Node, bool, bool]]:
         todo.extend((c, noise, inside) for c in reversed(node.children) if isinstance(c, Node))
 
 
-def main_text(page: str, low: frozenset | set = frozenset()) -> str:
+def main_text(
+    page: str, low: frozenset | set = frozenset(), rare: Container[str] = ()
+) -> str:
     """The main text of a page; `low` holds the paths of branches without importance."""
-    root = parsed(page)
+    root = parsed(page, rare)
     found = [n for n, noise, inside in _all(root) if n.main and not noise and not inside]
     articles = [n for n in found if n.tag == "article"] or found
     if not articles:
@@ -181,10 +198,10 @@ def main_text(page: str, low: frozenset | set = frozenset()) -> str:
     return "\n".join(b for n in articles for b in _blocks(n, low))
 
 
-def style_nodes(page: str) -> Iterator[tuple[str, int, int]]:
+def style_nodes(page: str, rare: Container[str] = ()) -> Iterator[tuple[str, int, int]]:
     """Of every branch of a page: its path, and hashes of its style and of its content."""
     nodes = [
-        (node, noise or node.noise) for node, noise, _ in _all(parsed(page)) if node.path
+        (node, noise or node.noise) for node, noise, _ in _all(parsed(page, rare)) if node.path
     ]
     contents: dict[int, int] = {}
     seen: dict[str, list[int]] = {}
@@ -216,31 +233,99 @@ def host_of(url: str | None) -> str:
     return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
 
 
-def _styles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def names_of(page: str) -> set[str]:
+    """The classes and ids of a page."""
+    return {
+        part
+        for token in _TOKEN.finditer(page)
+        if token["tag"] and not token["close"]
+        for name, value in _ATTR.findall(token["attrs"])
+        if name.lower() in ("class", "id")
+        for part in value.strip("\"'").lower().split()
+    }
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [
-            (host_of(url), *node)
-            for url, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            for node in style_nodes(page or "")
+            (page, host_of(url), name)
+            for page, url, text in zip(*(c.to_pylist() for c in batch.columns))
+            for name in names_of(text or "")
         ]
-        columns = list(zip(*rows)) or [[]] * 4
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+        columns = list(zip(*rows)) or [[]] * 3
+        kinds = (pa.int64(), pa.string(), pa.string())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "path", "style", "content"]
+            [pa.array(c, k) for c, k in zip(columns, kinds)], ["page", "host", "name"]
         )
 
 
+def _marked(pages: DataFrame) -> tuple[DataFrame, dict[str, frozenset] | None]:
+    """`pages` (`url`, `html`) with their `rare` names, or the names of each host that are not.
+
+    A class or an id is rare if fewer than LEAST_PAGES pages of its host have it.
+    """
+    page = F.xxhash64("url", "html")
+    names = pages.select(page.alias("page"), "url", "html").mapInArrow(
+        _names, "page bigint, host string, name string"
+    )
+    counts = names.groupBy("host", "name").agg(F.count(F.lit(1)).alias("n"))
+    common = saved(counts.filter(F.col("n") >= LEAST_PAGES).select("host", "name"), "style-names")
+    if common.count() <= SENT:
+        found: dict[str, set] = {}
+        for row in common.collect():
+            found.setdefault(row["host"], set()).add(row["name"])
+        return pages.withColumn("rare", F.lit(None).cast("array<string>")), {
+            host: frozenset(names) for host, names in found.items()
+        }
+    rare = names.join(common, ["host", "name"], "left_anti")
+    rare = saved(
+        rare.groupBy(F.col("page").alias("_page")).agg(F.collect_set("name").alias("rare")),
+        "style-rare",
+    )
+    return pages.withColumn("_of", page).join(rare, F.col("_of") == F.col("_page"), "left").drop(
+        "_of", "_page"
+    ), None
+
+
+def _rare(host: str, names: list[str] | None, common: dict[str, frozenset] | None) -> Container[str]:
+    return frozenset(names or ()) if common is None else _NotIn(common.get(host, frozenset()))
+
+
+def _styles(common: dict[str, frozenset] | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [
+                (host_of(url), *node)
+                for url, page, names in zip(*(c.to_pylist() for c in batch.columns))
+                for node in style_nodes(page or "", _rare(host_of(url), names, common))
+            ]
+            columns = list(zip(*rows)) or [[]] * 4
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds)],
+                ["host", "path", "style", "content"],
+            )
+
+    return run
+
+
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The merged trees of all sites: per `host` and `path`, `pages` and `importance`.
 
-    A branch is merged over the pages of a host by its path of elements and
-    classes. Presentation and content each have an entropy over the pages, in
+    A branch is merged over the pages of a host by its path of elements, classes
+    and ids; those that fewer than LEAST_PAGES pages of the host have are merged
+    with each other. Presentation and content each have an entropy over the pages, in
     units of the most that so many pages can have: 1 if all differ, 0 if all are
     the same. The importance of a branch is the larger one. Counts combine before
     the shuffle, so a host may have most of the pages.
     """
-    nodes = pages.select(url_col, html_col).mapInArrow(
-        _styles, "host string, path string, style bigint, content bigint"
+    named = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    return _merged(*_marked(named))
+
+
+def _merged(pages: DataFrame, common: dict[str, frozenset] | None) -> DataFrame:
+    nodes = pages.select("url", "html", "rare").mapInArrow(
+        _styles(common), "host string, path string, style bigint, content bigint"
     )
     counts = (
         nodes.select(
@@ -288,8 +373,12 @@ def extract_main_text(
     pages give an empty text. Pages without a host are merged like one site. Rows
     are passed through one by one, repeated ones too; other columns are dropped.
     """
-    tree = style_tree(pages, url_col, html_col)
-    tree = saved(tree, "style-tree")
+    named, common = _marked(
+        pages.select(
+            F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
+        )
+    )
+    tree = saved(_merged(named, common), "style-tree")
     # Pages of a host differ if one of the branches that most of them have does; a
     # header that is on all of them is as frequent as the body, and says nothing.
     bodies = tree.groupBy(F.col("host").alias("h")).agg(
@@ -304,9 +393,6 @@ def extract_main_text(
         .agg(F.collect_set("path").alias("paths"))
     )
     low = saved(low, "style-tree-low")
-    named = pages.select(
-        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")
-    )
     id_type = pages.schema[id_col].dataType.simpleString()
     n_paths = low.agg(F.coalesce(F.sum(F.size("paths")), F.lit(0))).first()[0]
     sent: dict[str, frozenset] | None = None
@@ -317,17 +403,18 @@ def extract_main_text(
         host = F.lower(F.regexp_extract("url", r"^.*?://([^/?#]*)", 1))
         source = named.withColumn("_h", F.coalesce(host, F.lit(""))).join(
             low.withColumnsRenamed({"host": "_h", "paths": "low"}), "_h", "left"
-        ).select("id", "url", "html", "low")
+        ).select("id", "url", "html", "rare", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls, lows = batch.column(1).to_pylist(), batch.column(3).to_pylist()
+            urls, html, rare, lows = (c.to_pylist() for c in batch.columns[1:])
             texts = [
                 main_text(
                     page or "",
                     sent.get(host_of(url), frozenset()) if sent is not None else set(paths or ()),
+                    _rare(host_of(url), names, common),
                 )
-                for url, page, paths in zip(urls, batch.column(2).to_pylist(), lows)
+                for url, page, names, paths in zip(urls, html, rare, lows)
             ]
             yield pa.RecordBatch.from_arrays(
                 [

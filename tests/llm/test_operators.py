@@ -400,11 +400,29 @@ def test_a_header_on_every_page_does_not_hide_that_pages_differ(spark, monkeypat
     tree = html_main.style_tree(pages)
     for order in (["importance"], ["path"], [html_main.F.desc("importance")]):
         ordered = tree.coalesce(1).sortWithinPartitions(*order)
-        monkeypatch.setattr(html_main, "style_tree", lambda *_, t=ordered: t)
+        monkeypatch.setattr(html_main, "_merged", lambda *_, t=ordered: t)
         found = {r["page_id"]: r["text"] for r in html_main.extract_main_text(pages).collect()}
         assert found == {k: f"Story {k}" for k in range(20)}
 
 
+@pytest.mark.parametrize("sent", [50_000, 0])
+def test_names_of_one_page_do_not_switch_the_style_tree_off(spark, monkeypatch, sent):
+    monkeypatch.setattr(html_main, "SENT", sent)
+    html = (
+        "<html><body class='single postid-{0}'><div id='post-{0}'><div class='top'>Welcome</div>"
+        "<div class='s'>Story {0}</div></div></body></html>"
+    )
+    rows = [(k, "http://a.example", html.format(k)) for k in range(20)]
+    # A name that one page alone has does not merge with what has none.
+    plain = "<body><div>Welcome</div><section>Story {}</section></body>"
+    rows += [(100 + k, "http://b.example", plain.format(k)) for k in range(20)]
+    rows.append((200, "http://b.example", "<body><div id='only'>Own text</div></body>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    found = {r["page_id"]: r["text"] for r in html_main.extract_main_text(pages).collect()}
+    want = {k: f"Story {k}" for k in range(20)} | {100 + k: f"Story {k}" for k in range(20)}
+    assert found == want | {200: "Own text"}
+
+
 # Vectors.
 
 
