@@ -23,11 +23,12 @@ SENT = 50_000
 _RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|select"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?"
-    rf"|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>(?:.*?</(?P=raw)\s*+>|.*\Z)"
+    rf"|<(?P<raw>{_RAW})(?:/>|(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*+"
+    rf"(?:(?<=[\s\"']/)>|>(?:.*?</(?P=raw)\s*+>|.*\Z)))"
     rf"|<(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _PART = re.compile(r"[^a-z0-9]+")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -53,6 +54,8 @@ _NOISE_WORDS = frozenset(
     "nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related "
     "recommended footer masthead topbar toolbar skip copyright".split()
 )
+# Inside a main part, noise words count in the classes of containers only.
+_CONTAINERS = _BLOCK - frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote hr br center".split())
 
 
 @dataclass(slots=True)
@@ -63,6 +66,7 @@ class Node:
     path: str
     noise: bool = False
     main: bool = False
+    inside: bool = False  # a main part
     children: list = field(default_factory=list)  # of Node and str
 
 
@@ -77,7 +81,8 @@ class _NotIn:
 
 
 def _node(parent: Node, tag: str, attrs: str, rare: Container[str]) -> Node:
-    names, noise, main = [], tag in _NOISE_TAGS, tag in ("article", "main")
+    names, ids, noise, main = [], [], tag in _NOISE_TAGS, tag in ("article", "main")
+    inside = parent.inside or parent.main
     for name, value in _ATTR.findall(attrs) if attrs.strip("/ \n\t\r") else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -87,17 +92,20 @@ def _node(parent: Node, tag: str, attrs: str, rare: Container[str]) -> Node:
             main |= value in ("main", "article")
         elif name == "itemprop":
             main |= value == "articlebody"
-        else:
+        elif name == "class":
             names += value.split()
-    words = {w for n in names for w in _PART.split(n)}
-    if tag not in ("html", "body", "article", "main") and words & _NOISE_WORDS:
-        noise = True
-    if tag == "header" and "/article" not in parent.path and "/main" not in parent.path:
+        elif name == "id":
+            ids += value.split()
+    telling = names if inside else names + ids
+    names = names + ids
+    if tag not in ("html", "body", "article", "main") and (not inside or tag in _CONTAINERS):
+        noise |= any(w in _NOISE_WORDS for n in telling for w in _PART.split(n))
+    if tag == "header" and not inside:
         noise = True
     # Rare names are one name, so that they merge with each other and not with none.
     shown = {"*" if n in rare else n for n in names} if rare else names
     mark = f"{tag}.{'.'.join(sorted(shown))}" if shown else tag
-    return Node(tag, f"{parent.path}/{mark}", noise, main and not noise)
+    return Node(tag, f"{parent.path}/{mark}", noise, main and not noise, inside)
 
 
 def parsed(page: str, rare: Container[str] = ()) -> Node:
@@ -192,10 +200,7 @@ def main_text(
     """The main text of a page; `low` holds the paths of branches without importance."""
     root = parsed(page, rare)
     found = [n for n, noise, inside in _all(root) if n.main and not noise and not inside]
-    articles = [n for n in found if n.tag == "article"] or found
-    if not articles:
-        articles = [root]
-    return "\n".join(b for n in articles for b in _blocks(n, low))
+    return "\n".join(b for n in found or [root] for b in _blocks(n, low))
 
 
 def style_nodes(page: str, rare: Container[str] = ()) -> Iterator[tuple[str, int, int]]:

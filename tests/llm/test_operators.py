@@ -423,6 +423,23 @@ def test_names_of_one_page_do_not_switch_the_style_tree_off(spark, monkeypatch,
     assert found == want | {200: "Own text"}
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article style='overflow:hidden'>a</article>", "a"),
+        ("<main data-hidden='false' title=\"a hidden gem\"><p>a</main>", "a"),
+        ("<article>a<div hidden>b</div><div aria-hidden=true>c</div><div class=ad>d</div></article>", "a"),
+        ("<article><h2 id='notice-period'>a</h2><p class='notice'>b</p></article>", "a\nb"),
+        ("<main><section id='social-impact'>a</section><div id='related-work'>b</div></main>", "a\nb"),
+        ("<article>card</article><main><p>m</p></main>", "card\nm"),
+        ("<article>a<svg/>b<svg class='i' />c<svg><path/></svg>d</article>", "abcd"),
+        ("<article><title-bar>a</title-bar>b</article><title>t</title>", "ab"),
+    ],
+)
+def test_main_text_is_not_taken_for_noise(page, text):
+    assert html_main.main_text(page) == text
+
+
 # Vectors.
 
 
