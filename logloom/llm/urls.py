@@ -49,6 +49,18 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
+def _folded(url: Column) -> Column:
+    """What the models see of a URL: all of it, with host in lower case and numbers as 0."""
+    url = F.coalesce(url, F.lit(""))
+    at = F.instr(url, "://")
+    start = F.when(at > 0, F.substring(url, F.lit(1), at + 2)).otherwise("")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.lit(2**31 - 1))).otherwise(url)
+    host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
+    after = F.substring(rest, F.char_length(host) + 1, F.lit(2**31 - 1))
+    lower = F.when(at > 0, F.translate(host, UPPER, LOWER)).otherwise(host)
+    return F.regexp_replace(F.concat(start, lower, after), "[0-9]+", "0")
+
+
 def _fitting(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Column, Column]:
     """Text and verdict of the longest rule that fits, or null."""
     text = verdict = F.lit(None).cast("string")
@@ -238,13 +250,13 @@ def judge_urls(
 
     The longest rule that fits decides. The URLs that rules allow or block are the
     accepted and rejected ones that two character models are counted from, over
-    the whole table; digits are one character to them. A URL without a rule is
+    the whole table; they see the whole URL, and numbers are one character to them. A URL without a rule is
     allowed if its log-likelihood under the first model less that under the second,
     for its length, reaches a threshold: the one that best separates the ruled
     URLs that were left out of the counts. `score` is that difference, for all URLs.
 
     Null URLs and those without `://` have an empty host and path, and are judged
-    like any other. Where rules accept none or reject none, all other URLs are
+    like any other, the former as an empty text. Where rules accept none or reject none, all other URLs are
     allowed, with a null score. Repeated rows get the same verdict each; other
     columns are not looked at. Counts combine before the shuffle. The models hold
     all grams of SUPPORT or more; up to SENT are sent to the tasks, and more are
@@ -252,12 +264,11 @@ def judge_urls(
     """
     host, path = url_parts(F.col("url"))
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).select(
-        "id", host.alias("host"), path.alias("path")
+        "id", host.alias("host"), path.alias("path"), _folded(F.col("url")).alias("name")
     )
     rule, verdict = _fitting(rules, F.col("host"), F.col("path"))
     ruled = named.select(
-        "id", "host", "path", rule.alias("rule"), verdict.alias("ruled"),
-        F.regexp_replace(F.concat("host", "path"), "[0-9]+", "0").alias("name"),
+        "id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "name"
     )
     fold = F.pmod(F.xxhash64("name"), F.lit(FOLDS))
     taught = ruled.filter("rule IS NOT NULL").select("name", (F.col("ruled") == "allow").alias("allowed"))

@@ -692,6 +692,19 @@ def test_url_models_of_any_size_keep_all_grams(spark, monkeypatch):
     assert judged() == sent
 
 
+def test_url_models_see_the_whole_url(spark):
+    names = ["".join(p) for p in itertools.product("abcd", repeat=3)]
+    good = [f"http://{n}.com/page?ref=news" for n in names]
+    bad = [f"http://{n}.net/es/page?win=casino" for n in names]
+    rest = ["u://Site1.org/page?ref=news", "u://site1.org/page?win=casino", "news?ref=news", "win?win=casino"]
+    frame = spark.createDataFrame(list(enumerate([*good, *bad, *rest])), "page_id bigint, url string")
+    found = {r["page_id"]: r["score"] for r in urls.judge_urls(frame, queries.URL_RULES).collect()}
+    assert found[128] > found[129] and found[130] > found[131]
+    folded = spark.createDataFrame([("HTTP://A.B/C?9D#12",), ("X/y",), (None,)], "u string")
+    got = [r[0] for r in folded.select(urls._folded(urls.F.col("u"))).collect()]
+    assert got == ["HTTP://a.b/C?0D#0", "X/y", ""]
+
+
 # Toxicity.
 
 
