@@ -25,8 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near duplicates."""
-    return near_dup.keep_one_per_group(docs)
+    """The document of the smallest id of every group of near duplicates, by five words."""
+    return near_dup.keep_one_per_group(docs, shingle=5)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,6 +104,15 @@ def test_one_copy_of_a_repeated_row_keeps_its_text(spark, tables):
     assert [r.text for r in docs.filter("doc_id = 1").collect()] == [text]
 
 
+def test_near_duplicates_of_the_pipeline_go_by_five_words(spark):
+    """Similar to 0.826 on four words, but to 0.783 on five."""
+    words = [f"w{k}" for k in range(45)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:22] + ["x"] + words[23:]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert corpus_pipeline.near_dup_stage(spark, docs, "").count() == 2
+    assert corpus_pipeline.near_dup.keep_one_per_group(docs).count() == 1
+
+
 def test_run_writes_every_stage_and_agrees_with_the_stages(spark, tables):
     folder, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
