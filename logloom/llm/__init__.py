@@ -12,16 +12,20 @@ from . import (
     metric_join,
     mixture,
     near_dup,
+    prefix_trie,
     quality,
+    secrets,
     substrings,
     tokens,
     toxicity,
     urls,
+    whitening,
 )
 
 # Functions that run on the executors are sent there whole, with what they use.
 for _module in (
-    common, html_main, metric_join, near_dup, quality, substrings, tokens, toxicity, urls,
+    common, html_main, metric_join, near_dup, prefix_trie, quality, secrets, substrings, tokens,
+    toxicity, urls, whitening,
 ):
     _pickle.register_pickle_by_value(_module)
 
@@ -32,9 +36,12 @@ __all__ = [
     "metric_join",
     "mixture",
     "near_dup",
+    "prefix_trie",
     "quality",
+    "secrets",
     "substrings",
     "tokens",
     "toxicity",
     "urls",
+    "whitening",
 ]

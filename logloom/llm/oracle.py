@@ -131,10 +131,50 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+# The CRC-32 of decimals, byte by byte and bit by bit, and prefixes as lists of turns.
+_TRIE = """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, c - c % 100 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(range(1, len(c::VARCHAR) + 1), lambda i: ascii(substr(c::VARCHAR, i, 1))::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+      lambda r, bit: CASE WHEN r % 2 = 1 THEN xor(r // 2, 3988292384) ELSE r // 2 END)), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns)
+), mixed AS (
+  SELECT v.c, t.pos, 0 AS own, t.role, t.text FROM convs v JOIN turns t ON t.c = v.base AND t.pos <= v.h
+  UNION ALL
+  SELECT v.c, t.pos, 1, t.role, t.text FROM convs v JOIN turns t ON t.c = v.c AND t.pos > v.h
+), numbered AS (
+  SELECT c, row_number() OVER w AS depth, text, list({'r': role, 't': text}) OVER w AS prefix
+  FROM mixed WINDOW w AS (PARTITION BY c ORDER BY own, pos ROWS UNBOUNDED PRECEDING)
+), named AS (
+  SELECT *, min(c) OVER (PARTITION BY prefix) AS name, depth = max(depth) OVER (PARTITION BY c) AS ends FROM numbered
+  UNION ALL
+  SELECT c, 0, '', NULL, (SELECT min(c) FROM convs), c NOT IN (SELECT c FROM mixed) FROM convs
+), nodes AS (
+  SELECT name, depth, count(*) AS n_convs, CASE WHEN depth > 0 THEN (count(*) - 1) * any_value(length(text)) ELSE 0 END AS tokens,
+    sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM named GROUP BY name, depth
+), linked AS (
+  SELECT n.*, p.name AS parent FROM nodes n LEFT JOIN named p ON p.c = n.name AND p.depth = n.depth - 1
+), children AS (SELECT parent AS name, depth - 1 AS depth, count(*) AS n FROM linked WHERE depth > 0 GROUP BY ALL
+), totals AS (
+  SELECT p.name, p.depth, sum(n.tokens) AS tokens, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM nodes n LEFT JOIN children k USING (name, depth) JOIN named p ON p.c = n.name AND p.depth <= n.depth GROUP BY p.name, p.depth
+)
+SELECT l.name AS conv_id, l.depth, l.parent AS parent_conv_id, l.n_convs, coalesce(k.n, 0) AS n_children,
+  t.leaves AS n_leaves, t.tokens::BIGINT AS saved_tokens, l.ends_sha256
+FROM linked l JOIN totals t USING (name, depth) LEFT JOIN children k USING (name, depth)
+"""
+
 ORACLES = {
     "op1_minhash_odd_sketch": _NEAR,
     "op2_prefix_decontamination": _CONTAMINATION,
     "op5_metric_range_join": _VECTORS,
     "op7_seed_and_extend": _REPEATS,
     "op8_curriculum_mix": _MIX,
+    "op12_prefix_trie": _TRIE,
 }

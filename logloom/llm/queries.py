@@ -14,11 +14,14 @@ from . import (
     metric_join,
     mixture,
     near_dup,
+    prefix_trie,
     quality,
+    secrets,
     substrings,
     tokens,
     toxicity,
     urls,
+    whitening,
 )
 from .common import saved
 from .oracle import ORACLES
@@ -93,6 +96,18 @@ def op10_toxicity_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(documents, lexicon)
 
 
+def op11_character_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op13_contour_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         name: query
