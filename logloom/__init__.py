@@ -9,6 +9,7 @@ from .streaming import (
     read_reassembled,
     read_shed,
     reassemble_stream,
+    reassemble_timed,
     shed_stream,
     shed_stream_report,
 )
@@ -22,6 +23,7 @@ __all__ = [
     "read_reassembled",
     "read_shed",
     "reassemble_stream",
+    "reassemble_timed",
     "shed_stream",
     "shed_stream_report",
     "stream_lines",

@@ -21,6 +21,7 @@ from ..streaming import (
     read_reassembled,
     read_shed,
     reassemble_stream,
+    reassemble_timed,
     shed_stream,
     shed_stream_report,
 )
@@ -132,6 +133,59 @@ def q_reassemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_reassembled(spark, f"{base}/lines", [chunks.schema["doc_id"]])
 
 
+def q_reassemble_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams that go idle: the rest of some comes after the timeout, that of others too late.
+
+    The documents of every 97 numbers are the chunks of a stream. They arrive in deliveries an
+    hour apart, and a mark of its own stream moves the time on; the query stops and is
+    started again after each. One stream in five has what follows its first third a
+    delivery later than the others, and one in five has it then with the times of the first.
+    """
+    base = scratch_dir(spark, "timed")
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    third = documents.agg(F.max("doc_id")).first()[0] // 3
+    stream, rest = F.pmod("doc_id", F.lit(97)), F.col("doc_id") > third
+    slow = rest & (stream % 5 <= 1)
+    turn = F.when(slow, 2).when(rest, 1).otherwise(0)
+    hour = F.when(slow & (stream % 5 == 1), 0).otherwise(turn)
+    chunks = documents.select(
+        stream.alias("stream_id"),
+        F.col("doc_id").alias("seq"),
+        F.coalesce("text", F.lit("")).alias("data"),
+        turn.alias("turn"),
+        F.timestamp_seconds(hour.cast("bigint") * 3600).alias("ts"),
+    )
+    number = F.col("id")
+    marks = spark.range(4).select(
+        F.lit(-1).cast("bigint").alias("stream_id"),
+        number.alias("seq"),
+        F.lit(None).cast("string").alias("data"),
+        number.cast("int").alias("turn"),
+        F.timestamp_seconds(number * 3600 + 300).alias("ts"),
+    )
+    arriving = chunks.unionByName(marks)
+    for delivery in range(4):
+        arriving.filter(F.col("turn") == delivery).drop("turn").write.mode("append").parquet(
+            f"{base}/chunks"
+        )
+        source = spark.readStream.schema(arriving.drop("turn").schema).parquet(f"{base}/chunks")
+        pieces = reassemble_timed(source, "ts", "10 minutes", max_len=1000)
+        (
+            pieces.writeStream.format("parquet")
+            .option("checkpointLocation", f"{base}/checkpoint")
+            .trigger(availableNow=True)
+            .start(f"{base}/lines")
+            .awaitTermination()
+        )
+    late = F.col("ended_by") == "late"
+    return spark.read.schema(pieces.schema).parquet(f"{base}/lines").select(
+        "stream_id",
+        F.hour("started").alias("hour"),
+        "line_no", "piece_no", "line", "ended_by",
+        F.when(late, F.col("seq")).alias("late_seq"),
+    )
+
+
 # Metadata fields.
 
 

@@ -180,6 +180,30 @@ kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY
     AS rank FROM judged WHERE NOT late) WHERE rank <= 8)"""
 CAPTURED = f"WITH {lines()}, {pieces(1024)} SELECT {FRONT} || {escape('line')} || '\"}}' AS json"
 
+# One stream in five goes on in a run of its own, one comes too late after its first third.
+TIMED = """WITH chunks AS (
+    SELECT doc_id % 97 AS stream_id, doc_id, coalesce(text, '') AS text,
+        doc_id > (SELECT max(doc_id) // 3 FROM documents) AS rest FROM documents),
+runs AS (SELECT stream_id, CASE WHEN rest AND stream_id % 5 = 0 THEN 2 ELSE 0 END AS hour,
+        string_agg(text, '' ORDER BY doc_id) AS t
+    FROM chunks WHERE NOT rest OR stream_id % 5 <> 1 GROUP BY 1, 2),
+-- What follows the first third is a run of its own start, but for streams that had none.
+begun AS (SELECT r.* REPLACE (CASE WHEN hour = 0 AND stream_id % 5 > 1 AND stream_id NOT IN
+        (SELECT stream_id FROM chunks WHERE NOT rest) THEN 1 ELSE hour END AS hour) FROM runs r),
+parts AS (SELECT stream_id, hour, right(t, 1) <> chr(10) AS open, string_split(
+        CASE WHEN right(t, 1) = chr(10) THEN left(t, length(t) - 1) ELSE t END, chr(10)) AS p
+    FROM begun WHERE t <> ''),
+lines AS (SELECT stream_id, hour, open, len(p) AS n,
+        unnest(generate_series(0, len(p) - 1)) AS line_no, unnest(p) AS line FROM parts),
+pieces AS (SELECT *, unnest(generate_series(0, greatest((length(line) + 999) // 1000 - 1, 0)))
+        AS piece_no FROM lines)
+SELECT stream_id, hour, line_no, piece_no, substr(line, piece_no * 1000 + 1, 1000) AS line,
+    CASE WHEN length(substr(line, piece_no * 1000 + 1, 1000)) = 1000 THEN 'size'
+        WHEN open AND line_no = n - 1 THEN 'timeout' ELSE 'feed' END AS ended_by,
+    CAST(NULL AS BIGINT) AS late_seq FROM pieces
+UNION ALL SELECT stream_id, 0, NULL, NULL, text, 'late', doc_id
+FROM chunks WHERE rest AND stream_id % 5 = 1"""
+
 # A run of whole items at the start of an escaped text.
 WHOLE_ITEMS = r"'^(?:[^\\]|\\u[0-9a-f]{4}|\\[^u])*'"
 
@@ -222,6 +246,7 @@ def oracle_sql() -> dict[str, str]:
         "cut_bytes": CUT_BYTES,
         "reassemble_stream": f"""WITH {lines()}, {pieces(200)}
             SELECT doc_id, line_no, piece_no, line FROM pieces""",
+        "reassemble_timed": TIMED,
         "parse_fields": f"WITH {parsed(PARSE_KV)} SELECT event_id, key, val, error FROM parsed",
         "type_profile": f"""WITH {parsed(PARSE_KV)},
             kinds AS (SELECT event_type, key,
