@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,10 +17,11 @@ from ..functions.cuts import (
     text_length,
 )
 from ..limits import DEFAULT_CHUNK, UNITS, check_choice, check_free, check_range, check_unit, names
+from ..session import settled
 
 LF = "\n"
 
-# Chunks per block of the two-level running totals in `chunk_origins`.
+# Chunks per range of the running totals in `chunk_origins`, where partitions allow it.
 BLOCK_SPAN = 65536
 
 
@@ -99,74 +100,89 @@ def chunk_origins(chunks: DataFrame, with_offsets: bool, span: int) -> DataFrame
 
     Takes `ids`, `seq`, `text`, and `skip_lines` / `skip_chars`, which count as
     content ahead of the chunk. These are running totals over a stream, and a
-    stream may be most of the table, so they are taken in two levels: inside blocks
-    of `span` chunks, and over the few totals of the blocks. Only counters take
-    part; the texts stay behind. A `seq` that occurs twice in a stream is an error.
+    stream may be most of the table, so the counters are sorted by stream and `seq`
+    into ranges of about as many rows each, whatever the numbers are. Every range is summed up
+    per stream (line feeds, characters, where its last line starts), and the sums of
+    earlier ranges, which add up in order, are what a range starts with. Only
+    counters take part; the texts stay behind. A `seq` that occurs twice in a stream is an
+    error. No range is meant to have more than `span` rows, but there are no more of
+    them than shuffle partitions.
     """
     text, after_lf = F.col("text"), F.substring_index("text", LF, -1)
     chars = F.char_length(text).cast("bigint") if with_offsets else F.lit(0).cast("bigint")
-    counters = chunks.select(
-        "ids",
-        "seq",
-        F.coalesce(int_div(F.col("seq"), span), F.lit(0)).alias("block"),
-        (_line_feeds(text)).alias("line_feeds"),
-        chars.alias("chars"),
-        (F.char_length(after_lf).cast("bigint") if with_offsets else chars).alias("tail_chars"),
-        "skip_lines",
-        "skip_chars",
-    ).repartition("ids", "block")
-
-    in_block = Window.partitionBy("ids", "block").orderBy("seq")
-    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
-    upto = in_block.rowsBetween(Window.unboundedPreceding, 0)
+    seen = Observation()
+    # Written once: the ranges are found by a first look, and made from the same rows.
+    counters = settled(
+        chunks.select(
+            "ids",
+            "seq",
+            _line_feeds(text).alias("line_feeds"),
+            chars.alias("chars"),
+            (F.char_length(after_lf).cast("bigint") if with_offsets else chars).alias("tail_chars"),
+            "skip_lines",
+            "skip_chars",
+        ).observe(seen, F.count(F.lit(1)).alias("n")),
+        "chunk-counters",
+    )
+    most = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, min(most, -(-seen.get["n"] // span)))
+    ranged = settled(
+        counters.repartitionByRange(ranges, "ids", "seq").withColumn("part", F.spark_partition_id()),
+        "chunk-ranges",
+    )
+    # Neither is ever NULL; said here, both readers of the shuffle below have the same plan.
+    ranged = ranged.filter("ids IS NOT NULL AND part IS NOT NULL").repartition("ids", "part")
+
+    in_range = Window.partitionBy("ids", "part").orderBy("seq")
+    before = in_range.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_range.rowsBetween(Window.unboundedPreceding, 0)
 
     def total(amount: Column, skip: str) -> Column:
         return F.coalesce(F.sum(amount).over(before), F.lit(0)) + F.sum(skip).over(upto)
 
     twice = F.raise_error(F.lit("a seq occurs twice in a stream")).cast("bigint")
-    local = counters.withColumns(
+    local = ranged.withColumns(
         {
-            "lines_before": F.when(F.lag("seq").over(in_block) == F.col("seq"), twice).otherwise(
+            "lines_before": F.when(F.lag("seq").over(in_range) == F.col("seq"), twice).otherwise(
                 total(F.col("line_feeds"), "skip_lines")
             ),
             "chars_before": total(F.col("chars"), "skip_chars"),
         }
     ).withColumn(
-        # Where the line that is open after this chunk starts, inside the block.
+        # Where the line that is open after this chunk starts, inside the range.
         "open_start",
         F.when(
             F.col("line_feeds") > 0,
             F.col("chars_before") + F.col("chars") - F.col("tail_chars"),
         ),
     )
-    blocks = local.groupBy("ids", "block").agg(
-        F.min("seq").alias("block_seq"),
-        F.sum(F.col("line_feeds") + F.col("skip_lines")).alias("block_lines"),
-        F.sum(F.col("chars") + F.col("skip_chars")).alias("block_chars"),
-        F.max("open_start").alias("block_open"),
+    parts = local.groupBy("ids", "part").agg(
+        F.sum(F.col("line_feeds") + F.col("skip_lines")).alias("part_lines"),
+        F.sum(F.col("chars") + F.col("skip_chars")).alias("part_chars"),
+        F.max("open_start").alias("part_open"),
     )
-    over_blocks = (
-        Window.partitionBy("ids")
-        .orderBy("block_seq")
-        .rowsBetween(Window.unboundedPreceding, -1)
+    # A stream has at most one row here per range, and all rows but two of a range are
+    # those of streams that it holds whole.
+    over_parts = (
+        Window.partitionBy("ids").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    blocks = (
-        blocks.withColumns(
+    parts = (
+        parts.withColumns(
             {
-                "line_base": F.coalesce(F.sum("block_lines").over(over_blocks), F.lit(0)),
-                "char_base": F.coalesce(F.sum("block_chars").over(over_blocks), F.lit(0)),
+                "line_base": F.coalesce(F.sum("part_lines").over(over_parts), F.lit(0)),
+                "char_base": F.coalesce(F.sum("part_chars").over(over_parts), F.lit(0)),
             }
         )
         .withColumn(
             "open_base",
             F.coalesce(
-                F.max(F.col("char_base") + F.col("block_open")).over(over_blocks), F.lit(0)
+                F.max(F.col("char_base") + F.col("part_open")).over(over_parts), F.lit(0)
             ),
         )
-        .select("ids", "block", "line_base", "char_base", "open_base")
+        .select("ids", "part", "line_base", "char_base", "open_base")
     )
     placed = local.withColumn("open_before", F.max("open_start").over(before)).join(
-        blocks, ["ids", "block"]
+        parts, ["ids", "part"]
     )
     open_start = F.coalesce(F.col("char_base") + F.col("open_before"), F.col("open_base"))
     return placed.select(
@@ -306,8 +322,8 @@ def reassemble_lines(
     ever holds more than `max_len` characters, even when a stream has no LF at all.
     With `max_len=None` every line is whole, there is no `piece_no`, and a line must
     fit in a row. NULL stream ids are one stream. `seq` must be unique within a
-    stream and not NULL, or the job fails; it should be from 0 and mostly dense,
-    since totals are taken in blocks of `span` numbers. Binary chunks are cut by
+    stream and not NULL, or the job fails; it may have gaps of any size, as byte offsets
+    have. Totals are taken in ranges of about `span` chunks. Binary chunks are cut by
     bytes, and their pieces are binary.
     """
     check_range("span", span, 1)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom import cap_lines, chunk_text, reassemble_lines, split_lines
+from logloom.operators.framing import chunk_origins, chunk_rows
 
 
 def lines_of(text):
@@ -254,3 +255,24 @@ def test_texts_are_shuffled_once(spark, documents):
     final = plan.split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final
     assert final.count("FileScan") <= 2
+
+
+def test_byte_offsets_of_one_hot_stream_are_spread_over_tasks(spark):
+    """Numbers as far apart as offsets of chunks of any size; every range has its share of rows."""
+    n = 4000
+    rows = [("cold", 0, "a\nb")]
+    rng, at, text = random.Random(6), 0, ""
+    for k in range(n):
+        part = "x" * rng.randrange(30) + ("\n" if rng.random() < 0.3 else "")
+        rows.append(("hot", at, part))
+        at, text = at + rng.choice([1, 70000, 10**9]), text + part
+    frame = spark.createDataFrame(rows, "stream_id string, seq bigint, data string").repartition(5)
+    chunks, _, _ = chunk_rows(frame, "stream_id", "seq", "data")
+    origins = chunk_origins(chunks, True, 1)
+    scan = [p for p in origins.inputFiles() if "chunk-ranges" in p]
+    shares = spark.read.parquet(*scan).groupBy("part").count().collect()
+    assert len(shares) == 4
+    assert max(row["count"] for row in shares) < 2 * (n + 1) / 4
+    got = by_id(reassemble_lines(frame, max_len=16, span=1))
+    want = [(i, k, p) for i, line in enumerate(lines_of(text)) for k, p in enumerate(cut(line, 16))]
+    assert got == {"hot": want, "cold": [(0, 0, "a"), (1, 0, "b")]}
