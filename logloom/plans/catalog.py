@@ -100,6 +100,14 @@ def q_reassemble_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.reassemble_lines(chunks, "doc_id", max_len=200)
 
 
+def q_reassemble_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of a language are one stream, numbered by the place of their first character."""
+    documents = _table(spark, sf_dir, "documents")
+    chunks = op.chunk_text(documents, ["lang", "doc_id"], "text", 300)
+    place = F.col("doc_id") * 10_000_000 + F.col("seq") * 300
+    return op.reassemble_lines(chunks.withColumn("place", place), "lang", "place", max_len=200)
+
+
 def q_reassemble_without_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams per language and number in five; one language has no id."""
     documents = _table(spark, sf_dir, "documents").select(
@@ -314,6 +322,17 @@ def q_shed_large_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.shed(events, "event_type", ["ts", "event_id"], 1500).select("event_type", "event_id")
 
 
+def q_shed_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal orders in every bucket: how many rows stay, and which orders they have."""
+    events = _table(spark, sf_dir, "events").select(
+        "event_type", F.hour("ts").alias("hour"), "event_id", "props"
+    )
+    kept = op.shed(events, "event_type", "hour", 700)
+    return kept.groupBy("event_type", "hour").agg(
+        F.count(F.lit(1)).alias("kept"), F.countDistinct("event_id").alias("events")
+    )
+
+
 def q_shed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.shed_report(_table(spark, sf_dir, "events").select(_hour()), "hour", 8)
 

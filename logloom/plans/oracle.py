@@ -243,6 +243,10 @@ def oracle_sql() -> dict[str, str]:
         "reassemble_without_ids": f"""WITH {lines()}, {pieces(1000)}
             SELECT CASE WHEN lang <> 'en' THEN lang END AS lang, doc_id, line_no, piece_no, line
             FROM pieces JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""",
+        "reassemble_offsets": f"""WITH whole AS (SELECT lang AS source, 0 AS doc_id,
+                string_agg(text, '' ORDER BY doc_id) AS text FROM documents GROUP BY lang),
+            {lines().replace("FROM documents", "FROM whole")}, {pieces(200)}
+            SELECT source AS lang, line_no, piece_no, line FROM pieces""",
         "cut_bytes": CUT_BYTES,
         "reassemble_stream": f"""WITH {lines()}, {pieces(200)}
             SELECT doc_id, line_no, piece_no, line FROM pieces""",
@@ -302,6 +306,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_type, event_id, row_number() OVER (
                 PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events)
             WHERE rank <= 1500""",
+        "shed_ties": """SELECT event_type, hour, count(*) AS kept, count(DISTINCT event_id) AS events
+            FROM (SELECT event_type, hour(ts) AS hour, event_id, row_number() OVER (
+                PARTITION BY event_type ORDER BY hour(ts)) AS rank FROM events)
+            WHERE rank <= 700 GROUP BY 1, 2""",
         "shed_report": SHED_REPORT,
         "shed_stream": SHED,
         "shed_stream_report": SHED_REPORT,

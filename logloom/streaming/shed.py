@@ -105,7 +105,7 @@ def shed_stream(
     Rows older than the latest event time of all earlier batches less `delay` are
     late and go first, so they take no place from others. Of the others, each
     micro-batch admits the first ones of every bucket in the order of `order`,
-    which must be unique, as many as earlier batches left room for. The rest is
+    exactly as many as earlier batches left room for, also among equal orders. The rest is
     dropped. Every batch is cut by the same distributed job as a table
     (`first_rows`), so a bucket may be most of the batch.
 

@@ -145,3 +145,39 @@ def test_escape_profile_classes(spark):
     }
     worst = got["short", "highly_escaped"]
     assert (worst.bytes_raw, worst.bytes_encoded, worst.growth) == (4, 14, 3.5)
+
+
+@pytest.mark.parametrize("capacity", [1, 3, 7, 10, 11])
+def test_equal_orders_are_cut_exactly(spark, capacity):
+    """Ties at the cut, a bucket of equal rows, and columns that have no hash."""
+    rows = [("ties", 5, f"row {k}") for k in range(10)]
+    rows += [("equal", 1, "same")] * 10
+    rows += [("late ties", k if k < 2 else 9, f"{k}") for k in range(10)]
+    rows += [("few", 1, "a"), (None, 1, "x"), (None, 1, "x")]
+    frame = spark.createDataFrame(rows, "b string, o int, v string").repartition(5)
+    frame = frame.withColumn("m", F.create_map("v", "o"))
+    kept = shed(frame, "b", "o", capacity)
+    counts = {r["b"]: r["kept"] for r in shed_report(frame, "b", capacity).collect()}
+    found = [(r["b"], r["o"], r["v"]) for r in kept.collect()]
+    assert {b: sum(r[0] == b for r in found) for b in counts} == counts
+    assert kept.columns == frame.columns
+    # The first orders are all there, and no row is there more often than it was.
+    assert sum(r[0] == "late ties" and r[1] < 2 for r in found) == min(capacity, 2)
+    assert all(found.count(r) <= rows.count(r) for r in found)
+    again = [(r["b"], r["o"], r["v"]) for r in shed(frame.repartition(3), "b", "o", capacity).collect()]
+    assert sorted(found, key=repr) == sorted(again, key=repr)
+
+
+def test_a_bucket_of_equal_orders_is_spread_over_tasks(spark):
+    frame = spark.range(6000).select(F.lit("hot").alias("b"), F.lit(0).alias("o"), "id")
+    # So small a table would be merged into one task.
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        kept = shed(frame, "b", "o", 4001)
+    finally:
+        spark.conf.set(merge, "true")
+    assert kept.select("id").distinct().count() == kept.count() == 4001
+    quota = spark.read.parquet(*[f for f in kept.inputFiles() if "shed-quota" in f])
+    shares = [r["count"] for r in quota.groupBy("_part").count().collect()]
+    assert len(shares) == 4 and max(shares) < 6000 / 2
