@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -429,11 +429,63 @@ def q_stream_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_write_ndjson(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_dir(spark, "ndjson")
     documents = _table(spark, sf_dir, "documents")
-    records = capture_frame(documents, "doc_id", "text", RUN_FIELDS, 1024)
-    write_ndjson(records, f"{base}/out", [*LINE_KEYS, "piece_no"], max_records_per_file=5000)
+    pieces = op.cap_lines(op.split_lines(documents, "doc_id", "text"), 1024)
+    write_ndjson(
+        pieces, f"{base}/out", [*LINE_KEYS, "piece_no"], max_records_per_file=5000,
+        encode=lambda rows: op.encode_ndjson(rows, "line", RUN_FIELDS),
+    )
     return read_lines(spark, f"{base}/out").withColumnRenamed("value", "json")
 
 
+def q_write_ndjson_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of at most 200,000 bytes, and whether their records are in order when read again."""
+    base, cap, keys = scratch_dir(spark, "ndjson-bytes"), 200_000, [*LINE_KEYS, "piece_no"]
+    pieces = op.cap_lines(op.split_lines(_table(spark, sf_dir, "documents"), "doc_id", "text"), 1024)
+
+    def encoded(rows: DataFrame) -> DataFrame:
+        front = op.render_prefix(_fields([(key, F.col(key)) for key in keys]))
+        return op.encode_ndjson(rows.withColumn("front", front), "line", F.col("front"))
+
+    write_ndjson(pieces, f"{base}/out", keys, max_bytes_per_file=cap, encode=encoded)
+    types = ", ".join(f"{key} bigint" for key in keys)
+    written = read_lines(spark, f"{base}/out", with_places=True).select(
+        "path", F.col("line_no").alias("place"),
+        (F.octet_length("value").cast("bigint") + 1).alias("bytes"),
+        F.struct(F.from_json("value", types).alias("key")).alias("at"),
+    )
+    # In a file every record follows the one before it; so do the files, of which there are few.
+    here = Window.partitionBy("path").orderBy("place")
+    files = (
+        written.withColumn("back", (F.lag("at").over(here) >= F.col("at")).cast("bigint"))
+        .groupBy("path")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("b"), F.sum("back").alias("back"),
+            F.min("at").alias("first"), F.max("at").alias("last"),
+        )
+    )
+    follows = F.lag("last").over(Window.orderBy("path")) < F.col("first")
+    return files.withColumn("wrong", (~follows).cast("bigint")).agg(
+        F.sum("n").alias("records"),
+        F.sum("b").alias("bytes"),
+        F.count_if((F.col("b") > cap) & (F.col("n") > 1)).alias("files_over"),
+        (F.coalesce(F.sum("back"), F.lit(0)) + F.coalesce(F.sum("wrong"), F.lit(0))).alias("unordered"),
+    )
+
+
+def q_read_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per language, its texts in the order of their numbers; which place each text has."""
+    base = scratch_dir(spark, "places")
+    documents = _table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    (
+        documents.repartition("lang").sortWithinPartitions("lang", "doc_id")
+        .select("lang", F.coalesce("text", F.lit("")).alias("text"))
+        .write.partitionBy("lang").option("lineSep", RECORD).text(f"{base}/in")
+    )
+    places = read_lines(spark, f"{base}/in", RECORD, with_places=True)
+    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1)
+    return places.select(lang.alias("lang"), "line_no", F.col("value").alias("text"))
+
+
 def q_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_dir(spark, "capture")
     source = _line_files(spark, sf_dir, base)
@@ -490,12 +542,19 @@ def q_written_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.capture_audit(raw, written, "source").drop("growth")
 
 
+def _fields(pairs: list[tuple[str, Column]]) -> Column:
+    """Columns of a record as its fields."""
+    return F.array(
+        *[
+            F.struct(F.lit(pos).alias("pos"), F.lit(key).alias("key"), val.cast("string").alias("val"))
+            for pos, (key, val) in enumerate(pairs)
+        ]
+    )
+
+
 def _own_fields() -> Column:
     """The source and the piece number of a record, as its fields."""
-    def field(pos: int, key: str, val: Column) -> Column:
-        return F.struct(F.lit(pos).alias("pos"), F.lit(key).alias("key"), val.cast("string").alias("val"))
-
-    return F.array(field(0, "source", F.col("source")), field(1, "piece", F.col("piece_no")))
+    return _fields([("source", F.col("source")), ("piece", F.col("piece_no"))])
 
 
 def q_escape_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,6 +322,12 @@ def oracle_sql() -> dict[str, str]:
         "read_records": "SELECT text AS value FROM documents",
         "stream_lines": f"WITH {lines()} SELECT line AS value FROM lines",
         "write_ndjson": f"{CAPTURED} FROM pieces",
+        "write_ndjson_bytes": f"""WITH {lines()}, {pieces(1024)} SELECT count(*) AS records,
+            CAST(sum(strlen('{{"doc_id":' || doc_id || ',"line_no":' || line_no || ',"piece_no":'
+                || piece_no || ',"msg":"' || {escape("line")} || '"}}') + 1) AS BIGINT) AS bytes,
+            CAST(0 AS BIGINT) AS files_over, CAST(0 AS BIGINT) AS unordered FROM pieces""",
+        "read_places": """SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1
+            AS line_no, coalesce(text, '') AS text FROM documents""",
         "capture": f"{CAPTURED} FROM pieces",
         "capture_frame": f"{CAPTURED}, doc_id, line_no, piece_no FROM pieces",
         "capture_audit": f"""WITH {lines(ESCAPED)}, {pieces(1024)},

@@ -1,6 +1,7 @@
 """Files in and out, and streams against the same work on tables."""
 
 import os
+import random
 import time
 from pathlib import Path
 
@@ -338,3 +339,60 @@ def test_scratch_folder_is_the_one_the_session_names(spark, tmp_path):
     first, second = scratch_dir(shared, "x"), scratch_dir(shared, "x")
     assert first.startswith(f"{tmp_path}/shared/logloom-x-") and first != second
     assert scratch_dir(spark, "y") != scratch_dir(spark, "y")
+
+
+def test_places_of_lines_in_files_read_in_parts(spark, tmp_path):
+    """Files cut into many parts, of lines longer and shorter than a part, against a walk."""
+    rng = random.Random(4)
+    want = {}
+    for name, n in (("a.txt", 3), ("b.txt", 2000), ("c.txt", 1500), ("empty.txt", 0)):
+        lines = ["é" * rng.randrange(60) + f"\r{k}" for k in range(n)]
+        if n == 1500:
+            lines[700] = "long" * 3000
+        put(tmp_path / "in", name, "\n".join(lines).encode() + b"\n" * (n > 2 and n != 3))
+        want[name] = lines
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "4096")
+    try:
+        frame = read_lines(spark, str(tmp_path / "in"), with_places=True)
+        rows = frame.filter(F.length("value") >= 0).collect()
+        assert frame.rdd.getNumPartitions() > 20
+    finally:
+        spark.conf.set(size, before)
+    for name, lines in want.items():
+        found = sorted((r["line_no"], r["value"]) for r in rows if r["path"].endswith(name))
+        assert found == list(enumerate(lines))
+
+
+def test_files_are_capped_by_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    texts = ["x" * rng.randrange(1, 90) + f"é{k}" for k in range(800)]
+    texts[100] = "long" * 200
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "n bigint, json string").repartition(3)
+    cap, out = 500, tmp_path / "out"
+    write_ndjson(frame, str(out), "n", max_bytes_per_file=cap)
+    files = [f.read_bytes() for folder in sorted(out.glob("file=*")) for f in folder.glob("part-*")]
+    assert b"".join(files).decode().splitlines() == texts
+    assert all(len(f) <= cap or f.count(b"\n") == 1 for f in files)
+    # A file is closed only where the next record did not fit; a task ends one early.
+    short = [a for a, b in zip(files, files[1:]) if len(a) + len(b.split(b"\n")[0]) + 1 <= cap]
+    assert len(short) < 4
+    write_ndjson(frame, str(tmp_path / "both"), "n", 3, max_bytes_per_file=cap)
+    both = [f.read_bytes() for f in (tmp_path / "both").glob("file=*/part-*")]
+    assert all(f.count(b"\n") <= 3 for f in both) and sum(map(len, both)) == sum(map(len, files))
+    write_ndjson(frame.limit(0), str(tmp_path / "none"), "n", max_bytes_per_file=cap)
+    assert not list((tmp_path / "none").glob("file=*"))
+
+
+def test_records_are_encoded_after_they_are_in_order(spark, tmp_path):
+    frame = spark.createDataFrame([(k, bytearray(b"\xff%d" % k)) for k in range(50)], "n int, raw binary")
+    for cap, out in ((None, "plain"), (40, "capped")):
+        write_ndjson(
+            frame.repartition(4), str(tmp_path / out), "n", max_bytes_per_file=cap,
+            encode=lambda rows: rows.select(F.col("raw").cast("string").alias("json")),
+        )
+        files = sorted((tmp_path / out).glob("**/part-*"))
+        assert b"".join(f.read_bytes() for f in files) == b"".join(b"\xff%d\n" % k for k in range(50))
