@@ -55,6 +55,14 @@ def check_free(columns: list[str], taken: tuple[str, ...]) -> None:
         raise ValueError(f"rename the columns {', '.join(clash)}; the operator uses these names")
 
 
+def unused(columns: Sequence[str], name: str) -> str:
+    """`name`, with underscores in front until none of `columns` has it."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def names(columns: str | Sequence[str]) -> list[str]:
     """Column names given as one name or as several."""
     return [columns] if isinstance(columns, str) else list(columns)

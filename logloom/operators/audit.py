@@ -6,12 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.escape import escape_count, escaped_bytes
-from ..limits import MESSAGE_KEY, names
+from ..limits import MESSAGE_KEY, check_free, names
+from .framing import cap_lines
 
 
 def capture_audit(
@@ -21,27 +22,42 @@ def capture_audit(
     line_col: str = "line",
     json_col: str = "json",
     msg_key: str = MESSAGE_KEY,
+    line_key: str | Sequence[str] | None = None,
+    max_len: int | None = None,
+    unit: str = "char",
 ) -> DataFrame:
     """Per group: what went in, what came out, and whether it balances.
 
     `raw` has one row per line, `encoded` one row per record with `piece_no`.
-    The messages are read back from the records, so `balanced` says that every
-    line is there and that the messages have as many bytes as the lines. Groups
-    found on one side only are kept and do not balance. `bytes_out` counts the
-    line feed of every record.
+    The messages are read back from the records, byte by byte, so they need not be UTF-8.
+    `balanced` says that every line is there and that the messages have as many bytes as
+    the lines. Groups found on one side only are kept and do not balance.
+    `bytes_out` counts the line feed of every record.
+
+    With `line_key`, columns that both sides have (none of them also compares contents),
+    `balanced` further says that the messages are the lines themselves: `digest_in` and
+    `digest_out` are sums of hashes of the key, the number and the bytes of every piece, which
+    do not depend on any order. Lines are cut as `cap_lines` cuts them, to
+    `max_len` of `unit`; without it every record holds a whole line.
     """
     keys = names(group)
+    check_free(keys, ("lines", "pieces", "bytes_in", "bytes_out", "growth", "balanced", "digest_in", "digest_out"))
     before = raw.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("lines"),
         F.sum(F.octet_length(line_col).cast("bigint")).alias("bytes_in"),
     )
+    # One character per byte: JSON of any bytes can be read then, and gives them back.
     schema = T.StructType([T.StructField(msg_key, T.StringType())])
-    message = F.from_json(json_col, schema)[msg_key]
-    after = encoded.groupBy(*keys).agg(
+    as_chars = F.decode(F.col(json_col).cast("binary"), "ISO-8859-1")
+    message = F.from_json(as_chars, schema)[msg_key]
+    check_free(encoded.columns, ("_message",))
+    read = encoded.withColumn("_message", message)
+    after = read.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pieces"),
         F.count_if(F.col("piece_no") == 0).alias("_lines"),
-        F.sum(F.octet_length(message).cast("bigint")).alias("_bytes"),
+        F.sum(F.char_length("_message").cast("bigint")).alias("_bytes"),
         F.sum(F.octet_length(json_col).cast("bigint") + 1).alias("bytes_out"),
+        *([] if line_key is None else [_digest(line_key, F.col("_message")).alias("digest_out")]),
     )
     # Other names on the right, because both sides may come from one table.
     after = after.withColumnsRenamed({key: f"_{key}" for key in keys})
@@ -49,6 +65,20 @@ def capture_audit(
         and_, [F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys]
     )
     joined = before.join(after, same_group, "full_outer")
+    same = F.lit(True)
+    if line_key is not None:
+        pieces = (
+            raw.withColumn("piece_no", F.lit(0).cast("bigint"))
+            if max_len is None
+            else cap_lines(raw, max_len, unit, line_col)
+        )
+        whole = F.decode(F.col(line_col).cast("binary"), "ISO-8859-1")
+        digests = pieces.groupBy(*keys).agg(_digest(line_key, whole).alias("digest_in"))
+        digests = digests.withColumnsRenamed({key: f"_in_{key}" for key in keys})
+        joined = joined.join(
+            digests, reduce(and_, [F.col(key).eqNullSafe(F.col(f"_in_{key}")) for key in keys]), "left"
+        )
+        same = F.col("digest_in").eqNullSafe(F.col("digest_out"))
 
     def count(name: str):
         return F.coalesce(F.col(name), F.lit(0).cast("bigint"))
@@ -60,12 +90,21 @@ def capture_audit(
         count("bytes_in").alias("bytes_in"),
         count("bytes_out").alias("bytes_out"),
         F.try_divide("bytes_out", "bytes_in").alias("growth"),
-        ((count("lines") == count("_lines")) & (count("bytes_in") == count("_bytes"))).alias(
-            "balanced"
-        ),
+        *([] if line_key is None else ["digest_in", "digest_out"]),
+        (
+            (count("lines") == count("_lines")) & (count("bytes_in") == count("_bytes")) & same
+        ).alias("balanced"),
     )
 
 
+def _digest(line_key: str | Sequence[str], chars: Column) -> Column:
+    """Sum of the hashes of pieces. Sums of so many 64-bit numbers fit in 38 digits."""
+    # As texts and longs, whatever types the two sides have.
+    keys = [F.col(key).cast("string") for key in names(line_key)]
+    piece = F.xxhash64(*keys, F.col("piece_no").cast("bigint"), chars)
+    return F.sum(piece.cast("decimal(38,0)"))
+
+
 # Size classes: the corpora aim at 64, 256 and 1024 characters; the borders are
 # the geometric means. Escape classes: 0, 10 and 25 % of the characters; the
 # border is the mean, in thousandths.

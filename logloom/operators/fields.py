@@ -36,6 +36,7 @@ from ..limits import (
     check_key,
     check_range,
     names,
+    unused,
 )
 from ..session import settled
 
@@ -45,6 +46,9 @@ MAX_PRECISION = 38
 # Join parts per set: spreads the rows of one large set, or of one large source.
 SALTS = 16
 
+# The place of a field, as the folding of sets calls it.
+_POS = "pos"
+
 # Size up to which field sets are sent to every task, as JSON text.
 BROADCAST_BYTES = 8 << 20
 
@@ -55,8 +59,10 @@ def parse_fields(
     """Add `key`, `val` and `error` for a `key=value` column.
 
     The first `=` splits; nothing is trimmed; lengths count bytes. A bad row is
-    kept, with its error code and NULL key and value.
+    kept, with its error code and NULL key and value. The input may not have columns
+    of these three names.
     """
+    check_free(df.columns, ("key", "val", "error"))
     kv = F.col(kv_col)
     split_at = F.instr(kv, "=")
     key = F.substring(kv, F.lit(1), split_at - 1)
@@ -173,6 +179,14 @@ def _fold(kv_df: DataFrame, sets: list[str], pos: str, max_fields: int) -> DataF
     )
 
 
+def _parsed(kv_df: DataFrame, sets: list[str], pos: str, kv_col: str, msg_key: str) -> DataFrame:
+    """The columns that folding needs, parsed; others of the table may have any names."""
+    kv = unused(sets, "_kv")
+    rows = kv_df.select(*sets, F.col(pos).alias(_POS), F.col(kv_col).alias(kv))
+    check_free(sets, (_POS, "key", "val", "error"))
+    return parse_fields(rows, kv, (msg_key,))
+
+
 def fold_fields(
     kv_df: DataFrame,
     set_id: str | Sequence[str],
@@ -189,7 +203,7 @@ def fold_fields(
     """
     check_range("max_fields", max_fields, 1)
     sets = names(set_id)
-    folded = _fold(parse_fields(kv_df, kv_col, (msg_key,)), sets, pos, max_fields)
+    folded = _fold(_parsed(kv_df, sets, pos, kv_col, msg_key), sets, _POS, max_fields)
     return folded.select(*sets, "fields", "error", "error_pos")
 
 
@@ -204,7 +218,7 @@ def validate_field_sets(
     """Dry run: per set `ok`, `error`, `error_pos`, and `n_fields` accepted before the error."""
     check_range("max_fields", max_fields, 1)
     sets = names(set_id)
-    folded = _fold(parse_fields(kv_df, kv_col, (msg_key,)), sets, pos, max_fields)
+    folded = _fold(_parsed(kv_df, sets, pos, kv_col, msg_key), sets, _POS, max_fields)
     return folded.select(
         *sets, F.col("error").isNull().alias("ok"), "error", "error_pos", "n_fields"
     )
@@ -245,6 +259,8 @@ def join_field_sets(
     are spread over `SALTS` join parts, each of which gets the sets once.
     """
     keys = names(on)
+    # None of the columns that come from the other side, or are used on the way, may be there.
+    check_free(df.columns, (*[f"_{key}" for key in keys], "_salt", "_part"))
     sets = settled(folded, "field-sets")
     size = sets.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint"))).first()[0]
     # Other names on the right, so that NULL sources can be compared too.
@@ -252,7 +268,9 @@ def join_field_sets(
     if (size or 0) <= broadcast_bytes:
         return df.join(F.broadcast(right), _same(keys), "left").drop(*[f"_{key}" for key in keys])
     parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    # By the place of a row, whatever it holds: equal rows of a hot source are spread too.
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    salted = df.withColumn("_salt", place)
     right = right.withColumn("_part", parts)
     return salted.join(right, _same(keys) & (F.col("_salt") == F.col("_part")), "left").drop(
         *[f"_{key}" for key in keys], "_salt", "_part"

@@ -16,7 +16,16 @@ from ..functions.cuts import (
     pieces_bytewise,
     text_length,
 )
-from ..limits import DEFAULT_CHUNK, UNITS, check_choice, check_free, check_range, check_unit, names
+from ..limits import (
+    DEFAULT_CHUNK,
+    UNITS,
+    check_choice,
+    check_free,
+    check_range,
+    check_unit,
+    names,
+    unused,
+)
 from ..session import settled
 
 LF = "\n"
@@ -58,8 +67,9 @@ def chunk_text(
     ids, text = names(id_cols), F.col(text_col)
     if unit == "byte":
         # In a step of its own, so that it happens once per text.
-        df = df.select(*ids, text.cast("binary").alias("_bytes"))
-        blocks = byte_blocks(F.col("_bytes"), size)
+        whole = unused(ids, "_bytes")
+        df = df.select(*ids, text.cast("binary").alias(whole))
+        blocks = byte_blocks(F.col(whole), size)
     else:
         blocks = char_pieces(text, size)
     return df.select(*ids, F.posexplode(blocks).alias("seq", "data")).withColumn(
@@ -81,8 +91,10 @@ def cap_lines(
     if unit == "char":
         fits, cut = text_length(line) <= max_len, char_pieces(line, max_len)
     else:
-        lines = lines.withColumn("_bytes", line.cast("binary"))
-        fits, cut = F.octet_length(line) <= max_len, byte_pieces(F.col("_bytes"), max_len)
+        # In a step of its own, so that it happens once per line.
+        whole = unused(lines.columns, "_bytes")
+        lines = lines.withColumn(whole, line.cast("binary"))
+        fits, cut = F.octet_length(line) <= max_len, byte_pieces(F.col(whole), max_len)
     pieces = F.when(fits, F.array(line)).otherwise(cut)
     return lines.select(*others, F.posexplode(pieces).alias("piece_no", line_col)).withColumn(
         "piece_no", F.col("piece_no").cast("bigint")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable, Sequence
+from weakref import WeakSet
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +58,18 @@ def _sums(column: str) -> list[Column]:
     ]
 
 
-# Totals of the runs that this process has started, by run id.
-_TOTALS: dict[str, dict[str, dict[str, int]]] = {}
+# Totals of the latest runs that this process has started, by run id.
+_TOTALS: OrderedDict[str, dict[str, dict[str, int]]] = OrderedDict()
+MAX_RUNS = 1000
+
+_LEDGER = "name string, rows bigint, bytes bigint"
+
+
+def _of_run(run_id: str) -> dict[str, dict[str, int]]:
+    totals = _TOTALS.setdefault(run_id, {})
+    while len(_TOTALS) > MAX_RUNS:
+        _TOTALS.popitem(last=False)
+    return totals
 
 
 def _add(totals: dict[str, dict[str, int]], name: str, row: dict) -> None:
@@ -75,7 +87,7 @@ class _Totals(StreamingQueryListener):
     def onQueryProgress(self, event) -> None:
         for name, row in (event.progress.observedMetrics or {}).items():
             if name in ("lines", "pieces", "records"):
-                _add(_TOTALS.setdefault(str(event.progress.runId), {}), name, row.asDict())
+                _add(_of_run(str(event.progress.runId)), name, row.asDict())
 
     def onQueryIdle(self, event) -> None:
         pass
@@ -84,13 +96,14 @@ class _Totals(StreamingQueryListener):
         pass
 
 
-_LISTENING: set[int] = set()
+# Sessions that have a listener; a session that is gone leaves no trace here.
+_LISTENING: WeakSet[SparkSession] = WeakSet()
 
 
 def _listen(spark: SparkSession) -> None:
-    if id(spark) not in _LISTENING:
+    if spark not in _LISTENING:
         spark.streams.addListener(_Totals())
-        _LISTENING.add(id(spark))
+        _LISTENING.add(spark)
 
 
 def captured_totals(query: StreamingQuery) -> dict[str, dict[str, int]]:
@@ -105,6 +118,27 @@ def captured_totals(query: StreamingQuery) -> dict[str, dict[str, int]]:
     return {name: dict(row) for name, row in _TOTALS.get(str(query.runId), {}).items()}
 
 
+def _write_ledger(
+    spark: SparkSession, out_dir: str, batch_id: int, counts: dict[str, dict[str, int]]
+) -> None:
+    rows = [(name, row["rows"], row["bytes"]) for name, row in counts.items()]
+    table = spark.createDataFrame(rows, _LEDGER).coalesce(1)
+    table.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/_ledger/batch={batch_id}")
+
+
+def captured_ledger(spark: SparkSession, out_dir: str, per_batch: bool = False) -> DataFrame:
+    """What `capture` has counted under `out_dir` so far, over all its runs: `name`, `rows`, `bytes`.
+
+    The counts are those of `captured_totals`, from a table that every batch writes to, so
+    they survive restarts and need no process that has seen the runs. A batch that
+    runs again overwrites its own rows. `per_batch` gives the rows of each `batch`.
+    """
+    table = spark.read.schema(f"{_LEDGER}, batch bigint").parquet(f"{out_dir.rstrip('/')}/_ledger")
+    if per_batch:
+        return table
+    return table.groupBy("name").agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
+
 def capture(
     spark: SparkSession,
     in_dir: str,
@@ -121,6 +155,7 @@ def capture(
     checkpoint_dir: str | None = None,
     trigger: dict | None = None,
     dry_run: bool = False,
+    ledger: bool = False,
 ) -> StreamingQuery | None:
     """Start the streaming job that turns text files of `in_dir` into NDJSON files of `out_dir`.
 
@@ -132,6 +167,10 @@ def capture(
     earlier batches are dropped; both are counted. Its records are in one folder
     per batch, which a batch that runs again overwrites. The query ends with the present input, and goes on from its
     checkpoint when it is started again. `captured_totals` audits the run.
+
+    With `ledger`, and always with `policy="drop"`, the records of each batch are in a folder of
+    their own, and beside them the counts of every batch are written; `captured_ledger`
+    adds them up over all runs.
     """
     constant = FieldSet.of(fields, check_key(msg_key))
     check_range("max_len", max_len, MIN_CHUNK, MAX_CHUNK)
@@ -156,6 +195,37 @@ def capture(
             encode_ndjson(pieces, "value", constant, msg_key).select("json"), "records", "json"
         )
 
+    totals: dict[str, dict[str, int]] = {}
+
+    def write_batch(kept: DataFrame, batch_id: int) -> dict[str, dict[str, int]]:
+        """Write the records of a batch, and count its lines, pieces and records on the way."""
+        seen = {name: Observation(name) for name in ("lines", "pieces", "records")}
+        text = kept.select("value").observe(seen["lines"], *_sums("value"))
+        pieces = cap_lines(text, max_len, unit, "value").observe(seen["pieces"], *_sums("value"))
+        encoded = encode_ndjson(pieces, "value", constant, msg_key).select("json")
+        (
+            encoded.observe(seen["records"], *_sums("json"))
+            .write.mode("overwrite")
+            .option("lineSep", "\n")
+            .text(f"{out_dir}/batch={batch_id}")
+        )
+        return {name: seen[name].get for name in seen}
+
+    def settle_counts(counts: dict[str, dict[str, int]], batch_id: int) -> None:
+        _write_ledger(spark, out_dir, batch_id, counts)
+        for name, row in counts.items():
+            _add(totals, name, row)
+
+    if policy == "wait" and ledger:
+        query = (
+            lines.writeStream.foreachBatch(lambda b, n: settle_counts(write_batch(b, n), n))
+            .option("checkpointLocation", checkpoint)
+            .trigger(**run)
+            .start()
+        )
+        _of_run(str(query.runId))
+        _TOTALS[str(query.runId)] = totals
+        return query
     if policy == "wait":
         return (
             records(_counted(lines, "lines", "value"))
@@ -173,8 +243,6 @@ def capture(
         F.col("_metadata.file_path").alias("path"),
     )
 
-    totals: dict[str, dict[str, int]] = {}
-
     def process(batch: DataFrame, batch_id: int) -> None:
         # The place of a line in the batch; lines of a file are read in order. Written
         # once, so that places do not change between the jobs of a batch.
@@ -182,22 +250,11 @@ def capture(
         rows = settled(batch.withColumn("place", place), "capture-batch")
 
         def write(kept: DataFrame, batch_id: int) -> None:
-            seen = {name: Observation(name) for name in ("arrived", "lines", "pieces", "records")}
-            text = kept.select("value").observe(seen["lines"], *_sums("value"))
-            pieces = cap_lines(text, max_len, unit, "value").observe(seen["pieces"], *_sums("value"))
-            encoded = encode_ndjson(pieces, "value", constant, msg_key).select("json")
-            (
-                encoded.observe(seen["records"], *_sums("json"))
-                .write.mode("overwrite")
-                .option("lineSep", "\n")
-                .text(f"{out_dir}/batch={batch_id}")
-            )
+            counts = write_batch(kept, batch_id)
             arrived = rows.agg(*_sums("value")).first().asDict()
-            counts = {name: seen[name].get for name in ("lines", "pieces", "records")}
             counts["arrived"] = arrived
             counts["dropped"] = {k: arrived[k] - counts["lines"][k] for k in ("rows", "bytes")}
-            for name, row in counts.items():
-                _add(totals, name, row)
+            settle_counts(counts, batch_id)
 
         order = ["arrived", "path", "place"]
         shed_batch(
@@ -211,5 +268,6 @@ def capture(
         .trigger(**run)
         .start()
     )
+    _of_run(str(query.runId))
     _TOTALS[str(query.runId)] = totals
     return query

@@ -26,7 +26,7 @@ from ..streaming import (
     shed_stream_report,
 )
 from ..limits import MAX_BUFFER
-from .capture import capture, capture_frame, captured_totals
+from .capture import capture, capture_frame, captured_ledger, captured_totals
 from .samples import (
     CONTROL_FROM,
     CONTROL_TO,
@@ -493,6 +493,40 @@ def q_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_lines(spark, f"{base}/out").withColumnRenamed("value", "json")
 
 
+def q_capture_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of two runs, the second of which finds more files."""
+    base = scratch_dir(spark, "ledger")
+    lines = _lines(spark, sf_dir)
+    for turn in range(2):
+        lines.filter(F.pmod("doc_id", F.lit(2)) == turn).select("line").write.mode("append").text(
+            f"{base}/in"
+        )
+        capture(
+            spark, f"{base}/in", f"{base}/out", RUN_FIELDS, max_len=1024, ledger=True
+        ).awaitTermination()
+    return captured_ledger(spark, f"{base}/out")
+
+
+def q_capture_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records against the lines themselves; in one source, two lines of a length have changed places."""
+    lines = _lines(spark, sf_dir)
+    place = F.struct("doc_id", "line_no")
+    pairs = lines.filter((F.col("source") == "src3") & (F.length("line") > 0)).groupBy(
+        F.octet_length("line").alias("n")
+    ).agg(F.min_by("line", place).alias("a"), F.max_by("line", place).alias("b"))
+    pair = pairs.filter("a <> b").orderBy(F.desc("n")).limit(1)
+    wrong = lines.join(F.broadcast(pair), F.lit(True), "left").withColumn(
+        "line",
+        F.when(F.col("source") != "src3", F.col("line"))
+        .when(F.col("line") == F.col("a"), F.col("b"))
+        .when(F.col("line") == F.col("b"), F.col("a"))
+        .otherwise(F.col("line")),
+    )
+    records = op.encode_ndjson(op.cap_lines(wrong.drop("n", "a", "b"), 1024), "line", RUN_FIELDS)
+    found = op.capture_audit(lines, records, "source", line_key=LINE_KEYS, max_len=1024)
+    return found.select("source", "lines", "pieces", "bytes_in", "balanced")
+
+
 def q_capture_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a capture that drops says of itself: the lines are in one bucket of file time."""
     base = scratch_dir(spark, "capture-drop")

@@ -339,6 +339,21 @@ def oracle_sql() -> dict[str, str]:
             SELECT i.source, i.n AS lines, o.n AS pieces, i.b AS bytes_in, o.b AS bytes_out,
                 o.b / i.b AS growth, true AS balanced
             FROM ins i JOIN outs o ON i.source = o.source""",
+        "capture_ledger": f"""WITH {lines()}, {pieces(1024)}
+            SELECT 'lines' AS name, count(*) AS rows, CAST(sum(strlen(line)) AS BIGINT) AS bytes FROM lines
+            UNION ALL SELECT 'pieces', count(*), CAST(sum(strlen(line)) AS BIGINT) FROM pieces
+            UNION ALL SELECT 'records', count(*), CAST(sum(strlen({FRONT} || {escape("line")}) + 2)
+                AS BIGINT) FROM pieces""",
+        "capture_digest": f"""WITH {lines()}, {pieces(1024)},
+            ins AS (SELECT source, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS b
+                FROM lines GROUP BY 1),
+            outs AS (SELECT source, count(*) AS n FROM pieces GROUP BY 1),
+            swapped AS (SELECT count(*) AS n FROM (SELECT 1 FROM lines
+                WHERE source = 'src3' AND length(line) > 0 GROUP BY strlen(line)
+                HAVING arg_min(line, (doc_id, line_no)) <> arg_max(line, (doc_id, line_no))))
+            SELECT i.source, i.n AS lines, o.n AS pieces, i.b AS bytes_in,
+                i.source <> 'src3' OR swapped.n = 0 AS balanced
+            FROM ins i JOIN outs o ON i.source = o.source, swapped""",
         "capture_drop": f"""WITH {lines()} SELECT count(*) AS arrived,
             greatest(count(*) - 1000, 0) AS dropped, least(count(*), 1000) AS lines,
             CAST(0 AS BIGINT) AS unwritten FROM lines""",

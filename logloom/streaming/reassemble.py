@@ -77,11 +77,14 @@ def reassemble_stream(
             F.col("line_no").alias("skip_lines"),
             (F.col("piece_no") * max_len).alias("skip_chars"),
         )
-        # The ends that a stream has in this batch, in order: they cut it into parts.
+        # The ends that a stream has in this batch, in order: they cut it into parts. An end
+        # without a number would be lost, and two streams be one.
+        missing = F.raise_error(F.lit("seq must not be NULL")).cast("bigint")
+        at = F.coalesce(F.col(seq).cast("bigint"), missing)
         ends = (
             batch.filter(F.col(data).isNull())
             .groupBy(F.struct(*streams).alias("ids"))
-            .agg(F.sort_array(F.collect_set(F.col(seq).cast("bigint"))).alias("ends"))
+            .agg(F.sort_array(F.collect_set(at)).alias("ends"))
         )
         part = F.size(F.filter("ends", lambda end: end < F.col("seq")))
         cut = (

@@ -243,3 +243,25 @@ def test_no_digit_of_a_number_is_lost(spark, val, kind):
     frame = inject_fields(spark.range(1), [f"v={val}"])
     assert dict(frame.dtypes)["v"] == kind
     assert Decimal(str(frame.first().v)) == Decimal(val)
+
+
+def test_field_sets_beyond_the_broadcast_size_join_rows_with_maps(spark):
+    sets = spark.createDataFrame([("a", "A"), (None, "N")], "src string, front string")
+    rows = spark.createDataFrame([("a", 1), ("a", 1), (None, 2), ("b", 3)], "src string, n int")
+    rows = rows.withColumn("m", F.create_map("n", "src"))
+    small = join_field_sets(rows, sets, "src").select("src", "n", "front")
+    large = join_field_sets(rows, sets, "src", broadcast_bytes=0)
+    assert sorted(map(repr, large.select("src", "n", "front").collect())) == sorted(map(repr, small.collect()))
+    assert large.columns == [*rows.columns, "front"]
+    with pytest.raises(ValueError):
+        join_field_sets(rows.withColumn("_salt", F.lit(1)), sets, "src")
+
+
+def test_columns_of_the_input_are_not_overwritten(spark):
+    rows = spark.createDataFrame([(1, 0, "a=1", "mine")], "id int, pos int, kv string, key string")
+    with pytest.raises(ValueError):
+        parse_fields(rows, "kv")
+    folded = fold_fields(rows.withColumn("error", F.lit(5)), "id", "pos").collect()
+    assert [(f["key"], f["val"]) for f in folded[0]["fields"]] == [("a", "1")]
+    with pytest.raises(ValueError):
+        fold_fields(rows, "key", "pos")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from logloom import (
     FieldError,
     capture,
+    captured_ledger,
     captured_totals,
     read_lines,
     read_reassembled,
@@ -396,3 +397,35 @@ def test_records_are_encoded_after_they_are_in_order(spark, tmp_path):
         )
         files = sorted((tmp_path / out).glob("**/part-*"))
         assert b"".join(f.read_bytes() for f in files) == b"".join(b"\xff%d\n" % k for k in range(50))
+
+
+def test_ledger_survives_restarts_and_repeated_batches(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for name, data in (("1.txt", b"one\ntwo\n"), ("2.txt", b"three\n" + b"x" * 1030)):
+        put(tmp_path / "in", name, data)
+        query = capture(spark, source, out, max_len=1024, ledger=True)
+        query.awaitTermination()
+    # The counts of this process are those of the last run; the ledger has all.
+    assert captured_totals(query)["lines"] == {"rows": 2, "bytes": 1035}
+    wanted = {"lines": (4, 1041), "pieces": (5, 1041), "records": (5, 1041 + 5 * 10)}
+    rows = captured_ledger(spark, out).collect()
+    assert {r["name"]: (r["rows"], r["bytes"]) for r in rows} == wanted
+    # Take the commit of the last batch away: it runs again and overwrites itself.
+    commits = tmp_path / "out" / "_checkpoint" / "commits"
+    for name in ("1", ".1.crc"):
+        if (commits / name).exists():
+            (commits / name).rename(tmp_path / f"taken{name}")
+    capture(spark, source, out, max_len=1024, ledger=True).awaitTermination()
+    rows = captured_ledger(spark, out).collect()
+    assert {r["name"]: (r["rows"], r["bytes"]) for r in rows} == wanted
+    assert captured_ledger(spark, out, per_batch=True).select("batch").distinct().count() == 2
+    records = read_lines(spark, out).count()
+    assert records == 5
+
+
+def test_end_marker_without_a_number_is_an_error(spark, tmp_path):
+    rows = [("a", 0, "x"), ("a", None, None)]
+    spark.createDataFrame(rows, CHUNKS).write.parquet(f"{tmp_path}/chunks")
+    arriving = spark.readStream.schema(CHUNKS).parquet(f"{tmp_path}/chunks")
+    with pytest.raises(Exception, match="seq must not be NULL"):
+        reassemble_stream(arriving, f"{tmp_path}/lines", f"{tmp_path}/cp").awaitTermination()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from logloom import (
     Encoder,
     FieldSet,
+    cap_lines,
     capture_audit,
     capture_frame,
     csv_encoder,
@@ -181,3 +182,29 @@ def test_a_bucket_of_equal_orders_is_spread_over_tasks(spark):
     quota = spark.read.parquet(*[f for f in kept.inputFiles() if "shed-quota" in f])
     shares = [r["count"] for r in quota.groupBy("_part").count().collect()]
     assert len(shares) == 4 and max(shares) < 6000 / 2
+
+
+def test_audit_reads_bytes_that_are_not_utf8(spark):
+    lines = spark.createDataFrame([("g", 0, bytearray(b'c\xffd"\x01\n')), ("g", 1, bytearray("é🧪".encode()))],
+                                  "src string, line_no bigint, raw binary")
+    lines = lines.select("src", "line_no", F.col("raw").cast("string").alias("line"))
+    records = encode_ndjson(lines.withColumn("piece_no", F.lit(0)), "line", ["a=msg"])
+    row = capture_audit(lines, records, "src", line_key="line_no").first()
+    assert row["balanced"] and row["digest_in"] == row["digest_out"] and row["bytes_in"] == 6 + 6
+
+
+def test_audit_finds_swapped_messages(spark):
+    texts = ["one line", "two line", "x" * 25]
+    lines = spark.createDataFrame([("g", k, t) for k, t in enumerate(texts)], "src string, n bigint, line string")
+    swapped = lines.withColumn("line", F.when(F.col("n") == 0, "two line").when(F.col("n") == 1, "one line").otherwise(F.col("line")))
+
+    def audit(source, **options):
+        records = encode_ndjson(cap_lines(source, 10), "line")
+        return capture_audit(lines, records, "src", **options).first()["balanced"]
+
+    assert audit(lines) and audit(swapped)
+    assert audit(lines, line_key="n", max_len=10)
+    assert not audit(swapped, line_key="n", max_len=10)
+    # Without the numbers of the lines the same messages are there.
+    assert audit(swapped, line_key=(), max_len=10)
+    assert not audit(lines.filter("n < 2"), line_key="n", max_len=10)

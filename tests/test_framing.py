@@ -276,3 +276,12 @@ def test_byte_offsets_of_one_hot_stream_are_spread_over_tasks(spark):
     got = by_id(reassemble_lines(frame, max_len=16, span=1))
     want = [(i, k, p) for i, line in enumerate(lines_of(text)) for k, p in enumerate(cut(line, 16))]
     assert got == {"hot": want, "cold": [(0, 0, "a"), (1, 0, "b")]}
+
+
+def test_cutting_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(7, 8, "añb" * 3)], "_bytes int, __bytes int, line string")
+    got = cap_lines(rows, 5, "byte").collect()
+    assert [(r["_bytes"], r["__bytes"]) for r in got] == [(7, 8)] * len(got)
+    assert "".join(r["line"] for r in got) == "añb" * 3
+    blocks = chunk_text(rows, "_bytes", "line", 5, "byte").collect()
+    assert {r["_bytes"] for r in blocks} == {7} and b"".join(bytes(r["data"]) for r in blocks) == "añb".encode() * 3
