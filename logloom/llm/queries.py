@@ -67,7 +67,7 @@ def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary).drop("fit_bytes")
+    return tokens.count_tokens(_table(spark, sf_dir, "documents"), vocabulary)
 
 
 def op7_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:

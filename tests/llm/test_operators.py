@@ -519,6 +519,27 @@ def test_tokens_of_every_prefix():
             assert tokens.prefix_tokens(counter, text, n) == counter.whole([text[:n]])[0], (text, n)
 
 
+def test_texts_with_special_strings_have_tables_and_fit():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as file:
+        counter = tokens.PrefixCounter(file.read())
+    rng = random.Random(9)
+    parts = ["<|endoftext|>", "<|endof", " ", "  ", "\n", "word", "'s", " ünï", "<|endoftext|", "12", "\U0001f600"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(300)]
+    for text in [*texts, "a b " * 1000 + "<|endoftext|>"]:
+        want = counter.whole([text])[0]
+        ends, counts = counter.table(text)
+        assert (int(counts[-1]) if len(counts) else 0) == want
+        limit = want // 2
+        total, fit = counter.fits(text, limit)
+        head = text.encode()[:fit].decode()
+        assert total == want and counter.fits(head, limit) == (counter.fits(head, limit)[0], fit)
+        inside = ends[counts <= limit]
+        assert fit == (inside[-1] if len(inside) else 0)
+        for n in range(min(len(text), 40) + 1):
+            assert tokens.prefix_tokens(counter, text, n) == counter.whole([text[:n]])[0], (text, n)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json"])
 def test_other_vocabularies_are_counted_whole(spark, name):
     path = public_tokenizers.path(name)
