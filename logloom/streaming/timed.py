@@ -16,7 +16,14 @@ from ..limits import DEFAULT_CHUNK, check_free, check_range, names
 #: chunk is no piece; it is handed out as it came.
 FEED, SIZE, END, TIMEOUT, LATE = "feed", "size", "end", "timeout", "late"
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keyed state with timers needs this store. With change logs a batch writes what changed,
+# not a copy of the state of every partition.
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 _STATE = "text string, line_no bigint, piece_no bigint, started bigint, seq bigint, timer bigint"
 _PIECE = ["started_micros", "line_no", "piece_no", "line", "seq", "ended_by"]
 _OWN = ("chunk_micros", "chunk_seq", "chunk_text", "started", *_PIECE)
@@ -163,6 +170,7 @@ def reassemble_timed(
     older than that and finds no open stream comes too late: it is handed out as a row
     `late` with its text and without numbers, so that nothing is lost. State, timers
     and watermark are in the checkpoint, and a query that is started again goes on from them.
+    The store that this needs is set for the session.
 
     Within a batch chunks are put in order; over batches they must arrive in the order
     of `seq`, or the query fails, as it does for a NULL `seq` or event time. NULL stream
@@ -174,8 +182,9 @@ def reassemble_timed(
     streams = names(stream)
     check_free(streams, _OWN)
     spark = chunk_stream.sparkSession
-    # Keyed state with timers needs this store; it is read when the query starts.
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKS)
+    # Read when the query starts.
+    for setting, value in _STORE.items():
+        spark.conf.set(setting, value)
     binary = isinstance(chunk_stream.schema[data].dataType, T.BinaryType)
     types = {name: chunk_stream.schema[name].dataType for name in streams}
 
