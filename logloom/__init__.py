@@ -2,7 +2,13 @@
 
 from .operators import *  # noqa: F403
 from .operators import __all__ as _operators
-from .plans import capture, capture_frame, captured_ledger, captured_totals
+from .plans import (
+    capture,
+    capture_frame,
+    captured_field_sets,
+    captured_ledger,
+    captured_totals,
+)
 from .sinks import write_ndjson
 from .sources import read_lines, stream_lines
 from .streaming import (
@@ -18,6 +24,7 @@ __all__ = [
     *_operators,
     "capture",
     "capture_frame",
+    "captured_field_sets",
     "captured_ledger",
     "captured_totals",
     "read_lines",

@@ -25,7 +25,7 @@ from ..limits import (
     check_unit,
 )
 from ..operators.encode import encode_ndjson
-from ..operators.fields import FieldSet
+from ..operators.fields import FieldSet, fold_fields, join_field_sets, render_prefix
 from ..operators.framing import cap_lines, split_lines
 from ..sources.text import stream_lines
 from ..session import settled
@@ -63,6 +63,8 @@ _TOTALS: OrderedDict[str, dict[str, dict[str, int]]] = OrderedDict()
 MAX_RUNS = 1000
 
 _LEDGER = "name string, rows bigint, bytes bigint"
+_SOURCE_SETS = "source string, pos bigint, kv string"
+_FRONTS = "source string, front string, error string"
 
 
 def _of_run(run_id: str) -> dict[str, dict[str, int]]:
@@ -118,6 +120,28 @@ def captured_totals(query: StreamingQuery) -> dict[str, dict[str, int]]:
     return {name: dict(row) for name, row in _TOTALS.get(str(query.runId), {}).items()}
 
 
+def _sets_of_batch(
+    spark: SparkSession, out_dir: str, batch_id: int, source_sets: str, msg_key: str
+) -> DataFrame:
+    """The field sets that a batch goes by: those that were there when it first ran."""
+    path = f"{out_dir.rstrip('/')}/_field_sets/batch={batch_id}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    files = done.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(done):
+        rows = spark.read.schema(_SOURCE_SETS).parquet(source_sets)
+        sets = fold_fields(rows, "source", "pos", msg_key=msg_key).select(
+            "source", render_prefix("fields", msg_key).alias("front"), "error"
+        )
+        sets.coalesce(1).write.mode("overwrite").parquet(path)
+    return spark.read.schema(_FRONTS).parquet(path)
+
+
+def captured_field_sets(spark: SparkSession, out_dir: str) -> DataFrame:
+    """Which fields each batch of `capture` gave its sources: `batch`, `source`, `front`, `error`."""
+    table = spark.read.schema(f"{_FRONTS}, batch bigint")
+    return table.parquet(f"{out_dir.rstrip('/')}/_field_sets").select("batch", "source", "front", "error")
+
+
 def _write_ledger(
     spark: SparkSession, out_dir: str, batch_id: int, counts: dict[str, dict[str, int]]
 ) -> None:
@@ -156,6 +180,8 @@ def capture(
     trigger: dict | None = None,
     dry_run: bool = False,
     ledger: bool = False,
+    source_sets: str | None = None,
+    source_pattern: str = r"([^/]+)/[^/]*$",
 ) -> StreamingQuery | None:
     """Start the streaming job that turns text files of `in_dir` into NDJSON files of `out_dir`.
 
@@ -171,8 +197,18 @@ def capture(
     With `ledger`, and always with `policy="drop"`, the records of each batch are in a folder of
     their own, and beside them the counts of every batch are written; `captured_ledger`
     adds them up over all runs.
+
+    `source_sets` names a Parquet table of `source`, `pos` and `kv`: every source has its own
+    fields, in place of `fields`. The source of a line is what the first group of
+    `source_pattern` finds in the path of its file, the name of its folder unless stated
+    otherwise. A batch reads the table as it is when the batch first runs, and keeps
+    what it has read beside its records: a set that changes later changes later
+    records only, also when the batch runs again. Sources without a set, or with a
+    wrong one, keep their messages; see `captured_field_sets` for the errors.
     """
     constant = FieldSet.of(fields, check_key(msg_key))
+    if source_sets is not None and constant.fields:
+        raise ValueError("give fields or source_sets, not both")
     check_range("max_len", max_len, MIN_CHUNK, MAX_CHUNK)
     check_range("buffer_size", buffer_size, MIN_BUFFER, MAX_BUFFER)
     check_choice("policy", policy, POLICIES)
@@ -196,13 +232,24 @@ def capture(
         )
 
     totals: dict[str, dict[str, int]] = {}
+    used = ["value"] if source_sets is None else ["value", "source"]
+
+    def with_source(rows: DataFrame, path: Column) -> DataFrame:
+        # Paths are URLs, in which a plus stands for itself.
+        found = F.replace(F.regexp_extract(path, source_pattern, 1), F.lit("+"), F.lit("%2B"))
+        return rows if source_sets is None else rows.withColumn("source", F.try_url_decode(found))
 
     def write_batch(kept: DataFrame, batch_id: int) -> dict[str, dict[str, int]]:
         """Write the records of a batch, and count its lines, pieces and records on the way."""
         seen = {name: Observation(name) for name in ("lines", "pieces", "records")}
-        text = kept.select("value").observe(seen["lines"], *_sums("value"))
+        text = kept.select(*used).observe(seen["lines"], *_sums("value"))
         pieces = cap_lines(text, max_len, unit, "value").observe(seen["pieces"], *_sums("value"))
-        encoded = encode_ndjson(pieces, "value", constant, msg_key).select("json")
+        front = constant
+        if source_sets is not None:
+            sets = _sets_of_batch(spark, out_dir, batch_id, source_sets, msg_key)
+            pieces = join_field_sets(pieces, sets.drop("error"), "source")
+            front = F.col("front")
+        encoded = encode_ndjson(pieces, "value", front, msg_key).select("json")
         (
             encoded.observe(seen["records"], *_sums("json"))
             .write.mode("overwrite")
@@ -216,9 +263,11 @@ def capture(
         for name, row in counts.items():
             _add(totals, name, row)
 
-    if policy == "wait" and ledger:
+    if policy == "wait" and (ledger or source_sets is not None):
+        located = lines.select("value", F.col("_metadata.file_path").alias("path"))
+        arriving = with_source(located, F.col("path"))
         query = (
-            lines.writeStream.foreachBatch(lambda b, n: settle_counts(write_batch(b, n), n))
+            arriving.select(*used).writeStream.foreachBatch(lambda b, n: settle_counts(write_batch(b, n), n))
             .option("checkpointLocation", checkpoint)
             .trigger(**run)
             .start()
@@ -247,7 +296,8 @@ def capture(
         # The place of a line in the batch; lines of a file are read in order. Written
         # once, so that places do not change between the jobs of a batch.
         place = F.monotonically_increasing_id()
-        rows = settled(batch.withColumn("place", place), "capture-batch")
+        rows = with_source(batch.withColumn("place", place), F.col("path"))
+        rows = settled(rows, "capture-batch")
 
         def write(kept: DataFrame, batch_id: int) -> None:
             counts = write_batch(kept, batch_id)

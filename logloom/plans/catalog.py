@@ -507,6 +507,34 @@ def q_capture_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captured_ledger(spark, f"{base}/out")
 
 
+def q_capture_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields per source, of which some change, and one set breaks, before the second delivery."""
+    base = scratch_dir(spark, "sources")
+    lines = _lines(spark, sf_dir)
+    sources = lines.select("source").distinct().filter("source <> ''")
+    number = F.substring("source", -1, 1)
+    for turn in range(2):
+        run = F.when((number == "3") & F.lit(turn == 1), "run=2").otherwise("run=1")
+        broken = (number == "4") & F.lit(turn == 1)
+        sources.select(
+            "source",
+            F.explode(
+                F.array(
+                    F.struct(F.lit(0).cast("bigint").alias("pos"), F.concat(F.lit("origin="), "source").alias("kv")),
+                    F.struct(F.lit(1).cast("bigint").alias("pos"), F.when(broken, "=").otherwise(run).alias("kv")),
+                )
+            ).alias("set"),
+        ).select("source", "set.*").write.mode("overwrite").parquet(f"{base}/sets")
+        lines.filter(F.pmod("doc_id", F.lit(2)) == turn).select("source", "line").write.mode(
+            "append"
+        ).partitionBy("source").text(f"{base}/in")
+        capture(
+            spark, f"{base}/in", f"{base}/out", max_len=1024, source_sets=f"{base}/sets",
+            source_pattern=r"/source=([^/]*)/[^/]*$", buffer_size=MAX_BUFFER,
+        ).awaitTermination()
+    return read_lines(spark, f"{base}/out").select(F.col("value").alias("json"))
+
+
 def q_capture_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records against the lines themselves; in one source, two lines of a length have changed places."""
     lines = _lines(spark, sf_dir)

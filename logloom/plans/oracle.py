@@ -344,6 +344,12 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'pieces', count(*), CAST(sum(strlen(line)) AS BIGINT) FROM pieces
             UNION ALL SELECT 'records', count(*), CAST(sum(strlen({FRONT} || {escape("line")}) + 2)
                 AS BIGINT) FROM pieces""",
+        "capture_sources": f"""WITH {lines()}, {pieces(1024)}
+            SELECT CASE WHEN coalesce(source, '') = '' OR (doc_id % 2 = 1 AND source LIKE '%4')
+                    THEN '{{"msg":"'
+                ELSE '{{"origin":"' || source || '","run":' || CASE WHEN doc_id % 2 = 1 AND
+                    source LIKE '%3' THEN 2 ELSE 1 END || ',"msg":"' END
+                || {escape("line")} || '"}}' AS json FROM pieces""",
         "capture_digest": f"""WITH {lines()}, {pieces(1024)},
             ins AS (SELECT source, count(*) AS n, CAST(sum(strlen(line)) AS BIGINT) AS b
                 FROM lines GROUP BY 1),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from logloom import (
     FieldError,
     capture,
+    captured_field_sets,
     captured_ledger,
     captured_totals,
     read_lines,
@@ -429,3 +430,50 @@ def test_end_marker_without_a_number_is_an_error(spark, tmp_path):
     arriving = spark.readStream.schema(CHUNKS).parquet(f"{tmp_path}/chunks")
     with pytest.raises(Exception, match="seq must not be NULL"):
         reassemble_stream(arriving, f"{tmp_path}/lines", f"{tmp_path}/cp").awaitTermination()
+
+
+def test_field_sets_of_sources_change_later_records_only(spark, tmp_path):
+    def sets(*rows):
+        frame = spark.createDataFrame([(s, k, kv) for s, pairs in rows for k, kv in enumerate(pairs)],
+                                      "source string, pos bigint, kv string")
+        frame.write.mode("overwrite").parquet(str(tmp_path / "sets"))
+
+    def run(**options):
+        capture(
+            spark, str(tmp_path / "in" / "*"), str(tmp_path / "out"), max_len=1024,
+            source_sets=str(tmp_path / "sets"), **options,
+        ).awaitTermination()
+        return values(read_lines(spark, str(tmp_path / "out")))
+
+    put(tmp_path / "in" / "a b", "1.txt", b"one\n")
+    put(tmp_path / "in" / "c+d", "1.txt", b"two\n")
+    put(tmp_path / "in" / "none", "1.txt", b"three\n")
+    sets(("a b", ["x=1"]), ("c+d", ["y=v", "x=2"]))
+    first = ['{"msg":"three"}', '{"x":1,"msg":"one"}', '{"y":"v","x":2,"msg":"two"}']
+    assert run() == first
+    sets(("a b", ["x=5"]), ("c+d", ["="]))
+    put(tmp_path / "in" / "a b", "2.txt", b"four\n")
+    put(tmp_path / "in" / "c+d", "2.txt", b"five\n")
+    second = sorted([*first, '{"x":5,"msg":"four"}', '{"msg":"five"}'])
+    assert run() == second
+    # The second batch runs again, with the sets that it had then.
+    commits = tmp_path / "out" / "_checkpoint" / "commits"
+    for name in ("1", ".1.crc"):
+        if (commits / name).exists():
+            (commits / name).rename(tmp_path / f"taken{name}")
+    sets(("a b", ["x=9"]))
+    assert run() == second
+    errors = {(r["batch"], r["source"]): r["error"] for r in captured_field_sets(spark, str(tmp_path / "out")).collect()}
+    assert errors == {(0, "a b"): None, (0, "c+d"): None, (1, "a b"): None, (1, "c+d"): "EINV_FIELD_KEY"}
+    with pytest.raises(ValueError):
+        run(fields=["a=1"])
+
+
+def test_shedding_keeps_the_fields_of_sources(spark, tmp_path):
+    put(tmp_path / "in" / "s1", "1.txt", b"one\ntwo\nthree\n")
+    spark.createDataFrame([("s1", 0, "k=1")], "source string, pos bigint, kv string").write.parquet(str(tmp_path / "sets"))
+    capture(
+        spark, str(tmp_path / "in" / "*"), str(tmp_path / "out"), max_len=1024, policy="drop", capacity=2,
+        width="3650 days", source_sets=str(tmp_path / "sets"),
+    ).awaitTermination()
+    assert values(read_lines(spark, str(tmp_path / "out"))) == ['{"k":1,"msg":"one"}', '{"k":1,"msg":"two"}']
