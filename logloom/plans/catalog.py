@@ -324,12 +324,12 @@ def q_shed_large_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_shed_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal orders in every bucket: how many rows stay, and which orders they have."""
-    events = _table(spark, sf_dir, "events").select(
-        "event_type", F.hour("ts").alias("hour"), "event_id", "props"
+    documents = _table(spark, sf_dir, "documents").select(
+        "source", F.expr("coalesce(char_length(text), 0) div 500").alias("size"), "doc_id", "lang"
     )
-    kept = op.shed(events, "event_type", "hour", 700)
-    return kept.groupBy("event_type", "hour").agg(
-        F.count(F.lit(1)).alias("kept"), F.countDistinct("event_id").alias("events")
+    kept = op.shed(documents, "source", "size", 30)
+    return kept.groupBy("source", "size").agg(
+        F.count(F.lit(1)).alias("kept"), F.countDistinct("doc_id").alias("ids")
     )
 
 

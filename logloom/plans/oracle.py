@@ -306,10 +306,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_type, event_id, row_number() OVER (
                 PARTITION BY event_type ORDER BY ts, event_id) AS rank FROM events)
             WHERE rank <= 1500""",
-        "shed_ties": """SELECT event_type, hour, count(*) AS kept, count(DISTINCT event_id) AS events
-            FROM (SELECT event_type, hour(ts) AS hour, event_id, row_number() OVER (
-                PARTITION BY event_type ORDER BY hour(ts)) AS rank FROM events)
-            WHERE rank <= 700 GROUP BY 1, 2""",
+        "shed_ties": """SELECT source, size, count(*) AS kept, count(DISTINCT doc_id) AS ids
+            FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size) AS rank
+                FROM (SELECT source, doc_id, coalesce(length(text), 0) // 500 AS size FROM documents))
+            WHERE rank <= 30 GROUP BY 1, 2""",
         "shed_report": SHED_REPORT,
         "shed_stream": SHED,
         "shed_stream_report": SHED_REPORT,
