@@ -188,7 +188,7 @@ def q_reassemble_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.col("ended_by") == "late"
     return spark.read.schema(pieces.schema).parquet(f"{base}/lines").select(
         "stream_id",
-        F.hour("started").alias("hour"),
+        F.hour("started").cast("bigint").alias("hour"),
         "line_no", "piece_no", "line", "ended_by",
         F.when(late, F.col("seq")).alias("late_seq"),
     )

@@ -197,8 +197,8 @@ lines AS (SELECT stream_id, hour, open, len(p) AS n,
         unnest(generate_series(0, len(p) - 1)) AS line_no, unnest(p) AS line FROM parts),
 pieces AS (SELECT *, unnest(generate_series(0, greatest((length(line) + 999) // 1000 - 1, 0)))
         AS piece_no FROM lines)
-SELECT stream_id, hour, line_no, piece_no, substr(line, piece_no * 1000 + 1, 1000) AS line,
-    CASE WHEN length(substr(line, piece_no * 1000 + 1, 1000)) = 1000 THEN 'size'
+SELECT stream_id, CAST(hour AS BIGINT) AS hour, line_no, piece_no,
+    substr(line, piece_no * 1000 + 1, 1000) AS line, CASE WHEN length(substr(line, piece_no * 1000 + 1, 1000)) = 1000 THEN 'size'
         WHEN open AND line_no = n - 1 THEN 'timeout' ELSE 'feed' END AS ended_by,
     CAST(NULL AS BIGINT) AS late_seq FROM pieces
 UNION ALL SELECT stream_id, 0, NULL, NULL, text, 'late', doc_id
