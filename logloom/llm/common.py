@@ -6,6 +6,8 @@ so the package need not be installed on every machine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation
@@ -41,9 +43,12 @@ def row_key(id_col: str, content: Column) -> Column:
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """`name`, with underscores in front until no column of `df` has it."""
-    taken = {c.lower() for c in df.columns}
-    while name in taken:
+    """`name`, with underscores in front until no column of `df` is, or starts with, it.
+
+    So names that are built on it are free too.
+    """
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name) for c in taken):
         name = f"_{name}"
     return name
 
@@ -106,6 +111,50 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+# The first bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+# Bytes beyond which a word is hashed on its own, and of short texts that are taken at once.
+_LONG, _AT_ONCE = 4096, 1 << 19
+
+
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """64-bit hashes of the words of each text, which are runs of anything but ASCII white space."""
+    low = 0
+    while low < len(texts):
+        high, size = low + 1, len(texts[low])
+        while high < len(texts) and size + len(texts[high]) <= _AT_ONCE:
+            size += len(texts[high])
+            high += 1
+        borders = np.cumsum([len(text) + 1 for text in texts[low:high]])
+        at, hashes = _words_hashed(b" ".join(texts[low:high]))
+        yield from np.split(hashes, np.searchsorted(at, borders[:-1]))
+        low = high
+
+
+def _words_hashed(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text start, and their hashes.
+
+    Eight bytes of all words at once are mixed into what came before them, the length first.
+    """
+    space = np.ones(len(text) + 2, bool)
+    space[1:-1] = _SPACE[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, left = edges[::2], edges[1::2] - edges[::2]
+    hashes = mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(left > _LONG):
+        hashes[i] = xxhash.xxh3_64_intdigest(text[starts[i] : starts[i] + left[i]])
+    eights = np.ndarray(len(text) + 1, "<u8", text + bytes(8), strides=(1,))
+    which = np.flatnonzero(left <= _LONG)
+    at, left = starts[which], left[which]
+    while len(which):
+        part = eights[at] & _FIRST[np.minimum(left, 8)]
+        hashes[which] = mixed(hashes[which] ^ part)
+        more = np.flatnonzero(left > 8)
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    return starts, hashes
+
+
 def gram_hashes(words: np.ndarray, size: int, factors: np.ndarray) -> np.ndarray:
     """Hashes of all runs of `size` consecutive words; `factors` has `size` odd numbers."""
     n = len(words) - size + 1

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
-    WordHashes,
     components,
     gram_hashes,
     multipliers,
@@ -20,6 +18,7 @@ from .common import (
     row_key,
     saved,
     without_rows,
+    word_hashes,
 )
 
 # MinHash samples per set: BANDS bands of ROWS samples. A pair at similarity 0.8
@@ -30,8 +29,11 @@ SKETCH_BITS = 1024
 # A candidate goes on to exact confirmation if its sketches say at least the
 # threshold less this margin, nearly five standard deviations of the estimate.
 MARGIN = 0.15
-# Members of a bucket that one task compares at a time.
-BLOCK = 2048
+# Members of a bucket that are compared by sketch at a time, and rows of a task.
+BLOCK, TASK_ROWS = 2048, 8192
+# Members of a cluster that are compared on their full sets at a time, shingles of
+# such a block, and shingles of a task.
+SET_BLOCK, SET_SHINGLES, TASK_SHINGLES = 512, 1 << 20, 1 << 22
 # Pairs per bucket member up to which all pairs between components are compared
 # at once, without a look at the nearest ones first.
 FEW_PAIRS = 2
@@ -39,22 +41,24 @@ FEW_PAIRS = 2
 _WORDS = SKETCH_BITS // 64
 
 
-def shingle_set(text: bytes, size: int, hashes: WordHashes, factors: np.ndarray) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; fewer words are one shingle."""
-    words = hashes.of(text.lower().split())
-    if not len(words):
-        return words
-    if len(words) < size:
-        # Another seed per length, so that short texts equal only each other.
-        return gram_hashes(words, len(words), multipliers(len(words), 100 + len(words)))
-    return np.unique(gram_hashes(words, size, factors))
+def shingle_sets(texts: list[bytes | None], size: int) -> Iterator[np.ndarray]:
+    """Per text, sorted distinct hashes of its word shingles; fewer words are one shingle."""
+    factors = multipliers(size, 1)
+    for words in word_hashes([(text or b"").lower() for text in texts]):
+        if len(words) >= size:
+            grams = np.sort(gram_hashes(words, size, factors))
+            yield grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
+        elif len(words):
+            # Another seed per length, so that short texts equal only each other.
+            yield gram_hashes(words, len(words), multipliers(len(words), 100 + len(words)))
+        else:
+            yield words
 
 
 def _signatures(size: int):
     samples = BANDS * ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, factors = WordHashes(), multipliers(size, 1)
         wide = multipliers(2 * samples, 2)
         a = (wide[:samples] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
         b = (wide[samples:] >> np.uint64(32)).astype(np.uint32)
@@ -64,8 +68,7 @@ def _signatures(size: int):
         for batch in batches:
             keys_in, texts = batch.column(0), batch.column(1).cast(pa.binary()).to_pylist()
             counts, prints, bands, sketches = [], [], [], []
-            for text in texts:
-                grams = shingle_set(text or b"", size, hashes, factors)
+            for grams in shingle_sets(texts, size):
                 counts.append(len(grams))
                 if not len(grams):
                     prints.append(None), bands.append(None), sketches.append(None)
@@ -114,30 +117,29 @@ def sketch_similarity(a: Column, b: Column) -> Column:
     return 1 + SKETCH_BITS / (4.0 * BANDS * ROWS) * F.log(share)
 
 
-def _confirmed(
-    pairs: DataFrame,
-    texts: Callable[[DataFrame], DataFrame],
-    id_type: str,
-    size: int,
-    percent: int,
-) -> DataFrame:
-    """Those of `pairs` (`a`, `b`) whose full shingle sets are similar enough."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _with_sets(named: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """The full sets (`node`, `grams`) of the classes `named` (`node`, `key`) in `rows`."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, factors = WordHashes(), multipliers(size, 1)
         for batch in batches:
-            grams = [
-                shingle_set(text or b"", size, hashes, factors).view(np.int64)
-                for text in batch.column(1).cast(pa.binary()).to_pylist()
-            ]
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            grams = [found.view(np.int64) for found in shingle_sets(texts, size)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["id", "grams"]
+                [batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"]
             )
 
-    full = texts(needed).select("id", "text").mapInArrow(sets, f"id {id_type}, grams array<bigint>")
-    left = full.select(F.col("id").alias("a"), F.col("grams").alias("grams_a"))
-    right = full.select(F.col("id").alias("b"), F.col("grams").alias("grams_b"))
+    keys = named.select("node", F.col("key").alias("of"))
+    # A row may repeat very often, and its text is needed once.
+    found = rows.join(keys, F.col("key") == F.col("of")).groupBy("node").agg(F.first("text"))
+    return found.mapInArrow(sets, "node bigint, grams array<bigint>")
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of `pairs` (`a`, `b`) whose full shingle sets are similar enough."""
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    full = _with_sets(classes.join(needed, "node"), rows, size)
+    left = full.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
+    right = full.select(F.col("node").alias("b"), F.col("grams").alias("grams_b"))
     both = F.size(F.array_intersect("grams_a", "grams_b"))
     union = F.size("grams_a") + F.size("grams_b") - both
     return (
@@ -148,46 +150,156 @@ def _confirmed(
     )
 
 
-def _compared(least: float, nearest: bool):
-    """Compare the members of a block, or of two blocks of a bucket, by their sketches.
-
-    Gives the pairs of different labels that may be similar enough, or only the
-    nearest partner of each member of the first block.
+def _runs(*keys: np.ndarray) -> list[np.ndarray]:
+    """The places of the rows with equal `keys`, one array per group."""
+    order = np.lexsort(keys)
+    differ = np.zeros(max(len(order) - 1, 0), bool)
+    for key in keys:
+        differ |= np.diff(key[order]) != 0
+    return np.split(order, np.flatnonzero(differ) + 1)
+
+
+def _spanning(linked: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stars that connect what `linked` (rows `x`, columns `y`) connects."""
+    roots, ends = [], []
+    rows, cols = linked.any(axis=1), linked.any(axis=0)
+    while rows.any():
+        root = front = np.flatnonzero(rows)[:1]
+        rows[front] = False
+        while len(front):
+            met = np.flatnonzero(linked[front].any(axis=0) & cols)
+            cols[met] = False
+            front = np.flatnonzero(linked[:, met].any(axis=1) & rows)
+            rows[front] = False
+            ends += [y[met], x[front]]
+            roots.append(np.repeat(x[root], len(met) + len(front)))
+    if not roots:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(roots), np.concatenate(ends)
+
+
+def _odd_bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Population counts of the XOR of all sketches of `a` with all of `b`."""
+    signs = [
+        np.unpackbits(x.view(np.uint8), axis=1).astype(np.float32) * 2 - 1 for x in (a, b)
+    ]
+    return (SKETCH_BITS - signs[0] @ signs[1].T) / 2
+
+
+def _sides(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places of the first and the second block of every comparison of a task."""
+    key, bi, bj, block = (table[c].to_numpy() for c in ("key", "bi", "bj", "block"))
+    for at in _runs(key, bi, bj):
+        first, second = at[block[at] == bi[at]], at[block[at] == bj[at]]
+        if len(first) and len(second):
+            yield first, second
+
+
+def _compared(percent: int, nearest: bool):
+    """Compare the members of blocks of buckets by their sketches.
+
+    Gives stars that connect all members of different labels that may be similar
+    enough, or the nearest such partner of each member.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        first = group[group["block"] == group["bi"]]
-        second = group[group["block"] == group["bj"]]
-        if first.empty or second.empty:
-            return pd.DataFrame({"a": [], "b": []})
-        sketch = np.stack(second["sketch"].to_numpy()).astype(np.int64)
-        nodes, labels, sizes = (second[c].to_numpy() for c in ("node", "label", "n_shingles"))
-        bands = np.stack(second["bands"].to_numpy()).astype(np.int64)
-        found = []
-        most = SKETCH_BITS / 2 * (1 - np.exp(-(1 - least) * 4 * BANDS * ROWS / SKETCH_BITS))
-        alone = group["bi"].iat[0] == group["bj"].iat[0] and not nearest
-        key = group["key"].iat[0]
-        for node, label, size, own, own_bands in zip(
-            first["node"], first["label"], first["n_shingles"], first["sketch"], first["bands"]
-        ):
-            other = (nodes > node) if alone else nodes != node
-            other &= (labels != label) & (sizes * 2 >= size) & (sizes <= size * 2)
-            at = np.flatnonzero(other)
+    least = percent / 100 - MARGIN
+    most = SKETCH_BITS / 2 * (1 - np.exp(-(1 - least) * 4 * BANDS * ROWS / SKETCH_BITS))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, labels, sizes = (table[c].to_numpy() for c in ("node", "label", "n_shingles"))
+        sketches = table["sketch"].combine_chunks().flatten().to_numpy().reshape(-1, _WORDS)
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        for first, second in _sides(table):
+            odd = _odd_bits(sketches[first], sketches[second])
+            low = np.minimum.outer(sizes[first], sizes[second])
+            high = np.maximum.outer(sizes[first], sizes[second])
+            near = (odd <= most) & (100 * low >= percent * high)
+            near &= labels[first][:, None] != labels[second]
             if not nearest:
-                # A pair is met in the first bucket that it shares, and not in the others.
-                own_bands = np.asarray(own_bands, np.int64)
-                earlier = int(np.flatnonzero(own_bands == key)[0])
-                at = at[~(bands[at, :earlier] == own_bands[:earlier]).any(axis=1)]
-            odd = np.bitwise_count(sketch[at] ^ np.asarray(own, np.int64)).sum(axis=1)
-            if nearest and len(at):
-                at, odd = at[[odd.argmin()]], odd[[odd.argmin()]]
-            found += [(node, x) for x in nodes[at[odd <= most]]]
-        pairs = pd.DataFrame(found, columns=["x", "y"])
-        return pd.DataFrame({"a": pairs.min(axis=1), "b": pairs.max(axis=1)})
+                a, b = _spanning(near, nodes[first], nodes[second])
+                found.append((a, b, np.zeros(len(a))))
+                continue
+            odd[~near] = np.inf
+            for x, y, far in ((first, second, odd), (second, first, odd.T)):
+                best = far.argmin(axis=1)
+                told = far[np.arange(len(x)), best]
+                some = np.isfinite(told)
+                found.append((nodes[x][some], nodes[y][best[some]], told[some]))
+        a, b, odd = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"a": a, "b": b, "odd": odd.astype(np.float64)})
 
     return run
 
 
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many elements every set of `a` has in common with every one of `b`."""
+    values = [np.concatenate(side) for side in (a, b)]
+    shared = np.intersect1d(*(np.unique(v) for v in values), assume_unique=True)
+    sides = []
+    for value, sets in zip(values, (a, b)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, value)
+        own = np.flatnonzero(at < len(shared))
+        own = own[shared[at[own]] == value[own]]
+        order = own[np.argsort(at[own], kind="stable")]
+        sides.append((row[order], at[order]))
+    total = np.zeros((len(a), len(b)))
+    step = 4096
+    for low in range(0, len(shared), step):
+        dense = []
+        for (row, at), sets in zip(sides, (a, b)):
+            x, y = np.searchsorted(at, [low, low + step])
+            part = np.zeros((len(sets), min(step, len(shared) - low)), np.float32)
+            part[row[x:y], at[x:y] - low] = 1
+            dense.append(part)
+        total += dense[0] @ dense[1].T
+    return total
+
+
+def _similar(percent: int):
+    """Stars that connect all members of different labels whose full sets are similar enough."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        nodes, labels = (table[c].to_numpy() for c in ("node", "label"))
+        grams = table["grams"].combine_chunks()
+        values, offsets = grams.values.to_numpy(), grams.offsets.to_numpy()
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        for first, second in _sides(table):
+            other = labels[first][:, None] != labels[second]
+            if not other.any():
+                continue
+            sets = [[values[offsets[i] : offsets[i + 1]] for i in x] for x in (first, second)]
+            both = _common(*sets)
+            sizes = [np.array([len(s) for s in x]) for x in sets]
+            union = np.add.outer(*sizes) - both
+            linked = (100 * both >= percent * union) & other
+            found.append(_spanning(linked, nodes[first], nodes[second]))
+        a, b = (np.concatenate(c) for c in zip(*found))
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _in_blocks(members: DataFrame, blocks: Column) -> DataFrame:
+    """`members` (`key`, `node`), once per pair (`bi`, `bj`) of blocks of their `key` that holds theirs."""
+    last = F.col("blocks") - 1
+    return (
+        members.withColumn("blocks", blocks.cast("bigint"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .withColumn("bi", F.least("block", "other"))
+        .withColumn("bj", F.greatest("block", "other"))
+        .drop("other", "blocks")
+    )
+
+
+def _dealt(rows: DataFrame, tasks: int):
+    """`rows` grouped so that a task has several small comparisons, and none is split."""
+    part = F.pmod(F.xxhash64("key", "bi", "bj"), F.lit(4 * tasks))
+    return rows.withColumn("part", part).repartition(tasks, "part").groupBy("part")
+
+
 def _signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Per row of `docs`: its key and id, and what is told of its set."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -203,19 +315,31 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame
     )
 
 
-def _linked(
-    classes: DataFrame,
-    texts: Callable[[DataFrame], DataFrame],
-    id_type: str,
-    size: int,
-    percent: int,
-) -> DataFrame:
+def _classes(signed: DataFrame) -> DataFrame:
+    """Equal sets of `signed` as one class: `node`, `key` of its first row, and what is told of it.
+
+    Numbers in the order of the ids stand for the classes, as an id may have several.
+    Rows without an id come last.
+    """
+    classes = (
+        signed.filter("print IS NOT NULL")
+        .groupBy("print")
+        .agg(
+            F.min_by("key", F.struct(F.col("id").isNull(), "id", "key")).alias("key"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
+            F.first("sketch").alias("sketch"),
+        )
+    )
+    ordered = classes.orderBy(F.col("key.id").isNull(), "key.id", "key.content", "print")
+    return saved(ordered.withColumn("node", F.monotonically_increasing_id()), "near-dup-classes")
+
+
+def _linked(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
     """Components (`node`, `component`) of those `classes` that are similar to others.
 
-    `texts` gives the texts (`id`, `text`) of the nodes that a table of `id` names.
+    `rows` has the texts (`key`, `text`).
     """
-    # Full threshold for pairs; what the sketches may say is lower by the margin.
-    least = percent / 100 - MARGIN
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = (
         banded.groupBy("key")
@@ -223,7 +347,6 @@ def _linked(
         .filter("n > 1")
     )
     members = saved(banded.join(shared, "key"), "near-dup-buckets")
-
     sketches = classes.select("node", "n_shingles", "sketch")
 
     def side(name: str) -> DataFrame:
@@ -233,33 +356,38 @@ def _linked(
             F.col("n_shingles").alias(f"n_{name}"),
         )
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        """Those of `pairs` that may be similar enough by their sizes and sketches."""
-        return saved(
-            pairs.join(side("a"), "a").join(side("b"), "b")
-            .filter(
-                (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-                & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= least)
-            )
-            .select("a", "b"),
-            "near-dup-pairs",
-        )
-
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return saved(_confirmed(pairs, texts, id_type, size, percent), "near-dup-links")
-
-    stars = members.filter("node != pivot").select(
-        F.col("pivot").alias("a"), F.col("node").alias("b")
+        return saved(_confirmed(pairs, classes, rows, size, percent), "near-dup-links")
+
+    # Each class with the pivot that it shares the most buckets with.
+    stars = (
+        members.filter("node != pivot")
+        .groupBy("node", "pivot")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy(F.col("node").alias("b"))
+        .agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a"))
     )
-    tried = likely(stars.distinct())
-    links = confirmed(tried)
+    likely = saved(
+        stars.join(side("a"), "a").join(side("b"), "b")
+        .filter(
+            (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+            & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - MARGIN)
+        )
+        .select("a", "b"),
+        "near-dup-pairs",
+    )
+    links = confirmed(likely)
     groups = components(links, "near-dup-groups")
 
+    def labelled(found: DataFrame) -> DataFrame:
+        """`found` (`node`) with its component so far as `label`."""
+        joined = found.join(groups, "node", "left")
+        return joined.withColumn("label", F.coalesce("component", "node")).drop("component")
+
     def still_apart() -> DataFrame:
         """Members of the buckets that hold more than one component, with their `label`."""
-        labelled = members.filter("n > 2").select("key", "node").join(groups, "node", "left")
-        labelled = labelled.withColumn("label", F.coalesce("component", "node"))
-        parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        told = labelled(members.filter("n > 2").select("key", "node"))
+        parts = told.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
         open_buckets = (
             parts.groupBy("key")
             .agg(
@@ -269,44 +397,73 @@ def _linked(
             )
             .filter("labels > 1")
         )
-        return saved(
-            labelled.select("key", "node", "label").join(open_buckets, "key"), "near-dup-apart"
-        )
+        return saved(told.join(open_buckets, "key"), "near-dup-apart")
 
-    def compared(apart: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs of different components that share a bucket, by sketch, and not tried before."""
-        paired = (
-            apart.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("bigint"))
-            .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-            .select(
-                "key", "node", "label", "block",
-                F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"),
-            )
-            .join(classes.select("node", "n_shingles", "sketch", "bands"), "node")
-        )
-        found = paired.groupBy("key", "bi", "bj").applyInPandas(
-            _compared(least, nearest), f"a {id_type}, b {id_type}"
+    blocks = F.ceil(F.col("m") / BLOCK)
+
+    def counted(apart: DataFrame) -> tuple:
+        """Members, pairs between components, and rows after they are dealt in blocks."""
+        # Each member's share of the pairs of its bucket.
+        pairs = F.sum((F.col("m") - F.col("squares") / F.col("m")) / 2)
+        return apart.agg(F.count(F.lit(1)), pairs, F.sum(blocks)).first()
+
+    def compared(apart: DataFrame, n: int, nearest: bool) -> DataFrame:
+        paired = _in_blocks(apart.select("key", "node", "label", "m"), blocks).drop("m")
+        return _dealt(paired.join(sketches, "node"), -(-n // TASK_ROWS)).applyInArrow(
+            _compared(percent, nearest), "a bigint, b bigint, odd double"
         )
-        return saved(found.distinct().join(tried, ["a", "b"], "left_anti"), "near-dup-late")
 
+    # A bucket of two is a pair with its pivot, and that pair may not be the one tried.
+    twos = members.filter("n = 2 AND node != pivot").select(
+        F.col("pivot").alias("a"), F.col("node").alias("b")
+    )
     apart = still_apart()
-    # Pairs between components: each member's share of those of its bucket.
-    pairs, n = apart.agg(
-        F.sum((F.col("m") - F.col("squares") / F.col("m")) / 2), F.count(F.lit(1))
-    ).first()
-    # The nearest ones first, which join most of what belongs together; then all others.
-    turns = [] if not n else [False] if pairs <= FEW_PAIRS * n else [True, False]
-    for nearest in turns:
-        more = compared(apart, nearest)
-        if more.isEmpty():
-            continue
-        tried = tried.unionByName(more)
-        links = links.unionByName(confirmed(more))
+    n, pairs, dealt = counted(apart)
+    if n and pairs > FEW_PAIRS * n:
+        # The nearest one of each first, which joins most of what belongs together.
+        found = compared(apart, dealt, True)
+        best = F.min(F.struct("odd", "b"))["b"].alias("b")
+        links = links.unionByName(confirmed(saved(found.groupBy("a").agg(best), "near-dup-nearest")))
         groups = components(links, "near-dup-groups")
-        if nearest:
-            apart = still_apart()
-    return groups
+        apart = still_apart()
+        n, _, dealt = counted(apart)
+    # What the sketches connect beyond that are clusters, and these are compared on full sets.
+    edges = _apart_pairs(twos, groups).join(side("a"), "a").join(side("b"), "b").filter(
+        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & (sketch_similarity(F.col("sketch_a"), F.col("sketch_b")) >= percent / 100 - MARGIN)
+    ).select("a", "b").join(likely, ["a", "b"], "left_anti")
+    if n:
+        edges = edges.unionByName(compared(apart, dealt, False).select("a", "b"))
+    edges = saved(edges.distinct(), "near-dup-edges")
+    if edges.isEmpty():
+        return groups
+    clusters = components(edges, "near-dup-clusters").withColumnRenamed("component", "key")
+    roots = clusters.select("key").distinct().select(F.col("key").alias("node"), "key")
+    told = labelled(clusters.unionByName(roots)).join(
+        classes.select("node", "n_shingles"), "node"
+    )
+    totals = told.groupBy("key").agg(
+        F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("shingles")
+    )
+    set_blocks = F.greatest(F.ceil(F.col("m") / SET_BLOCK), F.ceil(F.col("shingles") / SET_SHINGLES))
+    dealt = totals.agg(F.sum(F.col("shingles") * set_blocks)).first()[0]
+    full = _with_sets(classes.join(told.select("node"), "node", "left_semi"), rows, size)
+    paired = _in_blocks(told.join(totals, "key"), set_blocks)
+    late = _dealt(
+        paired.select("key", "node", "label", "bi", "bj", "block").join(full, "node"),
+        -(-dealt // TASK_SHINGLES),
+    ).applyInArrow(_similar(percent), "a bigint, b bigint")
+    return components(links.unionByName(saved(late, "near-dup-late")), "near-dup-groups")
+
+
+def _apart_pairs(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Those of `pairs` (`a`, `b`) that lie in different components."""
+    a, b = (
+        groups.select(F.col("node").alias(side), F.col("component").alias(f"of_{side}"))
+        for side in ("a", "b")
+    )
+    told = pairs.distinct().join(a, "a", "left").join(b, "b", "left")
+    return told.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def near_duplicates(
@@ -325,41 +482,34 @@ def near_duplicates(
     `kept` (is it that smallest one).
 
     Equal sets are one class and take part once. Classes meet in the buckets of
-    MinHash bands. In every bucket all members are compared with its smallest one
-    only. Where a bucket still holds several components, its members are compared by
-    sketch in blocks: first each one with its nearest partner in another component,
-    then, between the components that are left, all pairs. So a group of thousands
-    of near copies gives pairs in the order of its size, not of its square. Pairs
-    whose odd sketches say that they cannot reach the threshold are left out; all
-    others are confirmed on their full sets.
-
-    Texts that are null or without words have an empty set, link with nothing and
-    are kept. Rows without an id are not linked, have no component, and are kept.
+    MinHash bands. Each is compared with one pivot first, the smallest member of the
+    buckets that it shares most of with it. Where a bucket still holds several
+    components, its members are compared by sketch in blocks: first each one with
+    its nearest partner in another component, then all of different components.
+    Blocks give spanning stars of what their odd sketches do not rule out, and never
+    the pairs; the clusters that these stars make are compared on their full sets,
+    in blocks as well. So a group of thousands of near copies gives rows in the
+    order of its size, not of its square.
+
+    The bands are made for similarities of 0.8 and more, so `percent` must be 80 or
+    more. Texts that are null or without words have an empty set, link with nothing
+    and are kept. Rows without an id are not linked, have no component, and are kept.
     Repeated rows get the same result each; rows that share an id but not a text
     are judged by their own texts. An empty table gives an empty result. Other
     columns are not looked at.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if not 80 <= percent <= 100:
+        raise ValueError(f"percent must be 80 to 100, got {percent}")
     signed = _signed(docs, id_col, text_col, shingle)
-    classes = saved(
-        signed.filter("print IS NOT NULL AND id IS NOT NULL")
-        .groupBy("print")
-        .agg(
-            F.min("id").alias("node"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        ),
-        "near-dup-classes",
-    )
-
-    def texts(needed: DataFrame) -> DataFrame:
-        return rows.join(needed, "id", "left_semi")
-
-    groups = _linked(classes, texts, id_type, shingle, percent)
-    roots = classes.select("print", "node").join(groups, "node", "left").select(
-        "print", F.coalesce("component", "node").alias("root")
+    classes = _classes(signed.filter("id IS NOT NULL"))
+    rows = docs.select(row_key(id_col, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    groups = _linked(classes, rows, shingle, percent)
+    ids = classes.select(F.col("node").alias("component"), F.col("key.id").alias("root"))
+    roots = (
+        classes.select("print", "node").join(groups, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .join(ids, "component")
+        .select("print", "root")
     )
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return (
@@ -383,37 +533,13 @@ def keep_one_per_group(
     Rows are told apart by id and text, so rows that share an id are linked by their
     own texts only. Rows without an id take part like others and come after all that
     have one. Rows that repeat (same id and text) are one row, with or without words.
+    Null and empty texts are kept, an empty table gives an empty one, and other columns
+    stay as they are, whatever their names.
     """
     signed = _signed(docs, id_col, text_col, shingle)
-    last = F.struct(F.col("id").isNull(), "id", "key")
-    classes = (
-        signed.filter("print IS NOT NULL")
-        .groupBy("print")
-        .agg(
-            F.min_by("key", last).alias("key"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"),
-            F.first("sketch").alias("sketch"),
-        )
-    )
-    # Numbers in the order of the ids stand for the classes, as an id may have several.
-    classes = saved(
-        classes.orderBy(F.col("key.id").isNull(), "key.id", "key.content", "print").withColumn(
-            "node", F.monotonically_increasing_id()
-        ),
-        "near-dup-classes",
-    )
-    own = row_key(id_col, F.col(text_col))
-    rows = docs.select(own.alias("key"), F.col(text_col).alias("text"))
-
-    def texts(needed: DataFrame) -> DataFrame:
-        keys = needed.join(classes.select(F.col("node").alias("id"), "key"), "id")
-        keys = keys.select("id", F.col("key").alias("of"))
-        # A row may repeat very often, and its text is needed once.
-        found = rows.join(keys, F.col("key") == F.col("of"))
-        return found.groupBy("id").agg(F.first("text").alias("text"))
-
-    groups = _linked(classes, texts, "bigint", shingle, 80)
+    classes = _classes(signed)
+    rows = docs.select(row_key(id_col, F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    groups = _linked(classes, rows, shingle, 80)
     roots = (
         classes.select("key", "node").join(groups, "node", "left")
         .filter(F.coalesce("component", "node") == F.col("node"))

@@ -158,6 +158,61 @@ def test_near_duplicates_of_many_copies_with_few_links_left(spark, monkeypatch):
     assert {i: r[0]["component_id"] for i, r in found.items()} == groups
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    """3 and one 5 are copies, the other 5 and 7 are: two groups, not one."""
+    rng = random.Random(9)
+    p, q = (words_of(rng, 80, 10**6) for _ in range(2))
+    p2, q2 = p[:40] + ["x"] + p[41:], q[:40] + ["y"] + q[41:]
+    rows = [(i, " ".join(w), "en", "s", 0) for i, w in [(3, p), (5, p2), (5, q), (7, q2)]]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    found = near_dup.near_duplicates(frame).select("doc_id", "component_id", "kept").collect()
+    assert sorted(map(tuple, found)) == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False)]
+    kept = near_dup.keep_one_per_group(frame).collect()
+    assert sorted((r["doc_id"], r["text"] == rows[2][1]) for r in kept) == [(3, False), (5, True)]
+
+
+def test_near_duplicates_refuse_a_similarity_that_the_bands_miss(no_docs):
+    with pytest.raises(ValueError):
+        near_dup.near_duplicates(no_docs, percent=50)
+
+
+def test_near_duplicates_by_blocks_of_buckets_and_of_sets(spark, monkeypatch):
+    """Hundreds of variants of one text, some linked and some nearly so; everything in small blocks."""
+    for name, value in [("BLOCK", 16), ("SET_BLOCK", 8), ("SET_SHINGLES", 900), ("FEW_PAIRS", 0)]:
+        monkeypatch.setattr(near_dup, name, value)
+    rng = random.Random(13)
+    base = words_of(rng, 120, 10**6)
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(120)] = f"v{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words), "en", "s", 0))
+    found = by_id(near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
+    _, groups = brute_groups(rows)
+    assert len(set(groups.values())) > 3
+    assert {i: r[0]["component_id"] for i, r in found.items()} == groups
+
+
+def test_sets_in_common_of_all_pairs():
+    rng = np.random.default_rng(2)
+    a, b = ([np.unique(rng.integers(0, 9000, n)) for n in sizes] for sizes in ((1, 40, 9000), (700, 3)))
+    expected = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert near_dup._common(a, b).tolist() == expected
+
+
+def test_hashes_of_words_by_eight_bytes():
+    from logloom.llm.common import word_hashes
+
+    rng = random.Random(4)
+    texts = [b"", b" a\tab  abcdefgh abcdefghi ", bytes(rng.randrange(256) for _ in range(4000))]
+    texts += [b"y" * 9000 + b"\x0b" + b"y" * 4097, b"ab " * 200_000, b"a"]
+    words = [w for t in texts for w in t.split()]
+    hashes = [h for part in word_hashes(texts) for h in part.tolist()]
+    assert [len(part) for part in word_hashes(texts)] == [len(t.split()) for t in texts]
+    assert len(set(zip(words, hashes))) == len(set(words)) == len(set(hashes))
+
+
 def test_sketches_tell_similarity():
     rng = np.random.default_rng(1)
     run = near_dup._signatures(4)
