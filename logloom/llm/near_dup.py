@@ -118,7 +118,10 @@ def sketch_similarity(a: Column, b: Column) -> Column:
 
 
 def _with_sets(named: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """The full sets (`node`, `grams`) of the classes `named` (`node`, `key`) in `rows`."""
+    """The full sets (`node`, `grams`) of the classes `named` (`node`, `key`) in `rows`.
+
+    The keys are a table of known size, so that texts stay where they are if it is small.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,7 +131,7 @@ def _with_sets(named: DataFrame, rows: DataFrame, size: int) -> DataFrame:
                 [batch.column(0), pa.array(grams, pa.list_(pa.int64()))], ["node", "grams"]
             )
 
-    keys = named.select("node", F.col("key").alias("of"))
+    keys = saved(named.select("node", F.col("key").alias("of")), "near-dup-named")
     # A row may repeat very often, and its text is needed once.
     found = rows.join(keys, F.col("key") == F.col("of")).groupBy("node").agg(F.first("text"))
     return found.mapInArrow(sets, "node bigint, grams array<bigint>")
