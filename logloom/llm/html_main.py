@@ -54,6 +54,15 @@ _NOISE_WORDS = frozenset(
     "nav navbar navigation breadcrumb breadcrumbs pagination pager share sharing social related "
     "recommended footer masthead topbar toolbar skip copyright".split()
 )
+# Words that say what a branch has or lacks, and not what it is: `with-sidebar`, `no-ads`.
+_STATES = frozenset("with has no without not hide hides show shows".split())
+# Words that leave a noise word its meaning inside a main part, where `share-box` is noise
+# and `share-price` is not.
+_PLAIN = frozenset(
+    "area bar block body bottom box button buttons container content footer form header icon icons "
+    "inline inner item items left link links list main outer panel post posts right row section "
+    "slot text title top unit wrap wrapper".split()
+)
 # Inside a main part, noise words count in the classes of containers only.
 _CONTAINERS = _BLOCK - frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote hr br center".split())
 
@@ -65,6 +74,7 @@ class Node:
     tag: str
     path: str
     noise: bool = False
+    soft: bool = False  # noise by its names or as a form, which a main part in it refutes
     main: bool = False
     inside: bool = False  # a main part
     children: list = field(default_factory=list)  # of Node and str
@@ -80,8 +90,17 @@ class _NotIn:
         return name not in self.names
 
 
+def _says_noise(name: str, inside: bool) -> bool:
+    """Does a class or an id mark noise? Inside a main part, its other words must say nothing else."""
+    parts = {w for w in _PART.split(name) if w}
+    if parts & _STATES or not parts & _NOISE_WORDS:
+        return False
+    others = parts - _NOISE_WORDS - _PLAIN
+    return not inside or all(w.isdigit() or len(w) == 1 for w in others)
+
+
 def _node(parent: Node, tag: str, attrs: str, rare: Container[str]) -> Node:
-    names, ids, noise, main = [], [], tag in _NOISE_TAGS, tag in ("article", "main")
+    names, ids, noise, main = [], [], tag in _NOISE_TAGS - {"form"}, tag in ("article", "main")
     inside = parent.inside or parent.main
     for name, value in _ATTR.findall(attrs) if attrs.strip("/ \n\t\r") else ():
         name, value = name.lower(), value.strip("\"'").lower()
@@ -96,22 +115,25 @@ def _node(parent: Node, tag: str, attrs: str, rare: Container[str]) -> Node:
             names += value.split()
         elif name == "id":
             ids += value.split()
+    soft = tag == "form"
     telling = names if inside else names + ids
     names = names + ids
     if tag not in ("html", "body", "article", "main") and (not inside or tag in _CONTAINERS):
-        noise |= any(w in _NOISE_WORDS for n in telling for w in _PART.split(n))
+        soft |= any(_says_noise(n, inside) for n in telling)
     if tag == "header" and not inside:
         noise = True
     # Rare names are one name, so that they merge with each other and not with none.
     shown = {"*" if n in rare else n for n in names} if rare else names
     mark = f"{tag}.{'.'.join(sorted(shown))}" if shown else tag
-    return Node(tag, f"{parent.path}/{mark}", noise, main and not noise, inside)
+    main = main and not noise and not soft
+    return Node(tag, f"{parent.path}/{mark}", noise or soft, soft and not noise, main, inside)
 
 
 def parsed(page: str, rare: Container[str] = ()) -> Node:
     """The tree of a page. Wrong nesting and missing end tags are mended as they come.
 
-    Classes and ids that are in `rare` are left out of the paths.
+    Classes and ids that are in `rare` are left out of the paths. What holds a main
+    part is its wrapper, and not noise, whatever its names say.
     """
     root = Node("", "")
     stack = [root]
@@ -144,6 +166,10 @@ def parsed(page: str, rare: Container[str] = ()) -> Node:
                 elif open_tag in _BLOCK:
                     break
         node = _node(stack[-1], tag, token["attrs"], rare)
+        if node.main:
+            for above in stack:
+                if above.soft and (node.tag != "article" or above.tag == "form"):
+                    above.noise = above.soft = False
         stack[-1].children.append(node)
         if tag not in _VOID and not token["attrs"].endswith("/"):
             stack.append(node)

@@ -498,6 +498,28 @@ def test_main_text_is_not_taken_for_noise(page, text):
 # Vectors.
 
 
+@pytest.mark.parametrize(
+    "body, more",
+    [
+        ('<div class="layout with-sidebar"><nav>Menu</nav><article>%s</article></div>', ""),
+        ('<div id="page" class="site has-sidebar"><main>%s</main></div>', ""),
+        ('<div class="page no-ads">%s</div>', ""),
+        ('<form id="aspnetForm"><main>%s</main></form>', ""),
+        ('<form id="login"><article>%s</article></form><form>Your name</form>', ""),
+        ('<div class="sidebar"><main role="main">%s</main></div>', ""),
+        ('<article>%s<section class="social-impact">Impact</section></article>', "\nImpact"),
+        ('<article>%s<div class="share-price-table">7 EUR</div></article>', "\n7 EUR"),
+        ('<article>%s<div class="ad-slot-3">Buy</div><div class="social-share">x</div></article>', ""),
+        ('<div class="sidebar"><article>Teaser</article></div><main>%s</main>', ""),
+        ('<article>%s</article><div class="comments"><article>Nonsense</article></div>', ""),
+        ('<div hidden><main>Old</main></div><div>%s</div>', ""),
+    ],
+)
+def test_wrappers_of_main_parts_are_no_noise(body, more):
+    page = "<html><body>" + body % "<h1>Title</h1><p>First text.</p>" + "</body></html>"
+    assert html_main.main_text(page) == "Title\nFirst text." + more
+
+
 def brute_vectors(rows, least=0.9):
     sound = {}
     for at, (i, v) in enumerate(rows):
