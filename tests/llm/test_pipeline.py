@@ -172,3 +172,28 @@ def test_columns_of_the_queries(spark, sf_dir):
     for name, columns in wanted.items():
         frame = contract.queries()[name](spark, sf_dir)
         assert ", ".join(f"{c} {t}" for c, t in frame.dtypes) == columns
+
+
+def test_stages_keep_columns_whose_names_clash(spark):
+    """Columns named like those that the stages build for themselves stay as they are."""
+    from logloom.llm import decontam, near_dup, substrings
+
+    names = ["row_key", "row_key_cut", "row_key_text", "row_key_dropped", "row_key_repeated", "key"]
+    rng = brute.random.Random(31)
+    texts = [" ".join(brute.words_of(rng, 60, 10**6)) for _ in range(3)]
+    rows = [(i, t, *names) for i, t in enumerate([*texts, texts[0], "", None])]
+    columns = ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, {columns}")
+    items = spark.createDataFrame([("b", texts[1])], "item_id string, text string")
+    # One stage for each of the helpers that need a key of their own.
+    kept = near_dup.keep_one_per_group(docs.unionByName(docs))
+    cut = substrings.without_repeats(docs)
+    clean = decontam.without_benchmark(docs, items)
+    for frame, ids in ((kept, {0, 1, 2, 4, 5}), (cut, set(range(6))), (clean, {0, 2, 3, 4, 5})):
+        assert frame.columns == docs.columns
+        found = frame.collect()
+        assert {r["doc_id"] for r in found} == ids and len(found) == len(ids)
+        assert all(tuple(r)[2:] == tuple(names) for r in found)
+    assert {r["doc_id"]: r["text"] for r in cut.collect()} == {
+        0: "", 1: texts[1], 2: texts[2], 3: "", 4: "", 5: None
+    }
