@@ -42,6 +42,8 @@ from .samples import (
 
 LINE_KEYS = ["doc_id", "line_no"]
 RECORD = "\x1e"
+# Bytes of text that a task writes to files in order, about, and such tasks at least.
+RANGE_BYTES, RANGES = 16 << 20, 8
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -473,15 +475,18 @@ def q_write_ndjson_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_read_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A file per language, its texts in the order of their numbers; which place each text has."""
+    """A folder of files per language, its texts in the order of their numbers; which place each has."""
     base = scratch_dir(spark, "places")
     documents = _table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    # Ranges of about as many rows each: a language may be most of the table.
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(RANGES, -(-size // RANGE_BYTES))
     (
-        documents.repartition("lang").sortWithinPartitions("lang", "doc_id")
+        documents.repartitionByRange(ranges, "lang", "doc_id").sortWithinPartitions("lang", "doc_id")
         .select("lang", F.coalesce("text", F.lit("")).alias("text"))
         .write.partitionBy("lang").option("lineSep", RECORD).text(f"{base}/in")
     )
-    places = read_lines(spark, f"{base}/in", RECORD, with_places=True)
+    places = read_lines(spark, f"{base}/in", RECORD, with_places=True, per_folder=True)
     lang = F.regexp_extract("path", "/lang=([^/]*)/", 1)
     return places.select(lang.alias("lang"), "line_no", F.col("value").alias("text"))
 

@@ -23,6 +23,7 @@ def read_lines(
     path: str | list[str],
     delimiter: str = "\n",
     with_places: bool = False,
+    per_folder: bool = False,
 ) -> DataFrame:
     """One row per line in column `value`.
 
@@ -31,7 +32,8 @@ def read_lines(
     from 0, so that the order of the source can be restored. A large file is read in
     parts by many tasks: a first job counts the lines of every part, the counts of
     the parts ahead are added up per file, and the lines are numbered where they are
-    read. They are not shuffled, unless there are too many parts to send around.
+    read. They are not shuffled, unless there are too many parts to send around. With
+    `per_folder` the numbers go on from file to file of a folder, in the order of their names.
     """
     lines = spark.read.option("lineSep", check_delimiter(delimiter)).text(path)
     if not with_places:
@@ -43,7 +45,11 @@ def read_lines(
         F.monotonically_increasing_id().alias("place"),
         "value",
     )
-    ahead = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    whole = F.regexp_replace("path", "[^/]*$", "") if per_folder else F.col("path")
+    ahead = (
+        Window.partitionBy(whole).orderBy("path", "start")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     parts = settled(
         placed.groupBy("path", "start")
         .agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))

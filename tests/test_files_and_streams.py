@@ -26,6 +26,7 @@ from logloom import (
     stream_lines,
     write_ndjson,
 )
+from logloom.plans import catalog
 from logloom.session import scratch_dir
 
 CHUNKS = "stream_id string, seq bigint, data string"
@@ -367,6 +368,35 @@ def test_places_of_lines_in_files_read_in_parts(spark, tmp_path):
         assert found == list(enumerate(lines))
 
 
+def test_places_go_on_over_the_files_of_a_folder(spark, tmp_path):
+    for folder in ("one", "two"):
+        for k in range(12):
+            put(tmp_path / folder, f"part-{k:05d}.txt", "".join(f"{folder}-{k}-{i}\n" for i in range(k % 4)).encode())
+    frame = read_lines(
+        spark, [f"{tmp_path}/one", f"{tmp_path}/two"], with_places=True, per_folder=True
+    )
+    for folder in ("one", "two"):
+        found = sorted((r["line_no"], r["value"]) for r in frame.collect() if f"/{folder}/" in r["path"])
+        want = [f"{folder}-{k}-{i}" for k in range(12) for i in range(k % 4)]
+        assert found == list(enumerate(want))
+
+
+def test_files_in_order_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "base")
+    monkeypatch.setattr(catalog, "scratch_dir", lambda *_: base)
+    texts = [(k, "en" if k % 10 else "de", f"text {k}") for k in range(1000)]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").repartition(5).write.parquet(
+        f"{tmp_path}/documents.parquet"
+    )
+    rows = catalog.q_read_places(spark, str(tmp_path)).collect()
+    # Most texts have one language, and no file has many of them.
+    counts = spark.read.text(f"{base}/in", lineSep=catalog.RECORD).groupBy("_metadata.file_path").count()
+    assert max(row["count"] for row in counts.collect()) < 400
+    for lang in ("en", "de"):
+        want = [t for _, l, t in texts if l == lang]
+        assert sorted((r["line_no"], r["text"]) for r in rows if r["lang"] == lang) == list(enumerate(want))
+
+
 def test_files_are_capped_by_bytes(spark, tmp_path):
     rng = random.Random(5)
     texts = ["x" * rng.randrange(1, 90) + f"é{k}" for k in range(800)]
