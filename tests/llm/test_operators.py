@@ -171,6 +171,14 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     assert sorted((r["doc_id"], r["text"] == rows[2][1]) for r in kept) == [(3, False), (5, True)]
 
 
+def test_near_duplicates_shuffle_few_texts_that_are_not_needed(spark):
+    rows = spark.range(50_000).selectExpr("named_struct('id', id, 'content', hash(id)) AS key", "'x' AS text")
+    keys = rows.filter("key.id % 40 = 3").selectExpr("key AS of")
+    found = {row[0] for row in near_dup._maybe_named(rows, keys).select("key.id").collect()}
+    assert {i for i in range(50_000) if i % 40 == 3} <= found and len(found) < 6_000
+    assert near_dup._maybe_named(rows, keys.limit(0)).isEmpty()
+
+
 def test_near_duplicates_refuse_a_similarity_that_the_bands_miss(no_docs):
     with pytest.raises(ValueError):
         near_dup.near_duplicates(no_docs, percent=50)
