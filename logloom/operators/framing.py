@@ -107,11 +107,15 @@ def _line_feeds(text: Column) -> Column:
     )
 
 
-def chunk_origins(chunks: DataFrame, with_offsets: bool, span: int) -> DataFrame:
+def chunk_origins(
+    chunks: DataFrame, with_offsets: bool, span: int, ends: DataFrame | None = None
+) -> DataFrame:
     """For every chunk, where it starts: `first_line`, and `offset` inside that line.
 
     Takes `ids`, `seq`, `text`, and `skip_lines` / `skip_chars`, which count as
-    content ahead of the chunk. These are running totals over a stream, and a
+    content ahead of the chunk. `ends` (`ids`, and the numbers `ends` in order) cut streams
+    into parts: `ids` of the result are then the `ids`, the `part` and how many `parts` have
+    an end, and every part is a stream. These are running totals over a stream, and a
     stream may be most of the table, so the counters are sorted by stream and `seq`
     into ranges of about as many rows each, whatever the numbers are. Every range is summed up
     per stream (line feeds, characters, where its last line starts), and the sums of
@@ -123,18 +127,28 @@ def chunk_origins(chunks: DataFrame, with_offsets: bool, span: int) -> DataFrame
     text, after_lf = F.col("text"), F.substring_index("text", LF, -1)
     chars = F.char_length(text).cast("bigint") if with_offsets else F.lit(0).cast("bigint")
     seen = Observation()
+    counters = chunks.select(
+        "ids",
+        "seq",
+        _line_feeds(text).alias("line_feeds"),
+        chars.alias("chars"),
+        (F.char_length(after_lf).cast("bigint") if with_offsets else chars).alias("tail_chars"),
+        "skip_lines",
+        "skip_chars",
+    )
+    if ends is not None:
+        part = F.size(F.filter("ends", lambda end: end < F.col("seq")))
+        counters = (
+            counters.join(ends, "ids", "left")
+            .withColumn("ends", F.coalesce("ends", F.array().cast("array<bigint>")))
+            .withColumn(
+                "ids", F.struct("ids", part.alias("part"), F.size("ends").alias("parts"))
+            )
+            .drop("ends")
+        )
     # Written once: the ranges are found by a first look, and made from the same rows.
     counters = settled(
-        chunks.select(
-            "ids",
-            "seq",
-            _line_feeds(text).alias("line_feeds"),
-            chars.alias("chars"),
-            (F.char_length(after_lf).cast("bigint") if with_offsets else chars).alias("tail_chars"),
-            "skip_lines",
-            "skip_chars",
-        ).observe(seen, F.count(F.lit(1)).alias("n")),
-        "chunk-counters",
+        counters.observe(seen, F.count(F.lit(1)).alias("n")), "chunk-counters"
     )
     most = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(1, min(most, -(-seen.get["n"] // span)))
@@ -205,56 +219,33 @@ def chunk_origins(chunks: DataFrame, with_offsets: bool, span: int) -> DataFrame
     )
 
 
-def assemble(chunks: DataFrame, max_len: int | None, span: int = BLOCK_SPAN) -> DataFrame:
+def assemble(
+    chunks: DataFrame,
+    max_len: int | None,
+    span: int = BLOCK_SPAN,
+    ends: DataFrame | None = None,
+) -> DataFrame:
     """Pieces of lines from `ids`, `seq`, `text`, `skip_lines`, `skip_chars`.
 
     Returns `ids`, `line_no`, `piece_no`, `line` and `open`. The last piece of every
     stream, which may be empty, is open; all others are complete. Without
-    `max_len` every line is one piece.
+    `max_len` every line is one piece. `ends` are those of `chunk_origins`, as are then the
+    `ids`; only counters meet them.
 
     Texts meet their origins in one join, on which both branches below are built,
-    so that they are shuffled once. Lines that lie inside one chunk are complete
-    where they are and are not shuffled again. Only the first and the last part of
+    so that they are shuffled once. Pieces that lie inside one chunk are complete
+    where they are and are not shuffled again. Only the first and the last piece of
     each chunk are grouped by line and piece.
     """
-    origins = chunk_origins(chunks, max_len is not None, span)
-    split = F.split("text", LF, -1)
-    last = F.size(split) - 1
-    parts = (
-        chunks.select("ids", "seq", "text")
-        .join(origins, ["ids", "seq"])
-        .select(
-            "ids",
-            "seq",
-            F.explode(
-                F.transform(
-                    split,
-                    lambda part, i: F.struct(
-                        (F.col("first_line") + i).alias("line_no"),
-                        F.when(i == 0, F.col("offset")).otherwise(0).alias("offset"),
-                        (i < last).alias("ended"),
-                        ((i > 0) & (i < last)).alias("inside"),
-                        part.alias("part"),
-                    ),
-                )
-            ).alias("p"),
-        )
-        .select("ids", "seq", "p.*")
-    )
-    inner = parts.filter("inside").select("ids", "line_no", F.col("part").alias("line"))
-    inner = (
-        inner.withColumn("piece_no", F.lit(0).cast("bigint"))
-        if max_len is None
-        else cap_lines(inner, max_len)
-    )
-    ends = parts.filter("NOT inside").drop("inside")
-    ends = (
-        ends.withColumn("piece_no", F.lit(0).cast("bigint"))
-        if max_len is None
-        else _cut_parts(ends, ["ids", "seq"], max_len)
+    origins = chunk_origins(chunks, max_len is not None, span, ends)
+    own = F.col("ids") if ends is None else F.col("ids.ids")
+    placed = chunks.select(F.col("ids").alias("own"), "seq", "text").join(
+        origins.withColumn("own", own), ["own", "seq"]
     )
     borders = (
-        ends.groupBy("ids", "line_no", "piece_no")
+        placed.select("ids", "seq", F.explode(_border_pieces(max_len)).alias("cut"))
+        .select("ids", "seq", "cut.*")
+        .groupBy("ids", "line_no", "piece_no")
         .agg(
             F.array_sort(F.collect_list(F.struct("seq", "part"))).alias("parts"),
             F.max("ended").alias("ended"),
@@ -267,31 +258,103 @@ def assemble(chunks: DataFrame, max_len: int | None, span: int = BLOCK_SPAN) ->
         ~F.col("ended") | (F.col("piece_no") == 0) | (F.col("line") != "")
     )
     columns = ["ids", "line_no", "piece_no", "line", "open"]
-    return inner.withColumn("open", F.lit(False)).select(*columns).unionByName(
-        borders.select(*columns)
+    return (
+        _inner_pieces(placed, max_len)
+        .withColumn("open", F.lit(False))
+        .select(*columns)
+        .unionByName(borders.select(*columns))
     )
 
 
-def _cut_parts(parts: DataFrame, keys: list[str], max_len: int) -> DataFrame:
-    """Cut parts of a line where the whole line is cut: every `max_len` from its start."""
-    part, offset = F.col("part"), F.col("offset")
+def _inner_pieces(placed: DataFrame, max_len: int | None) -> DataFrame:
+    """The pieces that lie inside one chunk: all but its first and its last, open one."""
+    split = F.split("text", LF, -1)
+    last = F.size(split) - 1
+    parts = placed.select(
+        "ids",
+        "first_line",
+        "offset",
+        last.alias("last"),
+        F.posexplode(split).alias("i", "part"),
+    ).withColumn("line_no", F.col("first_line") + F.col("i"))
+    inside = (F.col("i") > 0) & (F.col("i") < F.col("last"))
+    part = F.col("part")
+    if max_len is None:
+        return parts.filter(inside).select(
+            "ids", "line_no", F.lit(0).cast("bigint").alias("piece_no"), part.alias("line")
+        )
+    # Of the first part of a chunk, what follows its first cut; of its last, what its last cut ends.
+    head = F.col("i") == 0
+    offset = F.when(head, F.col("offset")).otherwise(F.lit(0).cast("bigint"))
     end = offset + F.char_length(part)
-    first = int_div(offset, max_len)
-    # A part that ends on a cut while the line goes on also opens the next piece.
-    last = int_div(end - F.when(F.col("ended"), 1).otherwise(0), max_len)
+    low = F.when(head, int_div(offset, max_len) + 1).otherwise(F.lit(0).cast("bigint"))
+    high = F.when(F.col("i") < F.col("last"), int_div(end - 1, max_len)).otherwise(
+        int_div(end, max_len) - 1
+    )
+    parts = parts.select(
+        "ids", "line_no", "part", inside.alias("inside"), offset.alias("offset"),
+        low.alias("low"), high.alias("high"),
+    ).filter("inside OR low <= high")
+    cut = F.transform(
+        F.sequence("low", F.greatest("low", "high")),
+        lambda number: F.substring(
+            part, (number * max_len - F.col("offset") + 1).cast("int"), F.lit(max_len)
+        ),
+    )
+    pieces = (
+        F.when(~F.col("inside"), cut)
+        .when(text_length(part) <= max_len, F.array(part))
+        .otherwise(char_pieces(part, max_len))
+    )
+    return parts.select(
+        "ids", "line_no", "low", F.posexplode(pieces).alias("k", "line")
+    ).select("ids", "line_no", (F.col("low") + F.col("k")).alias("piece_no"), "line")
+
+
+def _border_pieces(max_len: int | None) -> Column:
+    """Array of what a chunk adds to the piece that it begins in and to the one it ends in.
 
-    def piece(number: Column) -> Column:
-        start = F.greatest(number * max_len - offset, F.lit(0))
-        stop = (number + 1) * max_len - offset
+    Lines are cut where the whole line is cut: every `max_len` from its start. A chunk that
+    ends on a cut while the line goes on also opens the next piece.
+    """
+    text, line_no, offset = F.col("text"), F.col("first_line"), F.col("offset")
+    zero = F.lit(0).cast("bigint")
+    first, last = F.substring_index(text, LF, 1), F.substring_index(text, LF, -1)
+    fed = F.contains(text, F.lit(LF))
+    below = line_no + _line_feeds(text)
+
+    def piece(number: Column, piece_no: Column, ended: Column, part: Column) -> Column:
         return F.struct(
-            number.alias("piece_no"),
-            (F.col("ended") & (number >= last)).alias("ended"),
-            F.substring(part, (start + 1).cast("int"), (stop - start).cast("int")).alias("part"),
+            number.alias("line_no"),
+            piece_no.alias("piece_no"),
+            ended.alias("ended"),
+            part.alias("part"),
+        )
+
+    if max_len is None:
+        begun = piece(line_no, zero, fed, first)
+        return F.when(
+            fed, F.array(begun, piece(below, zero, F.lit(False), last))
+        ).otherwise(F.array(begun))
+    at = int_div(offset, max_len)
+    room = (at + 1) * max_len - offset
+    end = offset + F.char_length(first)
+    begun = piece(
+        line_no, at, fed & (end <= (at + 1) * max_len), F.substring(first, F.lit(1), room.cast("int"))
+    )
+
+    def rest(number: Column, part: Column, begin: Column) -> Column:
+        """The open piece that a part, which starts at `begin` of its line, ends in."""
+        piece_no = int_div(begin + F.char_length(part), max_len)
+        start = (piece_no * max_len - begin + 1).cast("int")
+        return piece(
+            number, piece_no, F.lit(False), F.substring(part, start, F.lit(max_len))
         )
 
-    pieces = F.transform(F.sequence(first, F.greatest(first, last)), piece)
-    return parts.select(*keys, "line_no", F.explode(pieces).alias("cut")).select(
-        *keys, "line_no", "cut.piece_no", "cut.ended", "cut.part"
+    return (
+        F.when(fed, F.array(begun, rest(below, last, zero)))
+        .when(int_div(end, max_len) > at, F.array(begun, rest(line_no, text, offset)))
+        .otherwise(F.array(begun))
     )
 
 

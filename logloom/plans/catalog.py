@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import operators as op
+from ..functions.cuts import text_length
 from ..sinks import write_ndjson
 from ..sources import read_lines, stream_lines
 from ..session import scratch_dir
@@ -130,17 +131,24 @@ def q_cut_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_reassemble_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks arrive in three deliveries; the query stops and is started again after each."""
     base = scratch_dir(spark, "reassemble")
-    chunks = op.chunk_text(_table(spark, sf_dir, "documents"), "doc_id", "text", 700)
-    end = chunks.groupBy("doc_id").agg((F.max("seq") + 1).alias("seq"))
-    ended = chunks.unionByName(end.withColumn("data", F.lit(None).cast("string")))
+    documents = _table(spark, sf_dir, "documents")
+    # The end follows the last chunk, in the same pass over the texts; one without any has no end.
+    numbered = documents.withColumn("n", F.ceil(text_length(F.col("text")) / 700))
+    chunks = op.chunk_text(numbered, ["doc_id", "n"], "text", 700)
+    here = F.struct("seq", "data")
+    end = F.struct(F.col("n").alias("seq"), F.lit(None).cast("string").alias("data"))
+    last = F.col("seq") + 1 == F.col("n")
+    ended = chunks.select(
+        "doc_id", F.inline(F.when(last, F.array(here, end)).otherwise(F.array(here)))
+    )
     seq = F.col("seq")
     for delivery in (seq < 2, (seq >= 2) & (seq < 6), seq >= 6):
         ended.filter(delivery).write.mode("append").parquet(f"{base}/chunks")
-        arriving = spark.readStream.schema(chunks.schema).parquet(f"{base}/chunks")
+        arriving = spark.readStream.schema(ended.schema).parquet(f"{base}/chunks")
         reassemble_stream(
             arriving, f"{base}/lines", f"{base}/checkpoint", "doc_id", max_len=200
         ).awaitTermination()
-    return read_reassembled(spark, f"{base}/lines", [chunks.schema["doc_id"]])
+    return read_reassembled(spark, f"{base}/lines", [ended.schema["doc_id"]])
 
 
 def q_reassemble_timed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,17 +86,7 @@ def reassemble_stream(
             .groupBy(F.struct(*streams).alias("ids"))
             .agg(F.sort_array(F.collect_set(at)).alias("ends"))
         )
-        part = F.size(F.filter("ends", lambda end: end < F.col("seq")))
-        cut = (
-            chunks.unionByName(carried)
-            .join(ends, "ids", "left")
-            .withColumn("ends", F.coalesce("ends", F.array().cast("array<bigint>")))
-            .withColumn(
-                "ids", F.struct("ids", part.alias("part"), F.size("ends").alias("parts"))
-            )
-            .drop("ends")
-        )
-        pieces = assemble(cut, max_len, span)
+        pieces = assemble(chunks.unionByName(carried), max_len, span, ends)
         # Only what follows the last end goes on in the next batch.
         rest = F.col("open") & (F.col("ids.part") < F.col("ids.parts"))
         (

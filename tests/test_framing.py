@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logloom import cap_lines, chunk_text, reassemble_lines, split_lines
-from logloom.operators.framing import chunk_origins, chunk_rows
+from logloom.operators.framing import _border_pieces, chunk_origins, chunk_rows
 
 
 def lines_of(text):
@@ -257,6 +257,32 @@ def test_texts_are_shuffled_once(spark, documents):
     assert final.count("FileScan") <= 2
 
 
+def test_only_the_ends_of_a_chunk_are_grouped(spark):
+    """Of a long line too: the pieces that lie inside a chunk are not shuffled."""
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("abcñ") for _ in range(1000)) for _ in range(3)]
+    parts[1] = parts[1][:500] + "\n" + parts[1][501:]
+    frame = spark.createDataFrame(
+        [("s", k, p) for k, p in enumerate(parts)], "stream_id string, seq bigint, data string"
+    )
+    chunks, _, _ = chunk_rows(frame, "stream_id", "seq", "data")
+    placed = chunks.join(chunk_origins(chunks, True, 1), ["ids", "seq"])
+    grouped = placed.select(_border_pieces(16).alias("pieces")).collect()
+    assert all(len(r["pieces"]) <= 2 and all(len(p["part"]) <= 16 for p in r["pieces"]) for r in grouped)
+    want = [(i, k, p) for i, line in enumerate(lines_of("".join(parts))) for k, p in enumerate(cut(line, 16))]
+    assert by_id(reassemble_lines(frame, max_len=16)) == {"s": want}
+
+
+def test_ends_meet_counters_only(spark):
+    """An end cuts a stream into parts, each with lines from 0; texts need not meet the ends."""
+    rows = [("s", 0, "a\nb"), ("s", 1, "c"), ("s", 3, "d\n"), ("s", 4, "e")]
+    frame = spark.createDataFrame(rows, "stream_id string, seq bigint, data string")
+    chunks, _, _ = chunk_rows(frame, "stream_id", "seq", "data")
+    ends = chunks.groupBy("ids").agg(F.array(F.lit(2).cast("bigint")).alias("ends"))
+    got = chunk_origins(chunks, True, 1, ends).select("seq", "ids.part", "first_line", "offset")
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 0, 0), (1, 0, 1, 1), (3, 1, 0, 0), (4, 1, 1, 0)]
+
+
 def test_byte_offsets_of_one_hot_stream_are_spread_over_tasks(spark):
     """Numbers as far apart as offsets of chunks of any size; every range has its share of rows."""
     n = 4000
