@@ -22,25 +22,46 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def _lowered(text: Column) -> Column:
+    """A text with A-Z, and nothing else, in lower case.
+
+    In a text of ASCII alone `lower` does just that, in a fraction of the time of `translate`.
+    """
+    return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
+        F.translate(text, UPPER, LOWER)
+    )
+
+
 def contract_words(text: Column) -> Column:
     """Array of the words of a text, A-Z in lower case; empty without words."""
-    parts = F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS)
+    parts = F.split(_lowered(F.coalesce(text, F.lit(""))), SEPARATORS)
     return F.array_remove(parts, "")
 
 
+def _word_count(text: Column) -> Column:
+    """Number of the words of a text, whatever their case."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), ""))
+
+
 def _is_small(df: DataFrame) -> bool:
     size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("bigint")), F.lit(0))
     n, text_bytes = df.limit(SMALL_ROWS + 1).agg(F.count(F.lit(1)), size).first()
     return n <= SMALL_ROWS and text_bytes <= SMALL_BYTES
 
 
-def _shingle_hashes(words: Column, size: int) -> Column:
-    """Hash of the `size` words from each place on; empty for shorter arrays."""
-    count = F.size(words) - size + 1
+def _shingled(worded: DataFrame, size: int) -> DataFrame:
+    """Per place, where the `size` words from there on lie inside: `key`, `words`, `at`, `hash`.
+
+    Hashes are taken after the places are rows: as a function over an array they would be
+    interpreted, not compiled.
+    """
+    count = F.size("words") - size + 1
     places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(
         F.array().cast("array<int>")
     )
-    return F.transform(places, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(size)]))
+    return worded.select("key", "words", F.explode(places).alias("at")).withColumn(
+        "hash", F.xxhash64(*[F.get("words", F.col("at") + j) for j in range(size)])
+    )
 
 
 def _windows(items: DataFrame, window: int) -> DataFrame:
@@ -149,9 +170,7 @@ def contamination(
     hits = None
     for size in lengths:
         part = prefixes.filter(F.col("length") == size)
-        shingled = worded.select(
-            "key", "words", F.posexplode(_shingle_hashes(F.col("words"), size)).alias("at", "hash")
-        )
+        shingled = _shingled(worded, size)
         if _is_small(part):
             placed = shingled.join(F.broadcast(part), "hash")
         else:
@@ -167,10 +186,8 @@ def contamination(
         hits = found if hits is None else hits.unionByName(found)
     base = docs.select(
         row_key(id_col, F.col(text_col)).alias("key"),
-        F.regexp_count(F.col(text_col), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
-        .cast("bigint")
-        .alias("n_words"),
-    ).withColumn("n_words", F.coalesce("n_words", F.lit(0).cast("bigint")))
+        _word_count(F.col(text_col)).cast("bigint").alias("n_words"),
+    )
     if hits is None:
         measured = base.withColumns(
             {"n_hit": F.lit(0).cast("bigint"), "items": F.array().cast("array<string>")}

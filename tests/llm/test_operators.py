@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from logloom.llm import (
@@ -334,6 +335,29 @@ def test_contamination_without_items_or_documents(spark, docs, no_docs, corpus):
     assert decontam.without_benchmark(docs, bench).columns == docs.columns
 
 
+def test_words_of_texts_beyond_ascii_keep_other_capitals(spark):
+    texts = ["The ÉCOLE Ünd ΣΑΣ İI", "PLAIN Text-with, 9 WORDS", "--", "", None, "a", "ñandú IJ"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = frame.select(
+        decontam.contract_words(F.col("text")), decontam._word_count(F.col("text"))
+    ).collect()
+    for text, (words, n) in zip(texts, got):
+        low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        want = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        assert (words, n) == (want, len(want))
+
+
+def test_decontamination_hashes_places_in_compiled_code(spark):
+    """Shingles are hashed per row: a function over an array is interpreted per element."""
+    texts = [(k, " ".join(f"w{j}" for j in range(k))) for k in (0, 1, 4, 5, 6, 9)]
+    frame = spark.createDataFrame(texts, "key bigint, text string")
+    shingled = decontam._shingled(frame.withColumn("words", decontam.contract_words(F.col("text"))), 5)
+    assert "lambda" not in shingled._jdf.queryExecution().toString().lower()
+    want = F.xxhash64(*[F.concat(F.lit("w"), F.col("at") + j) for j in range(5)])
+    got = shingled.select("key", "at", F.col("hash") == want).collect()
+    assert sorted(map(tuple, got)) == [(k, i, True) for k in (5, 6, 9) for i in range(k - 4)]
+
+
 def test_decontamination_runs_no_python(spark, docs):
     bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     plan = decontam.contamination(docs, bench)._jdf.queryExecution().toString()
