@@ -18,6 +18,10 @@ from ..session import scratch_dir
 MASK = (1 << 64) - 1
 # Odd multipliers of the mixing step of `mixed` (the finalizer of splitmix64).
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+# Bits per key of the map that tells which rows may be needed, and of the map at most.
+KEY_BITS, MOST_BITS = 16, 1 << 28
+# Bits of a row of that map, which Spark fixes.
+_MAP_ROW = 1 << 15
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
@@ -83,6 +87,32 @@ def one_per_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return once.unionByName(folded).drop(own)
 
 
+def maybe_among(rows: DataFrame, column: str, keys: DataFrame, of: str) -> DataFrame:
+    """`rows` with a boolean `maybe`: false only where `column` is in no row of `keys` (`of`).
+
+    A map with a bit per hash of a key is sent to the rows, so that those nobody needs are
+    not shuffled to find that out. A few others are told true. `keys` is a table that is cheap to read.
+    """
+    n = keys.count()
+    size = min(MOST_BITS, _MAP_ROW * max(1, -(-KEY_BITS * n // _MAP_ROW)))
+
+    def spot(key: str) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(size)) + 1
+
+    bits = (
+        keys.select(spot(of).alias("spot"))
+        .groupBy(F.bitmap_bucket_number("spot").alias("in_row"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
+    )
+    place = F.bitmap_bit_position(spot(column))
+    byte = F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))
+    bit = F.pmod(place, F.lit(8)).cast("int")
+    found = F.call_function("getbit", F.conv(F.hex(byte), 16, 10).cast("bigint"), bit)
+    return rows.join(
+        F.broadcast(bits), F.bitmap_bucket_number(spot(column)) == F.col("in_row"), "left"
+    ).select(*rows.columns, F.coalesce(found == 1, F.lit(False)).alias("maybe"))
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Spread the bits of unsigned 64-bit numbers."""
     h = (h ^ (h >> np.uint64(30))) * _MIX[0]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .common import (
     components,
     gram_hashes,
+    maybe_among,
     multipliers,
     one_per_key,
     row_key,
@@ -38,11 +39,6 @@ SET_BLOCK, SET_SHINGLES, TASK_SHINGLES = 512, 1 << 20, 1 << 22
 # at once, without a look at the nearest ones first.
 FEW_PAIRS = 2
 
-# Bits per key of the map that tells which texts may be needed, and of the map at most.
-KEY_BITS, MOST_BITS = 16, 1 << 28
-# Bits of a row of that map, which Spark fixes.
-_MAP_ROW = 1 << 15
-
 _WORDS = SKETCH_BITS // 64
 
 
@@ -123,31 +119,8 @@ def sketch_similarity(a: Column, b: Column) -> Column:
 
 
 def _maybe_named(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Those `rows` (`key`) whose key is in `keys` (`of`), and a few others.
-
-    A map with a bit per hash of a key is sent to the rows, so that texts nobody
-    needs are not shuffled to find that out.
-    """
-    n = keys.count()
-    size = min(MOST_BITS, _MAP_ROW * max(1, -(-KEY_BITS * n // _MAP_ROW)))
-
-    def spot(key: str) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(size)) + 1
-
-    bits = (
-        keys.select(spot("of").alias("spot"))
-        .groupBy(F.bitmap_bucket_number("spot").alias("in_row"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits"))
-    )
-    place = F.bitmap_bit_position(spot("key"))
-    byte = F.substring("bits", F.floor(place / 8).cast("int") + 1, F.lit(1))
-    bit = F.pmod(place, F.lit(8)).cast("int")
-    found = F.call_function("getbit", F.conv(F.hex(byte), 16, 10).cast("bigint"), bit)
-    return (
-        rows.join(F.broadcast(bits), F.bitmap_bucket_number(spot("key")) == F.col("in_row"))
-        .filter(found == 1)
-        .select(*rows.columns)
-    )
+    """Those `rows` (`key`) whose key is in `keys` (`of`), and a few others."""
+    return maybe_among(rows, "key", keys, "of").filter("maybe").drop("maybe")
 
 
 def _with_sets(named: DataFrame, rows: DataFrame, size: int) -> DataFrame:

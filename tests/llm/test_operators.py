@@ -709,6 +709,28 @@ def test_a_passage_that_only_copies_hold_elsewhere(spark):
     assert got == sorted(brute_repeats(rows))
 
 
+def test_texts_that_nothing_is_cut_from_are_not_shuffled(spark):
+    rng = random.Random(4)
+    passage = words_of(rng, 40, 10**6)
+    rows = [(i, " ".join(words_of(rng, 50, 10**6)), "", "", 0) for i in range(200)]
+    rows += [(300 + i, " ".join([*passage, f"end{i}"]), "", "", 0) for i in range(2)] + [(7, None, "", "", 0)]
+    cut = substrings.without_repeats(spark.createDataFrame(rows, SCHEMA))
+    union = cut._jdf.queryExecution().optimizedPlan()
+    assert union.nodeName() == "Union"
+    kept = union.children().apply(0).toString()
+    assert kept.count("Join") == 1 and "strategy=broadcast" in kept
+    found = sorted((r["doc_id"], r["text"] or "") for r in cut.collect())
+    assert found == sorted((i, f"end{i - 300}" if i >= 300 else t or "") for i, t, *_ in rows)
+
+
+def test_rows_that_a_map_rules_out_stay(spark):
+    rows, keys = spark.range(1000).select("id"), spark.range(5).selectExpr("id * 100 AS of")
+    found = common.maybe_among(rows, "id", keys, "of").collect()
+    assert len(found) == 1000 and {0, 100, 200, 300, 400} <= {r["id"] for r in found if r["maybe"]}
+    assert sum(r["maybe"] for r in found) < 100
+    assert not any(r["maybe"] for r in common.maybe_among(rows, "id", keys.limit(0), "of").collect())
+
+
 # Mixing.
 
 
