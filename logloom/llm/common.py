@@ -22,6 +22,8 @@ _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 KEY_BITS, MOST_BITS = 16, 1 << 28
 # Bits of a row of that map, which Spark fixes.
 _MAP_ROW = 1 << 15
+# Rows up to which a counted table of pairs or keys is sent around, and rows of a task of such a table.
+FEW, FEW_ROWS = 250_000, 8192
 
 
 def saved(df: DataFrame, purpose: str) -> DataFrame:
@@ -194,26 +196,37 @@ def gram_hashes(words: np.ndarray, size: int, factors: np.ndarray) -> np.ndarray
     return mixed(total)
 
 
-def components(edges: DataFrame, purpose: str) -> DataFrame:
+def components(edges: DataFrame, purpose: str, rows: int | None = None) -> DataFrame:
     """Connected components of `edges` (`a`, `b`): columns `node`, `component`.
 
     The component is the smallest node. Every round hangs each node's larger
     neighbours on its smallest one, then each node's smaller neighbours; a few
     rounds turn every component into a star. Minima combine before the shuffle
-    and meet the edges in a join, so a node with very many edges is split. Each
-    round is a table in the shared folder.
+    and meet the edges in a join, so a node with very many edges is split. Up to
+    `FEW` edges, which are counted first, minima are sent around instead, and a round is
+    dealt to as many tasks as its rows need. Each round is a table in the shared folder.
+    `rows` says how many rows `edges` has, where that is known.
     """
 
-    def stars(pairs: DataFrame) -> DataFrame:
+    def tasks(pairs: int | None) -> int | None:
+        return -(-pairs // FEW_ROWS) + 3 if pairs is not None and pairs <= FEW else None
+
+    def dealt(df: DataFrame, n: int | None) -> DataFrame:
+        return df.coalesce(n) if n else df
+
+    def least_of(pairs: DataFrame, n: int | None) -> DataFrame:
+        least = dealt(pairs.groupBy("a").agg(F.min("b").alias("m")), n)
+        return F.broadcast(least) if n else least
+
+    def stars(pairs: DataFrame, n: int | None) -> DataFrame:
         both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (
             both.filter("b > a")
-            .join(least, "a")
+            .join(least_of(both, n), "a")
             .select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
         )
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
+        least = least_of(large, n).withColumnRenamed("a", "n")
+        joined = large.join(least, F.col("a") == F.col("n"))
         small = joined.select(
             F.explode(
                 F.array(
@@ -224,23 +237,27 @@ def components(edges: DataFrame, purpose: str) -> DataFrame:
         )
         return small.select("e.a", "e.b").filter("a != b").distinct()
 
-    def kept(pairs: DataFrame) -> tuple[DataFrame, tuple]:
-        """The pairs as a table, and what tells whether they have changed."""
+    def kept(pairs: DataFrame, n: int | None) -> tuple[DataFrame, int]:
+        """The pairs as a table, and how many they are."""
         seen = Observation()
-        total = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        table = saved(
-            pairs.observe(seen, F.count(F.lit(1)).alias("n"), total.alias("total")), purpose
+        table = saved(dealt(pairs, n).observe(seen, F.count(F.lit(1)).alias("n")), purpose)
+        return table, seen.get["n"]
+
+    def are_stars(pairs: DataFrame, n: int | None) -> bool:
+        """Does every node hang on one other at most, and none that others hang on?"""
+        roles = pairs.select(F.col("a").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(
+            pairs.select(F.col("b").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds"))
         )
-        return table, (seen.get["n"], seen.get["total"])
+        told = roles.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+        wrong = told.filter("hangs > 1 OR hangs = 1 AND holds = 1")
+        return not dealt(wrong, n).count()
 
-    current, before = kept(
+    current, n = kept(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .filter("a != b")
-        .distinct()
+        .distinct(),
+        tasks(rows),
     )
-    while before[0]:
-        current, after = kept(stars(current))
-        if after == before:
-            break
-        before = after
+    while not are_stars(current, tasks(n)):
+        current, n = kept(stars(current, tasks(n)), tasks(n))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (
+    FEW,
     components,
     gram_hashes,
     maybe_among,
@@ -35,6 +36,8 @@ BLOCK, TASK_ROWS = 2048, 8192
 # Members of a cluster that are compared on their full sets at a time, shingles of
 # such a block, and shingles of a task.
 SET_BLOCK, SET_SHINGLES, TASK_SHINGLES = 512, 1 << 20, 1 << 22
+# Texts of a task that makes sets of them, at most.
+TASK_TEXTS = 1024
 # Pairs per bucket member up to which all pairs between components are compared
 # at once, without a look at the nearest ones first.
 FEW_PAIRS = 2
@@ -126,8 +129,8 @@ def _maybe_named(rows: DataFrame, keys: DataFrame) -> DataFrame:
 def _with_sets(named: DataFrame, rows: DataFrame, size: int) -> DataFrame:
     """The full sets (`node`, `grams`) of the classes `named` (`node`, `key`) in `rows`.
 
-    The keys are a table of known size, so that texts stay where they are if it is small;
-    if not, only texts that a map of the keys does not rule out are shuffled.
+    Up to `FEW` keys, which are counted first, are sent to the texts, so that only texts that
+    are needed are shuffled; beyond that those that a map of the keys does not rule out are.
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,12 +143,17 @@ def _with_sets(named: DataFrame, rows: DataFrame, size: int) -> DataFrame:
 
     keys = saved(named.select("node", F.col("key").alias("of")), "near-dup-named")
     # A row may repeat very often, and its text is needed once.
-    found = _maybe_named(rows, keys).join(keys, F.col("key") == F.col("of")).groupBy("node").agg(F.first("text"))
+    n = keys.count()
+    if n <= FEW:
+        found = rows.join(F.broadcast(keys), F.col("key") == F.col("of"))
+    else:
+        found = _maybe_named(rows, keys).join(keys, F.col("key") == F.col("of"))
+    found = found.groupBy("node").agg(F.first("text")).coalesce(-(-n // TASK_TEXTS) + 3)
     return found.mapInArrow(sets, "node bigint, grams array<bigint>")
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of `pairs` (`a`, `b`) whose full shingle sets are similar enough."""
+    """Those of the different `pairs` (`a`, `b`) whose full shingle sets are similar enough."""
     needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     full = _with_sets(classes.join(needed, "node"), rows, size)
     left = full.select(F.col("node").alias("a"), F.col("grams").alias("grams_a"))
@@ -156,7 +164,6 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int,
         pairs.select("a", "b").join(left, "a").join(right, "b")
         .filter(100 * both.cast("bigint") >= percent * union.cast("bigint"))
         .select("a", "b")
-        .distinct()
     )
 
 
@@ -387,7 +394,7 @@ def _linked(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
         "near-dup-pairs",
     )
     links = confirmed(likely)
-    groups = components(links, "near-dup-groups")
+    groups = components(links, "near-dup-groups", links.count())
 
     def labelled(found: DataFrame) -> DataFrame:
         """`found` (`node`) with its component so far as `label`."""
@@ -434,7 +441,7 @@ def _linked(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
         found = compared(apart, dealt, True)
         best = F.min(F.struct("odd", "b"))["b"].alias("b")
         links = links.unionByName(confirmed(saved(found.groupBy("a").agg(best), "near-dup-nearest")))
-        groups = components(links, "near-dup-groups")
+        groups = components(links, "near-dup-groups", links.count())
         apart = still_apart()
         n, _, dealt = counted(apart)
     # What the sketches connect beyond that are clusters, and these are compared on full sets.
@@ -445,9 +452,10 @@ def _linked(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
     if n:
         edges = edges.unionByName(compared(apart, dealt, False).select("a", "b"))
     edges = saved(edges.distinct(), "near-dup-edges")
-    if edges.isEmpty():
+    n = edges.count()
+    if not n:
         return groups
-    clusters = components(edges, "near-dup-clusters").withColumnRenamed("component", "key")
+    clusters = components(edges, "near-dup-clusters", n).withColumnRenamed("component", "key")
     roots = clusters.select("key").distinct().select(F.col("key").alias("node"), "key")
     told = labelled(clusters.unionByName(roots)).join(
         classes.select("node", "n_shingles"), "node"
@@ -463,7 +471,8 @@ def _linked(classes: DataFrame, rows: DataFrame, size: int, percent: int) -> Dat
         paired.select("key", "node", "label", "bi", "bj", "block").join(full, "node"),
         -(-dealt // TASK_SHINGLES),
     ).applyInArrow(_similar(percent), "a bigint, b bigint")
-    return components(links.unionByName(saved(late, "near-dup-late")), "near-dup-groups")
+    links = links.unionByName(saved(late, "near-dup-late"))
+    return components(links, "near-dup-groups", links.count())
 
 
 def _apart_pairs(pairs: DataFrame, groups: DataFrame) -> DataFrame:

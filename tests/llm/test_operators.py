@@ -915,3 +915,16 @@ def test_components(spark):
     roots = reached({x for pair in links for x in pair}, links)
     assert found == {i: r for i, r in roots.items() if i != r}
     assert common.components(frame.limit(0), "test").count() == 0
+
+
+def test_components_of_few_and_of_many_edges(spark, monkeypatch):
+    """Stars need no round at all; minima are sent around or joined, with the same result."""
+    stars = spark.createDataFrame([(k % 7, 10 + k) for k in range(70)], "a bigint, b bigint")
+    rounds = []
+    monkeypatch.setattr(common, "saved", lambda df, purpose, f=common.saved: rounds.append(purpose) or f(df, purpose))
+    assert common.components(stars, "test").count() == 70 and len(rounds) == 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(k, 40) for k in (35, 38)], "a bigint, b bigint")
+    expected = {k: 0 for k in range(1, 31)} | {38: 35, 40: 35}
+    for few in (common.FEW, -1):
+        monkeypatch.setattr(common, "FEW", few)
+        assert {r["node"]: r["component"] for r in common.components(chain, "test", 32).collect()} == expected
